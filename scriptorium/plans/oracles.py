@@ -1 +1,364 @@
-ORACLES = {}
+"""The registered queries once more, as independent SQL over the supplied tables."""
+
+FIXTURES = {
+    "catalog": """
+SELECT doc_id, doc_id AS seq,
+  concat('doc_', doc_id, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.DOCX' WHEN 3 THEN '.txt' ELSE '' END) AS name,
+  CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'docx' WHEN 3 THEN 'txt' END AS file_type,
+  n_chars * 1000 AS size_bytes, source AS owner_id,
+  strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INT), '%Y-%m-%d') AS upload_date,
+  CASE WHEN doc_id % 7 <> 0 THEN doc_id % 4 END AS images_count
+FROM documents""",
+    "paragraphs": """
+SELECT doc_id, idx, text, CASE idx % 6 WHEN 5 THEN 'table' WHEN 4 THEN 'header' ELSE 'body' END AS scope
+FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS idx,
+        unnest(string_split(text, chr(10))) AS text FROM documents)""",
+    "raw_blocks": """
+SELECT doc_id, CAST(floor(idx / 20) AS BIGINT) AS page_num, idx % 20 AS block_no,
+  CASE WHEN idx % 20 = 7 THEN 1 ELSE 0 END AS block_type,
+  CASE WHEN idx % 20 = 3 THEN '  ' WHEN idx % 20 = 5 THEN concat(' ', text, chr(9)) ELSE text END AS text
+FROM paragraphs""",
+    "stripped": r"""
+SELECT doc_id, page_num, block_no, block_type, regexp_replace(text,
+  '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z',
+  '', 'g') AS text
+FROM raw_blocks""",
+    "blocks": """
+SELECT doc_id, page_num, block_no, text FROM stripped WHERE block_type = 0 AND text <> ''""",
+    "doc_pages": """
+SELECT DISTINCT doc_id, page_num FROM raw_blocks
+UNION ALL SELECT doc_id, max(page_num) + 1 AS page_num FROM raw_blocks GROUP BY doc_id""",
+    "runs": r"""
+SELECT doc_id, idx, scope, run_no, text,
+  CASE run_no % 3 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Times New Roman' END AS font_name,
+  CASE WHEN run_no % 2 = 0 THEN 11.0::DOUBLE END AS font_size
+FROM (SELECT doc_id, idx, scope, unnest(range(len(r))) AS run_no, unnest(r) AS text
+      FROM (SELECT *, regexp_extract_all(text, '(\S+\s*|\s+)', 1) AS r FROM paragraphs))""",
+    "edits": """
+SELECT user_id AS doc_id, event_id AS seq,
+  CASE WHEN event_id % 13 <> 0 THEN event_id % 5 END AS idx,
+  CASE WHEN event_id % 11 <> 0 THEN event_id % 3 END AS page_num,
+  event_id % 20 AS block_no, concat('edit ', event_id) AS text
+FROM events""",
+    "latest": """
+SELECT doc_id, idx, arg_max(text, seq) AS new_text FROM edits WHERE idx IS NOT NULL GROUP BY doc_id, idx""",
+    "edited": """
+SELECT p.doc_id, p.idx, p.scope, p.text AS old_text, coalesce(l.new_text, p.text) AS new_text,
+  l.new_text IS NOT NULL AND l.new_text <> p.text AS changed
+FROM paragraphs p LEFT JOIN latest l ON p.doc_id = l.doc_id AND p.idx = l.idx""",
+    "accounts": """
+SELECT DISTINCT source AS user_id FROM documents WHERE source <> 'src3'""",
+    "requests": """
+SELECT event_id AS request_id, (event_id * 7) % 1200 AS doc_id,
+  CASE WHEN event_id % 2 = 0 THEN concat('src', ((event_id * 7) % 1200) % 20) ELSE concat('src', user_id % 25) END AS user_id
+FROM events""",
+    "signups": """
+SELECT c_custkey AS seq, concat(lower(c_name), '@example.com') AS email, c_name AS name FROM customer
+UNION ALL SELECT c_custkey + 1000000, concat(lower(c_name), '@example.com'), concat(c_name, ' again') FROM customer WHERE c_custkey % 5 = 0""",
+    "images": """
+SELECT l_orderkey AS doc_id, CAST(floor(l_linenumber / 3) AS BIGINT) AS page_num,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,
+  l_partkey AS part_id FROM lineitem""",
+    "first_images": """
+SELECT doc_id, part_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS image_no
+FROM images GROUP BY doc_id, part_id""",
+    "image_requests": """
+SELECT o_orderkey AS doc_id, o_orderkey % 6 - 1 AS target_index,
+  CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('img', o_orderkey) END AS image FROM orders""",
+    "sections": """
+SELECT d.doc_id, s.section_no, p.part, n.para_no, concat(p.part, ' ', n.para_no) AS text
+FROM documents d CROSS JOIN (SELECT 0 AS section_no UNION ALL SELECT 1) s
+CROSS JOIN (SELECT 'header' AS part UNION ALL SELECT 'footer') p
+CROSS JOIN (SELECT 0 AS para_no UNION ALL SELECT 1) n WHERE d.doc_id % 10 <> 0""",
+    "style_patches": """
+SELECT doc_id, doc_id AS seq,
+  CASE doc_id % 5 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Courier New' WHEN 2 THEN 'Calibri' WHEN 3 THEN '' END AS font_name,
+  CAST(CASE doc_id % 3 WHEN 0 THEN 12 WHEN 1 THEN 0 END AS DOUBLE) AS font_size,
+  CASE doc_id % 4 WHEN 0 THEN 'New header' WHEN 1 THEN '' END AS header_text,
+  CASE doc_id % 6 WHEN 0 THEN 'New footer' END AS footer_text
+FROM documents""",
+    "fonts": """
+SELECT doc_id, CASE WHEN font_name ILIKE '%times%' THEN 'tiro' WHEN font_name ILIKE '%courier%' THEN 'cour' ELSE 'helv' END AS page_font,
+  CASE WHEN font_size IS NULL OR font_size = 0 THEN 10.0::DOUBLE ELSE font_size END AS page_font_size
+FROM style_patches""",
+    "stamps": """
+SELECT doc_id, 'header' AS part, header_text AS new_text FROM style_patches WHERE header_text IS NOT NULL
+UNION ALL SELECT doc_id, 'footer', footer_text FROM style_patches WHERE footer_text IS NOT NULL""",
+    "styled_runs": """
+SELECT r.doc_id, r.idx, r.scope, r.run_no,
+  CASE WHEN r.scope <> 'header' AND s.font_name <> '' THEN s.font_name ELSE r.font_name END AS font_name,
+  CASE WHEN r.scope <> 'header' AND s.font_size <> 0 THEN s.font_size ELSE r.font_size END AS font_size,
+  r.font_name AS old_name, r.font_size AS old_size
+FROM runs r LEFT JOIN style_patches s USING (doc_id)""",
+    "commands": """
+SELECT conv_id * 1000 + turn AS command_id, conv_id AS doc_id, f, r, conv_id % 3 = 0 AS is_text,
+  CASE WHEN conv_id % 3 = 0 THEN text ELSE concat('Replace "', f, '" with "', r, '".') END AS prompt
+FROM (SELECT conv_id, turn, text, regexp_extract(text, '([A-Za-z]+)', 1) AS f, concat(regexp_extract(text, '([A-Za-z]+)', 1), '_new') AS r
+      FROM conversations WHERE role = 'user') t""",
+    "slots": r"""
+SELECT *, trim(regexp_extract(trim(prompt), pattern, 1)) AS find_text, trim(regexp_extract(trim(prompt), pattern, 2)) AS replace_text
+FROM (SELECT *, '(?i)^replace\s+(?:the\s+)?["''“”]?([^"''“”]+?)["''“”]?\s+(?:with|by|to)\s+["''“”]?([^"''“”]+?)["''“”]?\.?\s*\z' AS pattern FROM commands)""",
+    "parsed": """
+SELECT *, find_text <> '' AND replace_text <> '' AS understood FROM slots""",
+    "rules": r"""
+SELECT doc_id, doc_id AS seq,
+  CASE doc_id % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'que' WHEN 2 THEN '$' WHEN 3 THEN 'en' ELSE '' END AS find_text,
+  CASE doc_id % 3 WHEN 0 THEN '$1' WHEN 1 THEN '\1' ELSE 'a\b' END AS replace_text,
+  doc_id % 2 = 0 AS case_sensitive
+FROM documents""",
+    "history": """
+SELECT doc_id, CAST(-1 AS BIGINT) AS seq, 'Uploaded document' AS action FROM documents
+UNION ALL SELECT doc_id, seq, 'Edited text content (1 block(s))' FROM edits""",
+    "totals": """
+SELECT doc_id, CAST(sum((length(text) - length(replace(text, 'the', ''))) / 3) AS BIGINT) AS matches
+FROM paragraphs WHERE scope IN ('body', 'table') GROUP BY doc_id""",
+    "counted_edits": """
+SELECT e.doc_id, e.n_submitted, e.n_pending, CAST(coalesce(c.n_changed, 0) AS BIGINT) AS n_changed
+FROM (SELECT doc_id, count(*) AS n_submitted, count(DISTINCT idx) AS n_pending FROM edits GROUP BY doc_id) e
+LEFT JOIN (SELECT doc_id, count(*) FILTER (changed) AS n_changed FROM edited GROUP BY doc_id) c ON e.doc_id = c.doc_id""",
+}
+NEEDS = {
+    "raw_blocks": ["paragraphs"],
+    "stripped": ["raw_blocks"],
+    "blocks": ["stripped"],
+    "doc_pages": ["raw_blocks"],
+    "runs": ["paragraphs"],
+    "latest": ["edits"],
+    "edited": ["paragraphs", "latest"],
+    "first_images": ["images"],
+    "fonts": ["style_patches"],
+    "stamps": ["style_patches"],
+    "styled_runs": ["runs", "style_patches"],
+    "slots": ["commands"],
+    "parsed": ["slots"],
+    "history": ["edits"],
+    "totals": ["paragraphs"],
+    "counted_edits": ["edits", "edited"],
+}
+
+
+def _with_fixtures(names, body):
+    """``body`` preceded by the fixtures it names and those they need."""
+    wanted, ordered = list(names), []
+    while wanted:
+        name = wanted.pop(0)
+        ordered = [name, *(n for n in ordered if n != name)]
+        wanted.extend(NEEDS.get(name, []))
+    clauses = ", ".join(f"{name} AS ({FIXTURES[name]})" for name in ordered)
+    return f"WITH {clauses} {body}" if clauses else body
+
+
+REPLACED_CS = """SELECT doc_id, idx, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS matches,
+  replace(text, 'the', '{new}') AS new_text FROM paragraphs"""
+BLOCKS_CS = """SELECT doc_id, page_num, block_no,
+  CASE WHEN {condition} THEN CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) ELSE 0 END AS matches,
+  CASE WHEN {condition} THEN replace(text, 'the', 'THE') ELSE text END AS new_text FROM blocks"""
+IMAGES_REPLACED = """SELECT i.doc_id, i.page_num, i.part_id, coalesce(t.image, '') AS new_image
+FROM images i LEFT JOIN (
+  SELECT n.doc_id, n.part_id, q.image FROM {numbered} n
+  JOIN image_requests q ON n.doc_id = q.doc_id AND n.image_no = q.target_index WHERE q.image <> '') t
+ON i.doc_id = t.doc_id AND i.part_id = t.part_id"""
+
+BODIES = {
+    "upload_gate": (["catalog"], r"""
+SELECT doc_id, name, ext, ext IN ('.pdf', '.docx') AND size_bytes <= 10485760 AS accepted,
+  CASE WHEN ext NOT IN ('.pdf', '.docx') THEN 'file_type' WHEN size_bytes > 10485760 THEN 'file_size' ELSE '' END AS reject_reason
+FROM (SELECT *, regexp_extract(lower(name), '[^./][^/]*?(\.[^./]*)\z', 1) AS ext FROM catalog)"""),
+    "register_documents": (["catalog"], """
+SELECT c.doc_id, c.name, c.file_type, c.owner_id,
+  CAST(coalesce(CASE c.file_type WHEN 'docx' THEN i.n_all ELSE i.n_parts END, 0) AS BIGINT) AS images_count,
+  c.upload_date AS date, 'Uploaded document' AS action
+FROM catalog c LEFT JOIN (
+  SELECT l_orderkey AS doc_id, count(*) AS n_all, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_orderkey) i
+ON c.doc_id = i.doc_id
+WHERE c.file_type IN ('pdf', 'docx') AND c.size_bytes <= 10485760"""),
+    "content_paragraphs": (["paragraphs"], "SELECT doc_id, idx, text FROM paragraphs"),
+    "content_blocks": (["blocks", "doc_pages"], """
+SELECT p.doc_id, p.page_num, coalesce(b.block_no, -1) AS block_no, coalesce(b.text, '') AS text
+FROM doc_pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_num = b.page_num"""),
+    "html_blocks": ([], r"""
+SELECT doc_id, CAST(0 AS BIGINT) AS page_num, block_no, text FROM (
+  SELECT page_id AS doc_id, unnest(range(len(r))) AS block_no, regexp_replace(unnest(r), '^\s+|\s+\z', '', 'g') AS text
+  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS r FROM pages))
+WHERE text <> ''"""),
+    "docx_binary_scan": (["paragraphs"], """
+SELECT doc_id, 'paragraph' AS kind, idx, text FROM paragraphs WHERE doc_id % 50 <> 49
+UNION ALL SELECT doc_id, 'error', -1, '' FROM documents WHERE doc_id % 50 = 49"""),
+    "text_file_scan": (["paragraphs"], "SELECT doc_id, idx, text FROM paragraphs"),
+    "snapshot_write": (["edited", "catalog"], """
+SELECT e.doc_id, e.idx, e.new_text AS text, coalesce(c.file_type, 'other') AS file_type
+FROM edited e JOIN catalog c ON e.doc_id = c.doc_id"""),
+    "export_text": (["paragraphs", "catalog"], """
+SELECT coalesce(c.file_type, 'other') AS file_type, p.text AS line, count(*) AS n
+FROM paragraphs p JOIN catalog c ON p.doc_id = c.doc_id GROUP BY 1, 2"""),
+    "storage_keys": (["catalog"], r"""
+SELECT doc_id, concat(sha256(concat(doc_id, '|', name)), regexp_extract(name, '[^./][^/]*?(\.[^./]*)\z', 1)) AS storage_path
+FROM catalog"""),
+    "list_owner_documents": (["catalog"], "SELECT doc_id, name FROM catalog WHERE owner_id = 'src7'"),
+    "document_listing": (["catalog"], """
+SELECT doc_id AS id, name, coalesce(file_type, '') AS file_type, coalesce(images_count, 0) AS images_count, upload_date FROM catalog"""),
+    "route_by_type": (["catalog"], """
+SELECT doc_id, CASE file_type WHEN 'docx' THEN 'paragraphs' WHEN 'pdf' THEN 'blocks' ELSE 'unsupported' END AS route FROM catalog"""),
+    "valid_block_filter": (["blocks"], "SELECT * FROM blocks"),
+    "valid_edits": (["edits", "catalog", "doc_pages"], """
+SELECT doc_id, seq, reason = '' AS valid, reason FROM (
+  SELECT e.doc_id, e.seq, CASE
+    WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 'unsupported'
+    WHEN c.file_type = 'docx' AND e.idx IS NULL THEN 'no_index'
+    WHEN c.file_type = 'pdf' AND (e.page_num IS NULL OR e.block_no IS NULL) THEN 'no_address'
+    WHEN c.file_type = 'pdf' AND p.page_num IS NULL THEN 'no_such_page' ELSE '' END AS reason
+  FROM edits e LEFT JOIN catalog c ON e.doc_id = c.doc_id
+  LEFT JOIN doc_pages p ON e.doc_id = p.doc_id AND e.page_num = p.page_num)"""),
+    "page_labels": (["doc_pages", "blocks"], """
+SELECT doc_id, page_num, concat('Page ', page_num + 1) AS label,
+  CASE WHEN EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num) THEN '' ELSE 'This page appears to be blank.' END AS placeholder
+FROM doc_pages p"""),
+    "page_scoped_replace": (["blocks"], BLOCKS_CS.format(condition="page_num = 1")),
+    "resolve_requests": (["requests", "accounts", "catalog"], """
+SELECT r.request_id, r.doc_id, r.user_id, CAST(CASE WHEN a.user_id IS NULL THEN 401 WHEN c.doc_id IS NULL THEN 404
+  WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
+FROM requests r LEFT JOIN accounts a ON r.user_id = a.user_id
+LEFT JOIN catalog c ON r.doc_id = c.doc_id AND r.user_id = c.owner_id"""),
+    "apply_paragraph_edits": (["edited"], "SELECT doc_id, idx, new_text, changed FROM edited"),
+    "apply_block_edits": (["blocks", "doc_pages", "edits"], """
+SELECT b.doc_id, b.page_num, b.block_no, coalesce(l.new_text, b.text) AS new_text, l.new_text IS NOT NULL AND l.new_text <> b.text AS changed
+FROM blocks b LEFT JOIN (
+  SELECT e.doc_id, e.page_num, e.block_no, arg_max(e.text, e.seq) AS new_text
+  FROM edits e JOIN doc_pages p ON e.doc_id = p.doc_id AND e.page_num = p.page_num GROUP BY ALL) l
+ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.block_no = l.block_no"""),
+    "edit_runs": (["runs", "edited"], """
+SELECT r.doc_id, r.scope, r.idx, r.run_no,
+  CASE WHEN NOT e.changed THEN r.text WHEN r.run_no = 0 THEN e.new_text ELSE '' END AS text
+FROM runs r JOIN edited e ON r.doc_id = e.doc_id AND r.idx = e.idx
+UNION ALL SELECT doc_id, scope, idx, 0, new_text FROM edited WHERE changed AND old_text = ''"""),
+    "image_replacements": (["images", "image_requests", "by_occurrence"], IMAGES_REPLACED.format(numbered="by_occurrence")),
+    "image_replacements_distinct": (["images", "image_requests", "first_images"], IMAGES_REPLACED.format(numbered="first_images")),
+    "new_accounts": (["signups"], """
+SELECT email, min(seq) AS seq, arg_min(name, seq) AS name FROM signups
+WHERE email NOT IN (SELECT concat(lower(c_name), '@example.com') FROM customer WHERE c_custkey % 3 = 0) GROUP BY email"""),
+    "known_documents": (["requests"], "SELECT request_id, doc_id FROM requests WHERE doc_id IN (SELECT doc_id FROM documents)"),
+    "stamp_sections": (["sections", "stamps"], """
+SELECT s.doc_id, CAST(s.section_no AS BIGINT) AS section_no, s.part, CAST(s.para_no AS BIGINT) AS para_no,
+  CASE WHEN p.doc_id IS NULL THEN s.text WHEN s.para_no = 0 THEN p.new_text ELSE '' END AS text
+FROM sections s LEFT JOIN stamps p ON s.doc_id = p.doc_id AND s.part = p.part
+UNION ALL SELECT doc_id, unnest([0, 1]), part, 0, new_text FROM stamps WHERE doc_id % 10 = 0"""),
+    "stamp_pages": (["doc_pages", "stamps", "fonts"], """
+SELECT p.doc_id, p.page_num, s.part, s.new_text AS text, f.page_font, f.page_font_size
+FROM doc_pages p JOIN stamps s ON p.doc_id = s.doc_id JOIN fonts f ON p.doc_id = f.doc_id"""),
+    "picture_counts": (["catalog"], """
+SELECT c.doc_id, count(l.l_orderkey) AS images_count FROM catalog c LEFT JOIN lineitem l ON c.doc_id = l.l_orderkey
+WHERE c.file_type = 'docx' GROUP BY c.doc_id"""),
+    "distinct_image_counts": (["catalog"], """
+SELECT c.doc_id, count(DISTINCT l.l_partkey) AS images_count FROM catalog c LEFT JOIN lineitem l ON c.doc_id = l.l_orderkey
+WHERE c.file_type = 'pdf' GROUP BY c.doc_id"""),
+    "replaced_totals": (["totals"], "SELECT doc_id, matches FROM totals"),
+    "edits_by_page": (["edits"], """
+SELECT doc_id, page_num, count(*) AS n_edits, count(DISTINCT block_no) AS n_blocks, min(seq) AS first_seq, max(seq) AS last_seq
+FROM edits WHERE page_num IS NOT NULL AND block_no IS NOT NULL GROUP BY doc_id, page_num"""),
+    "page_stats": (["doc_pages", "blocks"], """
+SELECT p.doc_id, p.page_num, count(b.block_no) AS n_blocks, count(b.block_no) = 0 AS is_blank
+FROM doc_pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_num = b.page_num GROUP BY p.doc_id, p.page_num"""),
+    "document_stats": (["doc_pages", "blocks"], """
+SELECT p.doc_id, count(DISTINCT p.page_num) AS n_pages, count(b.block_no) AS n_blocks,
+  count(DISTINCT p.page_num) - count(DISTINCT b.page_num) AS n_blank_pages, count(b.block_no) = 0 AS is_blank
+FROM doc_pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_num = b.page_num GROUP BY p.doc_id"""),
+    "edit_counts": (["counted_edits"], "SELECT * FROM counted_edits"),
+    "page_ordinals": ([], """
+SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS page_num
+FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)"""),
+    "picture_ordinals": (["images"], "SELECT doc_id, part_id, pos AS image_no FROM images"),
+    "image_ordinals": (["first_images"], "SELECT doc_id, part_id, image_no FROM first_images"),
+    "latest_edits": (["latest"], "SELECT doc_id, idx, new_text FROM latest"),
+    "latest_block_edits": (["edits"], """
+SELECT doc_id, page_num, block_no, arg_max(text, seq) AS new_text FROM edits
+WHERE page_num IS NOT NULL AND block_no IS NOT NULL GROUP BY doc_id, page_num, block_no"""),
+    "documents_newest_first": (["catalog"], """
+SELECT doc_id, seq, name, row_number() OVER (ORDER BY seq DESC) - 1 AS position FROM catalog"""),
+    "history_timeline": (["history"], """
+SELECT doc_id, seq, action, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS entry_no FROM history"""),
+    "reconstruct_documents": (["paragraphs"], """
+SELECT doc_id, CAST(floor(idx / 65536) AS BIGINT) AS part_no, string_agg(text, chr(10) ORDER BY idx) AS text
+FROM paragraphs GROUP BY 1, 2"""),
+    "reconstruct_pages": (["blocks"], """
+SELECT doc_id, page_num, CAST(floor(block_no / 65536) AS BIGINT) AS part_no, string_agg(text, chr(10) ORDER BY block_no) AS text
+FROM blocks GROUP BY 1, 2, 3"""),
+    "content_all": (["catalog", "paragraphs", "blocks"], """
+SELECT c.doc_id, c.file_type, p.idx, CAST(-1 AS BIGINT) AS page_num, CAST(-1 AS BIGINT) AS block_no, p.text
+FROM catalog c JOIN paragraphs p ON c.doc_id = p.doc_id WHERE c.file_type = 'docx'
+UNION ALL SELECT c.doc_id, c.file_type, -1, b.page_num, b.block_no, b.text
+FROM catalog c JOIN blocks b ON c.doc_id = b.doc_id WHERE c.file_type = 'pdf'"""),
+    "replace_body_and_tables": (["paragraphs"], REPLACED_CS.format(new="THE") + " WHERE scope IN ('body', 'table')"),
+    "history_append": (["catalog", "style_patches", "counted_edits", "totals"], """
+SELECT doc_id, CAST(0 AS BIGINT) AS seq, 'Uploaded document' AS action FROM catalog
+WHERE file_type IN ('pdf', 'docx') AND size_bytes <= 10485760
+UNION ALL SELECT doc_id, 1, concat('Updated styling: font=', coalesce(font_name, 'None'), ', size=', coalesce(CAST(font_size AS VARCHAR), 'None'),
+  ', header=', CASE WHEN header_text IS NULL THEN 'False' ELSE 'True' END,
+  ', footer=', CASE WHEN footer_text IS NULL THEN 'False' ELSE 'True' END, ', img=False') FROM style_patches
+UNION ALL SELECT doc_id, 2, concat('Edited text content (', n_submitted, ' block(s))') FROM counted_edits
+UNION ALL SELECT doc_id, 3, concat('Find & Replace: ''the'' -> ''THE'' (', matches, ' matches)') FROM totals WHERE matches > 0"""),
+    "find_replace_cs": (["paragraphs"], REPLACED_CS.format(new="THE")),
+    "find_replace_ci": (["paragraphs"], r"""
+SELECT doc_id, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,
+  regexp_replace(text, '(?i)the', '$1\\', 'g') AS new_text FROM paragraphs"""),
+    "find_replace_blocks": (["blocks"], BLOCKS_CS.format(condition="true")),
+    "find_replace_blocks_ci": (["blocks"], r"""
+SELECT doc_id, page_num, block_no, CAST(len(regexp_extract_all(text, '(?i)of\s+the')) AS BIGINT) AS matches,
+  regexp_replace(text, '(?i)of\s+the', 'OF THE', 'g') AS new_text FROM blocks"""),
+    "find_replace_blocks_outer_blank": (["blocks"], """
+SELECT doc_id, page_num, block_no, CAST(0 AS BIGINT) AS matches, text AS new_text FROM blocks"""),
+    "replace_by_rule": (["paragraphs", "rules"], r"""
+SELECT p.doc_id, p.idx, CAST(CASE WHEN r.find_text = '' THEN 0
+    WHEN r.case_sensitive THEN (length(p.text) - length(replace(p.text, r.find_text, ''))) / length(r.find_text)
+    ELSE len(regexp_extract_all(p.text, '(?i)' || regexp_escape(r.find_text))) END AS BIGINT) AS matches,
+  CASE WHEN r.find_text = '' THEN p.text WHEN r.case_sensitive THEN replace(p.text, r.find_text, r.replace_text)
+    ELSE regexp_replace(p.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS new_text
+FROM paragraphs p JOIN rules r ON p.doc_id = r.doc_id"""),
+    "rejected_rules": (["rules"], "SELECT doc_id, seq FROM rules WHERE find_text = ''"),
+    "delete_text": (["paragraphs"], REPLACED_CS.format(new="")),
+    "cross_run_replace": (["runs", "paragraphs"], """
+SELECT r.doc_id, r.scope, r.idx, r.run_no, CASE WHEN n = 0 THEN r.text WHEN r.run_no = 0 THEN replace(p.text, 'of the', 'OF THE') ELSE '' END AS text, p.n AS matches
+FROM runs r JOIN (SELECT *, CAST((length(text) - length(replace(text, 'of the', ''))) / 6 AS BIGINT) AS n FROM paragraphs) p
+ON r.doc_id = p.doc_id AND r.idx = p.idx"""),
+    "apply_run_style": (["styled_runs"], """
+SELECT doc_id, scope, idx, run_no, coalesce(font_name, '') AS font_name, coalesce(font_size, 0.0::DOUBLE) AS font_size FROM styled_runs"""),
+    "font_family_map": (["fonts"], "SELECT * FROM fonts"),
+    "history_actions": (["style_patches"], """
+SELECT doc_id, concat('Updated styling: font=', coalesce(font_name, 'None'), ', size=', coalesce(CAST(font_size AS VARCHAR), 'None'),
+  ', header=', CASE WHEN header_text IS NULL THEN 'False' ELSE 'True' END,
+  ', footer=', CASE WHEN footer_text IS NULL THEN 'False' ELSE 'True' END, ', img=False') AS action FROM style_patches"""),
+    "parse_replace_command": (["parsed"], """
+SELECT command_id, CASE WHEN understood THEN find_text ELSE '' END AS find_text, CASE WHEN understood THEN replace_text ELSE '' END AS replace_text FROM parsed"""),
+    "strip_text": (["stripped"], "SELECT doc_id, page_num, block_no, text FROM stripped"),
+    "apply_commands": (["parsed"], r"""
+SELECT c.command_id, c.doc_id, c.find_text, c.replace_text,
+  regexp_replace(d.text, '(?i)' || regexp_escape(c.find_text), replace(c.replace_text, '\', '\\'), 'g') AS new_text,
+  CAST(len(regexp_extract_all(d.text, '(?i)' || regexp_escape(c.find_text))) AS BIGINT) AS matches
+FROM parsed c JOIN documents d ON c.doc_id = d.doc_id WHERE c.understood"""),
+    "edit_stack": ([], """
+SELECT doc_id, replace(b, 'que', 'QUE') AS text,
+  CAST((length(text) - length(replace(text, 'the', ''))) / 3 + (length(a) - length(replace(a, 'THE', ''))) / 3
+    + (length(b) - length(replace(b, 'que', ''))) / 3 AS BIGINT) AS matches
+FROM (SELECT *, replace(a, 'THE', 'x') AS b FROM (SELECT doc_id, text, replace(text, 'the', 'THE') AS a FROM documents))"""),
+    "upload_dates": (["catalog"], "SELECT doc_id, upload_date FROM catalog"),
+    "stream_latest_edits": (["latest"], "SELECT doc_id, idx, new_text FROM latest"),
+    "stream_uploads": (["catalog"], r"""
+SELECT doc_id, name, file_type, concat(sha256(concat(doc_id, '|', name)), regexp_extract(name, '[^./][^/]*?(\.[^./]*)\z', 1)) AS storage_path
+FROM catalog WHERE file_type IN ('pdf', 'docx') AND size_bytes <= 10485760"""),
+    "keyword_topk": ([], r"""
+WITH tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+scored AS (SELECT doc_id, word, round(tf * ln((SELECT count(*) FROM documents) / df), 6) AS score FROM tf JOIN df USING (word)),
+ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank, word, score FROM scored)
+SELECT doc_id, rank, word, score FROM ranked WHERE rank <= 3"""),
+    "slot_exact_match": (["parsed"], """
+SELECT count(*) AS n_prompts, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS n_exact, round(avg(CAST(hit AS INT)), 6) AS share
+FROM (SELECT CASE WHEN is_text THEN NOT understood ELSE understood AND find_text = f AND replace_text = r END AS hit FROM parsed)"""),
+    "style_preservation": (["styled_runs"], """
+SELECT doc_id, count(*) AS n_runs, count(*) FILTER (same) AS n_kept, round(count(*) FILTER (same) / count(*), 6) AS share
+FROM (SELECT doc_id, font_name IS NOT DISTINCT FROM old_name AND font_size IS NOT DISTINCT FROM old_size AS same FROM styled_runs)
+GROUP BY doc_id"""),
+}
+FIXTURES["by_occurrence"] = "SELECT DISTINCT doc_id, part_id, pos AS image_no FROM images"
+NEEDS["by_occurrence"] = ["images"]
+
+ORACLES = {name: _with_fixtures(*spec) for name, spec in BODIES.items()}

@@ -86,7 +86,7 @@ def docx_binary_scan(spark, sf):
 
 def text_file_scan(spark, sf):
     folder = shared_folder(spark, "text-files")
-    sinks.export_text_files(fx.table(spark, sf, "documents"), folder)
+    sinks.export_text_files(fx.documents(spark, sf), folder)
     doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
     return text_files.text_file_scan(spark, folder).select(doc_id.alias("doc_id"), "idx", "text")
 

@@ -14,10 +14,7 @@ def text_file_scan(spark, path, glob="*.txt", max_bytes=MAX_UPLOAD_BYTES):
     ends the last line does not start another paragraph.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .where(F.col("_metadata.file_size") <= max_bytes)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )

@@ -3,8 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Blanks at the ends that a strip removes: Unicode white space plus U+001C to U+001F.
-OUTER_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Characters that a strip removes at the ends: Unicode white space plus U+001C to U+001F.
+OUTER_BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def require_needle(find_text):
@@ -13,7 +13,7 @@ def require_needle(find_text):
 
 
 def strip_text(text):
-    return F.regexp_replace(text, OUTER_BLANKS, "")
+    return F.btrim(text, F.lit(OUTER_BLANKS))
 
 
 def as_column(value):

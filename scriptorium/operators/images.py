@@ -46,7 +46,7 @@ def picture_ordinals(images):
 def image_ordinals(images):
     """Number distinct images from 0 in order of first appearance."""
     first = images.groupBy("doc_id", "part_id").agg(F.min("pos").alias("pos"))
-    return with_ordinal(first, ["doc_id"], "pos", "image_no")
+    return with_ordinal(first, ["doc_id"], "pos", "image_no", sized_by=images)
 
 
 def replace_images(images, requests, by_occurrence):

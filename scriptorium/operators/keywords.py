@@ -17,7 +17,8 @@ def keyword_topk(docs, k=3):
         .groupBy("doc_id", "word")
         .agg(F.count("*").alias("tf"))
     )
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    # counting over tf itself keeps both uses of the exchange alike, so it runs once
+    df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
     n_docs = docs.select(F.count("*").alias("n")).scalar()
     scored = tf.join(df, "word").withColumn(
         "score", F.round(F.col("tf") * F.log(n_docs / F.col("df")), 6)

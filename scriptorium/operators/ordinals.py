@@ -1,14 +1,16 @@
 """Exact ordinals over groups of any size.
 
-``row_number() over (partition by key)`` sorts a whole group in one task. Here the
-ordering column is an integer that is unique within its group, so cutting its range
-into blocks of ``2**BLOCK_BITS`` values bounds every window by that many rows, however
-many rows a key has; what stands before a block comes from counts per block.
+``row_number() over (partition by key)`` sorts a whole group in one task. That is fine up
+to ``HOT_ROWS`` rows. Keys with more are counted in blocks: the ordering column is an
+integer that is unique within its group, so cutting its range into blocks of
+``2**BLOCK_BITS`` values bounds every window by that many rows, however many rows a key
+has; what stands before a block comes from counts per block.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1 << 20
 BLOCK_BITS = 20
 # 2**20 values per block, blocks and blocks of blocks: at most 2**24 rows are left on top
 LEVELS = 2
@@ -33,10 +35,24 @@ def _sum_before(df, keys, order, amount, out, levels):
     )
 
 
-def with_ordinal(df, keys, order, out):
+def _in_blocks(df, keys, order, out):
+    counted = df.withColumn("_one", F.lit(1).cast("long"))
+    return _sum_before(counted, keys, order, "_one", out, LEVELS).drop("_one")
+
+
+def with_ordinal(df, keys, order, out, sized_by=None, hot_rows=HOT_ROWS):
     """Add ``out`` = 0-based position by the bigint ``order`` within ``keys``.
 
-    Keys and order must not be null.
+    Keys with more than ``hot_rows`` rows are separated before anything is shuffled by
+    key. There can be no more of them than rows / ``hot_rows``, which bounds what is
+    broadcast; mostly there are none and that branch falls away at run time. Where ``df``
+    is costly, ``sized_by`` can be a cheaper table with at least its rows per key.
     """
-    counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return _sum_before(counted, keys, order, "_one", out, LEVELS).drop("_one")
+    if not keys:
+        return _in_blocks(df, keys, order, out)
+    sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = F.broadcast(sizes.where(F.col("_rows") > hot_rows).select(*keys))
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    plain = df.join(hot, keys, "left_anti").withColumn(out, (position - 1).cast("long"))
+    blocked = _in_blocks(df.join(hot, keys, "left_semi"), keys, order, out)
+    return plain.select(*df.columns, out).unionByName(blocked)

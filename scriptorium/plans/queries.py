@@ -16,7 +16,7 @@ from scriptorium.operators import (
 )
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans.packing import docx_files_of
-from scriptorium.session import shared_folder
+from scriptorium.session import shared_folder, spread
 from scriptorium.sources import content, docx, sinks, text_files, uploads
 from scriptorium.streaming import edits as stream_edits
 from scriptorium.streaming import uploads as stream_up
@@ -68,7 +68,7 @@ def content_blocks(spark, sf):
 
 
 def html_blocks(spark, sf):
-    return content.html_blocks(fx.table(spark, sf, "pages"))
+    return content.html_blocks(spread(fx.table(spark, sf, "pages").select("page_id", "html")))
 
 
 def docx_binary_scan(spark, sf):

@@ -13,9 +13,13 @@ from scriptorium.functions.text import (
     replace_exact,
     replace_matches,
     require_needle,
+    strip_text,
 )
+from scriptorium.operators.ordinals import with_ordinal
 
 BODY_AND_TABLES = ["body", "table"]
+# rules folded over a document in one go; more of them take another round
+STACK_RULES = 1000
 
 
 def find_replace(paragraphs, find_text, replace_text, case_sensitive=True):
@@ -41,6 +45,24 @@ def replaced_totals(replaced):
     return replaced.groupBy("doc_id").agg(F.sum("matches").alias("matches"))
 
 
+def _page_profile(text, find_text, replace_text, case_sensitive):
+    """New text and count for columns of text and rule; literal rules fold to one branch."""
+    pattern = page_search_pattern(find_text)
+    caseless = F.regexp_replace(text, pattern, quoted_replacement(replace_text))
+    no_outer_blanks = strip_text(find_text) == find_text
+    new_text = (
+        F.when(~case_sensitive, caseless)
+        .when(no_outer_blanks, replace_exact(text, find_text, replace_text))
+        .otherwise(text)
+    )
+    matches = (
+        F.when(~case_sensitive, F.regexp_count(text, pattern).cast("long"))
+        .when(no_outer_blanks, count_exact(text, find_text))
+        .otherwise(0)
+    )
+    return new_text, matches
+
+
 def find_replace_blocks(blocks, find_text, replace_text, case_sensitive=True, page=None):
     """Page profile of find and replace, on one page or, with ``page=None``, on all.
 
@@ -48,21 +70,15 @@ def find_replace_blocks(blocks, find_text, replace_text, case_sensitive=True, pa
     hits must equal the needle once stripped, so a needle with outer blanks has none.
     """
     require_needle(find_text)
-    text, zero = F.col("text"), F.lit(0).cast("long")
-    if not case_sensitive:
-        pattern = page_search_pattern(find_text)
-        new_text = F.regexp_replace(text, pattern, quoted_replacement(replace_text))
-        matches = F.regexp_count(text, pattern).cast("long")
-    elif find_text == find_text.strip():
-        new_text = replace_exact(text, find_text, replace_text)
-        matches = count_exact(text, find_text)
-    else:
-        new_text, matches = text, zero
-    if page is not None:
-        on_page = F.col("page_num") == page
-        new_text = F.when(on_page, new_text).otherwise(text)
-        matches = F.when(on_page, matches).otherwise(zero)
-    return blocks.withColumn("new_text", new_text).withColumn("matches", matches)
+    on_page = F.lit(True) if page is None else F.col("page_num") == page
+    rule = F.lit(find_text), F.lit(replace_text), F.lit(case_sensitive)
+    new_text, matches = _page_profile(F.col("text"), *rule)
+    return blocks.withColumns(
+        {
+            "new_text": F.when(on_page, new_text).otherwise(F.col("text")),
+            "matches": F.when(on_page, matches).otherwise(0),
+        }
+    )
 
 
 def rejected_rules(rules):
@@ -70,31 +86,51 @@ def rejected_rules(rules):
     return rules.where(F.coalesce(F.col("find_text"), F.lit("")) == "")
 
 
-def replace_by_rule(paragraphs, rules):
-    """One rule per document, looked up by ``doc_id``; documents without one stay as they are.
-
-    ``rules`` has one row per document, so the join never multiplies paragraphs, and a
-    document holding a large part of them is split by the adaptive skew join.
-    """
-    usable = rules.where(F.length("find_text") > 0).select(
-        "doc_id", "find_text", "replace_text", "case_sensitive"
-    )
-    text, find_text, replace_text = (F.col(c) for c in ("text", "find_text", "replace_text"))
-    exact = F.coalesce(F.col("case_sensitive"), F.lit(True))
-    new_text = F.when(exact, replace_exact(text, find_text, replace_text)).otherwise(
+def _text_profile(text, find_text, replace_text, case_sensitive):
+    new_text = F.when(case_sensitive, replace_exact(text, find_text, replace_text)).otherwise(
         replace_caseless(text, find_text, replace_text)
     )
-    matches = F.when(exact, count_exact(text, find_text)).otherwise(
+    matches = F.when(case_sensitive, count_exact(text, find_text)).otherwise(
         count_caseless(text, find_text)
     )
-    return (
-        paragraphs.join(usable, "doc_id", "left")
-        .withColumn("new_text", F.when(find_text.isNull(), text).otherwise(new_text))
-        .withColumn("matches", F.when(find_text.isNull(), F.lit(0)).otherwise(matches))
-        .drop("find_text", "replace_text", "case_sensitive")
+    return new_text, matches
+
+
+def _by_rule(content, rules, profile):
+    """Look up the rule of each row's document; rows it does not concern stay as they are.
+
+    ``rules`` has one row per document, so the join never multiplies rows. A document
+    holding a large part of them is split by the adaptive skew join.
+    """
+    page = F.col("page") if "page" in rules.columns else F.lit(None).cast("long")
+    usable = rules.where(F.length("find_text") > 0).select(
+        "doc_id",
+        F.col("find_text").alias("_find"),
+        F.col("replace_text").alias("_replace"),
+        F.coalesce("case_sensitive", F.lit(True)).alias("_exact"),
+        page.alias("_page"),
+    )
+    concerned = F.col("_find").isNotNull()
+    if "page_num" in content.columns:
+        concerned &= F.col("_page").isNull() | (F.col("_page") == F.col("page_num"))
+    new_text, matches = profile(F.col("text"), F.col("_find"), F.col("_replace"), F.col("_exact"))
+    return content.join(usable, "doc_id", "left").select(
+        *content.columns,
+        F.when(concerned, new_text).otherwise(F.col("text")).alias("new_text"),
+        F.when(concerned, matches).otherwise(0).alias("matches"),
     )
 
 
+def replace_by_rule(paragraphs, rules):
+    """``rules(doc_id, find_text, replace_text, case_sensitive)``, one per document."""
+    return _by_rule(paragraphs, rules, _text_profile)
+
+
+def replace_blocks_by_rule(blocks, rules):
+    """The page profile with one rule per document; its ``page``, if any, limits the rule."""
+    return _by_rule(blocks, rules, _page_profile)
+
+
 def cross_run_replace(runs, find_text, replace_text, case_sensitive=True):
     """Replace over the joined runs of each paragraph, so a match may span runs.
 
@@ -142,6 +178,44 @@ def edit_stack(docs, rules):
     return current
 
 
+def edit_stack_by_document(docs, rules, round_rules=STACK_RULES):
+    """Apply to every document its own ``rules(doc_id, seq, find_text, replace_text,
+    case_sensitive)`` in ``seq`` order, each on the result of the one before.
+
+    The rules of a document are folded over its text in rounds of ``round_rules``, so no
+    task gathers more of them however many a document has; nearly always that is one
+    round. How many there are is the only thing asked for ahead.
+    """
+    usable = rules.where(F.length("find_text") > 0)
+    numbered = with_ordinal(usable, ["doc_id"], "seq", "n").select(
+        "doc_id",
+        F.floor(F.col("n") / round_rules).cast("long").alias("round"),
+        F.struct("n", "find_text", "replace_text", "case_sensitive").alias("rule"),
+    )
+    last = numbered.agg(F.max("round")).first()[0]
+
+    def step(state, rule):
+        parts = rule["find_text"], rule["replace_text"], F.coalesce(rule["case_sensitive"], F.lit(True))
+        new_text, matches = _text_profile(state["text"], *parts)
+        return F.struct(new_text.alias("text"), (state["matches"] + matches).alias("matches"))
+
+    current = docs.withColumn("matches", F.lit(0).cast("long"))
+    others = [c for c in docs.columns if c != "text"]
+    for number in range(0 if last is None else last + 1):
+        stack = (
+            numbered.where(F.col("round") == number)
+            .groupBy("doc_id")
+            .agg(F.array_sort(F.collect_list("rule")).alias("stack"))
+        )
+        start = F.struct("text", "matches")
+        folded = F.when(F.col("stack").isNull(), start).otherwise(
+            F.aggregate("stack", start, step)
+        )
+        joined = current.join(stack, "doc_id", "left")
+        current = joined.withColumn("state", folded).select(*others, "state.text", "state.matches")
+    return current
+
+
 def parsed_commands(commands):
     """Add ``find_text`` and ``replace_text``; both null where the prompt is not understood."""
     parsed = commands.withColumn("parsed", parse_replace_command(F.col("prompt")))

@@ -213,18 +213,52 @@ def commands(spark, sf_dir):
     )
 
 
-def rules(spark, sf_dir):
-    """One rule per document; every fifth has an empty needle and cannot run."""
-    doc_id = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        doc_id.alias("seq"),
+def rule_columns(doc_id):
+    return (
         _case(doc_id, "the", "que", "$", "en", "").alias("find_text"),
         _case(doc_id, "$1", "\\1", "a\\b").alias("replace_text"),
         (doc_id % 2 == 0).alias("case_sensitive"),
     )
 
 
+def rules(spark, sf_dir):
+    """One rule per document; every fifth has an empty needle and cannot run."""
+    doc_id = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", doc_id.alias("seq"), *rule_columns(doc_id))
+
+
+def stack_rules(spark, sf_dir):
+    """Three rules per document, one reading what another wrote; the last only on even ones."""
+    doc_id = F.col("doc_id")
+    def step(seq, find_text, replace_text):
+        return F.struct(
+            F.lit(seq).cast("long").alias("seq"),
+            F.lit(find_text).alias("find_text"),
+            replace_text.alias("replace_text"),
+        )
+
+    steps = F.array(
+        step(1, "the", F.lit("THE")),
+        step(2, "THE", F.concat(F.lit("x"), doc_id % 3)),
+        step(3, "QUE", F.lit("q")),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(steps))
+    return rows.where("seq < 3 OR doc_id % 2 = 0").withColumn(
+        "case_sensitive", F.col("seq") < 3
+    )
+
+
+def replace_requests(spark, sf_dir):
+    """One request per document, with its rule; every fourth comes from a fixed user."""
+    owner = F.when(F.col("doc_id") % 4 == 0, "src1").otherwise(F.col("source"))
+    requested = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("request_id"), "doc_id", owner.alias("user_id"),
+        *rule_columns(F.col("doc_id")),
+    )
+    return requested
+
+
 def history(spark, sf_dir):
     """Uploads and one entry per submitted edit, ordered by ``seq`` in each document."""
     uploads = table(spark, sf_dir, "documents").select(

@@ -339,6 +339,36 @@ SELECT doc_id, replace(b, 'que', 'QUE') AS text,
   CAST((length(text) - length(replace(text, 'the', ''))) / 3 + (length(a) - length(replace(a, 'THE', ''))) / 3
     + (length(b) - length(replace(b, 'que', ''))) / 3 AS BIGINT) AS matches
 FROM (SELECT *, replace(a, 'THE', 'x') AS b FROM (SELECT doc_id, text, replace(text, 'the', 'THE') AS a FROM documents))"""),
+    "edit_stack_by_document": ([], """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(b, '(?i)que', 'q', 'g') ELSE b END AS text,
+  CAST((length(text) - length(replace(text, 'the', ''))) / 3 + (length(a) - length(replace(a, 'THE', ''))) / 3
+    + CASE WHEN doc_id % 2 = 0 THEN len(regexp_extract_all(b, '(?i)que')) ELSE 0 END AS BIGINT) AS matches
+FROM (SELECT *, replace(a, 'THE', concat('x', doc_id % 3)) AS b FROM (SELECT doc_id, text, replace(text, 'the', 'THE') AS a FROM documents))"""),
+    "replace_blocks_by_rule": (["blocks", "rules"], r"""
+SELECT b.doc_id, b.page_num, b.block_no, CAST(CASE WHEN r.find_text = '' OR (b.doc_id % 7 = 0 AND b.page_num <> 1) THEN 0
+    WHEN r.case_sensitive THEN (length(b.text) - length(replace(b.text, r.find_text, ''))) / length(r.find_text)
+    ELSE len(regexp_extract_all(b.text, '(?i)' || regexp_escape(r.find_text))) END AS BIGINT) AS matches,
+  CASE WHEN r.find_text = '' OR (b.doc_id % 7 = 0 AND b.page_num <> 1) THEN b.text
+    WHEN r.case_sensitive THEN replace(b.text, r.find_text, r.replace_text)
+    ELSE regexp_replace(b.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS new_text
+FROM blocks b JOIN rules r ON b.doc_id = r.doc_id"""),
+    "find_replace_requests": (["catalog", "accounts", "rules", "paragraphs", "blocks"], """
+SELECT q.doc_id AS request_id, q.doc_id, q.status, q.matches,
+  CASE WHEN q.matches > 0 THEN concat('Find & Replace: ''', r.find_text, ''' -> ''', r.replace_text, ''' (', q.matches, ' matches)') ELSE '' END AS action
+FROM (
+  SELECT s.doc_id, s.status, CAST(CASE WHEN s.status = 200 THEN coalesce(m.n, 0) ELSE 0 END AS BIGINT) AS matches
+  FROM (
+    SELECT c.doc_id, CAST(CASE WHEN u.user_id NOT IN (SELECT user_id FROM accounts) THEN 401 WHEN u.user_id <> c.owner_id THEN 404
+      WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
+    FROM catalog c JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'src1' ELSE source END AS user_id FROM documents) u ON c.doc_id = u.doc_id) s
+  LEFT JOIN (
+    SELECT t.doc_id, sum(CASE WHEN r.find_text = '' THEN 0
+      WHEN r.case_sensitive THEN (length(t.text) - length(replace(t.text, r.find_text, ''))) / length(r.find_text)
+      ELSE len(regexp_extract_all(t.text, '(?i)' || regexp_escape(r.find_text))) END) AS n
+    FROM (SELECT p.doc_id, p.text FROM paragraphs p JOIN catalog c ON p.doc_id = c.doc_id WHERE c.file_type = 'docx' AND p.scope IN ('body', 'table')
+      UNION ALL SELECT b.doc_id, b.text FROM blocks b JOIN catalog c ON b.doc_id = c.doc_id WHERE c.file_type = 'pdf') t
+    JOIN rules r ON t.doc_id = r.doc_id GROUP BY t.doc_id) m ON s.doc_id = m.doc_id) q
+JOIN rules r ON q.doc_id = r.doc_id"""),
     "upload_dates": (["catalog"], "SELECT doc_id, upload_date FROM catalog"),
     "stream_latest_edits": (["latest"], "SELECT doc_id, idx, new_text FROM latest"),
     "stream_uploads": (["catalog"], r"""

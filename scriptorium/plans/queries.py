@@ -15,6 +15,7 @@ from scriptorium.operators import (
     style,
 )
 from scriptorium.plans import fixtures as fx
+from scriptorium.plans import requests as batch
 from scriptorium.plans.packing import docx_files_of
 from scriptorium.session import shared_folder, spread
 from scriptorium.sources import content, docx, sinks, text_files, uploads
@@ -360,6 +361,23 @@ def replace_by_rule(spark, sf):
     return replaced.select(REPLACED)
 
 
+def replace_blocks_by_rule(spark, sf):
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    page = F.when(F.col("doc_id") % 7 == 0, 1).cast("long")
+    rules = fx.rules(spark, sf).withColumn("page", page)
+    return rep.replace_blocks_by_rule(blocks, rules).select(BLOCKS_REPLACED)
+
+
+def find_replace_requests(spark, sf):
+    return batch.find_replace_requests(
+        fx.replace_requests(spark, sf),
+        fx.accounts(spark, sf),
+        fx.catalog(spark, sf),
+        fx.paragraphs(spark, sf),
+        content.valid_blocks(fx.raw_blocks(spark, sf)),
+    ).select("request_id", "doc_id", "status", "matches", "action")
+
+
 def rejected_rules(spark, sf):
     return rep.rejected_rules(fx.rules(spark, sf)).select("doc_id", "seq")
 
@@ -420,6 +438,10 @@ def edit_stack(spark, sf):
     return rep.edit_stack(fx.documents(spark, sf), STACK)
 
 
+def edit_stack_by_document(spark, sf):
+    return rep.edit_stack_by_document(fx.documents(spark, sf), fx.stack_rules(spark, sf))
+
+
 def upload_dates(spark, sf):
     return cat.upload_dates(fx.catalog(spark, sf))
 
@@ -487,9 +509,11 @@ QUERIES = {
         documents_newest_first, history_timeline, reconstruct_documents, reconstruct_pages,
         content_all, replace_body_and_tables, history_append,
         find_replace_cs, find_replace_ci, find_replace_blocks, find_replace_blocks_ci,
-        find_replace_blocks_outer_blank, replace_by_rule, rejected_rules, delete_text,
+        find_replace_blocks_outer_blank, replace_by_rule, replace_blocks_by_rule,
+        find_replace_requests, rejected_rules, delete_text,
         cross_run_replace, apply_run_style, font_family_map, history_actions,
-        parse_replace_command, strip_blocks, apply_commands, edit_stack, upload_dates,
+        parse_replace_command, strip_blocks, apply_commands, edit_stack,
+        edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
         keyword_topk, slot_exact_match, style_preservation,
     )

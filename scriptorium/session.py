@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+SPREAD_SPLITS = 64
+
 
 def local_session(cores="*", shuffle_partitions=8, memory="16g"):
     """Session for tests and benchmarks; clusters bring their own master and sizes."""
@@ -53,10 +55,11 @@ def shared_folder(spark, label):
 
 
 def spread(df):
-    """Use all cores on an input that comes in fewer splits than there are cores.
+    """Use all cores on an input that comes in a few splits only.
 
-    Inputs of cluster size have many more splits than cores and pass unchanged, so
-    this never adds an exchange of a large table.
+    An input of more than ``SPREAD_SPLITS`` splits, or of as many as there are cores,
+    passes unchanged, so this never adds an exchange of a large table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SPREAD_SPLITS) else df

@@ -132,6 +132,8 @@ def docx_elements(files, max_bytes=MAX_UPLOAD_BYTES):
 
     A file that cannot be read, or is over the upload limit, gives one row of kind
     ``error``. The size filter is part of the scan: content of larger files is not read.
+    Files reach a task in Arrow batches, limited in bytes by the session's
+    ``spark.sql.execution.arrow.maxBytesPerBatch``, and are parsed one by one.
     """
     parsed = files.where(F.col("length") <= max_bytes).select("path", "content")
     too_large = files.where(F.col("length") > max_bytes).select(

@@ -167,3 +167,17 @@ def test_stack_applies_in_order(table):
     docs = table("doc_id long, text string", (1, "the THE que"))
     row = rep.edit_stack(docs, [("the", "THE"), ("THE", "x"), ("que", "QUE")]).first()
     assert (row.text, row.matches) == ("x x QUE", 4)
+
+
+def test_stack_of_each_document_in_rounds(table, rows):
+    docs = table("doc_id long, text string", (1, "ab"), (2, "ab"), (3, "ab"))
+    rules = table(
+        "doc_id long, seq long, find_text string, replace_text string, case_sensitive boolean",
+        (1, 30, "c", "d", True), (1, 10, "a", "bb", True), (1, 20, "B", "c", False),
+        (1, 25, "", "x", True), (2, 5, "B", "x", True), (2, 6, "B", "$1", False),
+    )
+    expected = [(1, "ddd", 7), (2, "a$1", 1), (3, "ab", 0)]
+    for round_rules in (1, 2, 1000):
+        found = rep.edit_stack_by_document(docs, rules, round_rules)
+        assert rows(found, "doc_id", "text", "matches") == expected
+    assert rows(rep.edit_stack_by_document(docs, rules.limit(0)), "text") == [("ab",)] * 3

@@ -52,10 +52,9 @@ def apply_paragraph_edits(paragraphs, edits):
     return _apply(paragraphs, edits, PARAGRAPH)
 
 
-def apply_block_edits(blocks, pages, edits):
-    """Last edit per page and block wins; edits of pages that do not exist are skipped."""
-    on_pages = edits.join(pages.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
-    return _apply(blocks, on_pages, BLOCK)
+def apply_block_edits(blocks, edits):
+    """Last edit per page and block wins; an edit of a page without blocks meets nothing."""
+    return _apply(blocks, edits, BLOCK)
 
 
 def edit_runs(runs, edited):

@@ -56,13 +56,15 @@ def replace_images(images, requests, by_occurrence):
     image. Indexes out of range and empty images are ignored; the last request for a
     part wins, and all occurrences of the part change together.
     """
-    usable = requests.where((F.col("target_index") >= 0) & (F.length("image") > 0)).select(
-        "doc_id", "seq", F.col("target_index").alias("image_no"), "image"
+    usable = requests.where((F.col("target_index") >= 0) & (F.length("image") > 0))
+    # one request per index before the join: only the last can matter
+    last = usable.groupBy("doc_id", F.col("target_index").alias("image_no")).agg(
+        F.max("seq").alias("seq"), F.max_by("image", "seq").alias("image")
     )
     numbered = picture_ordinals(images) if by_occurrence else image_ordinals(images)
     targets = (
         numbered.select("doc_id", "image_no", "part_id")
-        .join(usable, ["doc_id", "image_no"])
+        .join(last, ["doc_id", "image_no"])
         .groupBy("doc_id", "part_id")
         .agg(F.max_by("image", "seq").alias("new_image"))
     )

@@ -6,6 +6,8 @@ its input. ``oracles.FIXTURES`` states the same tables in SQL.
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions.audit import content_action
+from scriptorium.operators.history import history_append, upload_entries
 from scriptorium.session import spread
 from scriptorium.sources.content import content_paragraphs
 
@@ -261,10 +263,11 @@ def replace_requests(spark, sf_dir):
 
 def history(spark, sf_dir):
     """Uploads and one entry per submitted edit, ordered by ``seq`` in each document."""
-    uploads = table(spark, sf_dir, "documents").select(
-        "doc_id", F.lit(-1).cast("long").alias("seq"), F.lit("Uploaded document").alias("action")
-    )
-    edited = edits(spark, sf_dir).select(
-        "doc_id", "seq", F.lit("Edited text content (1 block(s))").alias("action")
+    uploaded = upload_entries(catalog(spark, sf_dir), F.lit(-1).cast("long"))
+    edited = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"),
+        F.col("event_id").alias("seq"),
+        F.to_date("ts").alias("date"),
+        content_action(F.lit(1)).alias("action"),
     )
-    return uploads.unionByName(edited)
+    return history_append(uploaded, edited)

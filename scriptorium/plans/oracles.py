@@ -107,8 +107,8 @@ SELECT doc_id, doc_id AS seq,
   doc_id % 2 = 0 AS case_sensitive
 FROM documents""",
     "history": """
-SELECT doc_id, CAST(-1 AS BIGINT) AS seq, 'Uploaded document' AS action FROM documents
-UNION ALL SELECT doc_id, seq, 'Edited text content (1 block(s))' FROM edits""",
+SELECT doc_id, CAST(-1 AS BIGINT) AS seq, upload_date AS date, 'Uploaded document' AS action FROM catalog
+UNION ALL SELECT user_id, event_id, strftime(ts, '%Y-%m-%d'), 'Edited text content (1 block(s))' FROM events""",
     "totals": """
 SELECT doc_id, CAST(sum((length(text) - length(replace(text, 'the', ''))) / 3) AS BIGINT) AS matches
 FROM paragraphs WHERE scope IN ('body', 'table') GROUP BY doc_id""",
@@ -131,7 +131,7 @@ NEEDS = {
     "styled_runs": ["runs", "style_patches"],
     "slots": ["commands"],
     "parsed": ["slots"],
-    "history": ["edits"],
+    "history": ["catalog"],
     "totals": ["paragraphs"],
     "counted_edits": ["edits", "edited"],
 }
@@ -275,7 +275,7 @@ WHERE page_num IS NOT NULL AND block_no IS NOT NULL GROUP BY doc_id, page_num, b
     "documents_newest_first": (["catalog"], """
 SELECT doc_id, seq, name, row_number() OVER (ORDER BY seq DESC) - 1 AS position FROM catalog"""),
     "history_timeline": (["history"], """
-SELECT doc_id, seq, action, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS entry_no FROM history"""),
+SELECT doc_id, seq, date, action, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS entry_no FROM history"""),
     "reconstruct_documents": (["paragraphs"], """
 SELECT doc_id, CAST(floor(idx / 65536) AS BIGINT) AS part_no, string_agg(text, chr(10) ORDER BY idx) AS text
 FROM paragraphs GROUP BY 1, 2"""),
@@ -289,13 +289,13 @@ UNION ALL SELECT c.doc_id, c.file_type, -1, b.page_num, b.block_no, b.text
 FROM catalog c JOIN blocks b ON c.doc_id = b.doc_id WHERE c.file_type = 'pdf'"""),
     "replace_body_and_tables": (["paragraphs"], REPLACED_CS.format(new="THE") + " WHERE scope IN ('body', 'table')"),
     "history_append": (["catalog", "style_patches", "counted_edits", "totals"], """
-SELECT doc_id, CAST(0 AS BIGINT) AS seq, 'Uploaded document' AS action FROM catalog
+SELECT doc_id, CAST(0 AS BIGINT) AS seq, upload_date AS date, 'Uploaded document' AS action FROM catalog
 WHERE file_type IN ('pdf', 'docx') AND size_bytes <= 10485760
-UNION ALL SELECT doc_id, 1, concat('Updated styling: font=', coalesce(font_name, 'None'), ', size=', coalesce(CAST(font_size AS VARCHAR), 'None'),
+UNION ALL SELECT doc_id, 1, '2024-02-01', concat('Updated styling: font=', coalesce(font_name, 'None'), ', size=', coalesce(CAST(font_size AS VARCHAR), 'None'),
   ', header=', CASE WHEN header_text IS NULL THEN 'False' ELSE 'True' END,
   ', footer=', CASE WHEN footer_text IS NULL THEN 'False' ELSE 'True' END, ', img=False') FROM style_patches
-UNION ALL SELECT doc_id, 2, concat('Edited text content (', n_submitted, ' block(s))') FROM counted_edits
-UNION ALL SELECT doc_id, 3, concat('Find & Replace: ''the'' -> ''THE'' (', matches, ' matches)') FROM totals WHERE matches > 0"""),
+UNION ALL SELECT doc_id, 2, '2024-02-01', concat('Edited text content (', n_submitted, ' block(s))') FROM counted_edits
+UNION ALL SELECT doc_id, 3, '2024-02-01', concat('Find & Replace: ''the'' -> ''THE'' (', matches, ' matches)') FROM totals WHERE matches > 0"""),
     "find_replace_cs": (["paragraphs"], REPLACED_CS.format(new="THE")),
     "find_replace_ci": (["paragraphs"], r"""
 SELECT doc_id, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,

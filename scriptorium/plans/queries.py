@@ -173,7 +173,7 @@ def apply_paragraph_edits(spark, sf):
 
 def apply_block_edits(spark, sf):
     blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
-    edited = ed.apply_block_edits(blocks, fx.doc_pages(spark, sf), fx.edits(spark, sf))
+    edited = ed.apply_block_edits(blocks, fx.edits(spark, sf))
     return edited.select("doc_id", "page_num", "block_no", "new_text", "changed")
 
 
@@ -287,7 +287,8 @@ def documents_newest_first(spark, sf):
 
 
 def history_timeline(spark, sf):
-    return hist.history_timeline(fx.history(spark, sf))
+    timeline = hist.history_timeline(fx.history(spark, sf))
+    return timeline.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def reconstruct_documents(spark, sf):
@@ -320,12 +321,14 @@ def history_append(spark, sf):
         rep.replace_body_and_tables(fx.paragraphs(spark, sf), "the", "THE")
     )
     order = [F.lit(n).cast("long") for n in range(4)]
-    return hist.history_append(
+    run_date = F.lit("2024-02-01").cast("date")
+    log = hist.history_append(
         hist.upload_entries(uploads.accepted_uploads(fx.catalog(spark, sf)), order[0]),
-        hist.style_entries(fx.style_patches(spark, sf), order[1]),
-        hist.content_entries(edit_totals, order[2]),
-        hist.replace_entries(totals, "the", "THE", order[3]),
+        hist.style_entries(fx.style_patches(spark, sf), order[1], run_date),
+        hist.content_entries(edit_totals, order[2], run_date),
+        hist.replace_entries(totals, "the", "THE", order[3], run_date),
     )
+    return log.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 # text
@@ -412,7 +415,8 @@ def font_family_map(spark, sf):
 
 
 def history_actions(spark, sf):
-    entries = hist.style_entries(fx.style_patches(spark, sf), F.col("seq"))
+    run_date = F.lit("2024-02-01").cast("date")
+    entries = hist.style_entries(fx.style_patches(spark, sf), F.col("seq"), run_date)
     return entries.select("doc_id", "action")
 
 

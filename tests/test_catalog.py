@@ -97,13 +97,14 @@ def test_history_rules(table, rows):
     counts = table("doc_id long, n_submitted long", (2, 3))
     log = hist.history_append(
         table(HISTORY, (1, 0, DAY, "Uploaded document")),
-        hist.replace_entries(totals, "a%d", "b'", F.lit(2).cast("long")),
-        hist.content_entries(counts, F.lit(1).cast("long")),
+        hist.replace_entries(totals, "a%d", "b'", F.lit(2).cast("long"), F.lit(DAY)),
+        hist.content_entries(counts, F.lit(1).cast("long"), F.lit(DAY)),
     )
-    assert rows(hist.history_timeline(log), "doc_id", "entry_no", "action") == [
-        (1, 0, "Uploaded document"),
-        (1, 1, "Find & Replace: 'a%d' -> 'b'' (2 matches)"),
-        (2, 0, "Edited text content (3 block(s))"),
+    assert log.schema == HISTORY
+    assert rows(hist.history_timeline(log), "doc_id", "entry_no", "date", "action") == [
+        (1, 0, DAY, "Uploaded document"),
+        (1, 1, DAY, "Find & Replace: 'a%d' -> 'b'' (2 matches)"),
+        (2, 0, DAY, "Edited text content (3 block(s))"),
     ]
 
 

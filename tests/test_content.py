@@ -66,11 +66,10 @@ def test_last_edit_of_a_paragraph_wins(table, rows):
 
 
 def test_block_edits_need_an_existing_page(table, rows):
-    blocks = table("doc_id long, page_num long, block_no long, text string", (1, 0, 0, "a"), (1, 1, 0, "b"))
-    pages = table("doc_id long, page_num long", (1, 0))
+    blocks = table("doc_id long, page_num long, block_no long, text string", (1, 0, 0, "a"), (1, 0, 1, "b"))
     edits = table(EDITS, (1, 1, None, 0, 0, "x"), (1, 2, None, 0, 0, "y"), (1, 3, None, 1, 0, "z"))
-    edited = ed.apply_block_edits(blocks, pages, edits)
-    assert rows(edited, "page_num", "new_text", "changed") == [(0, "y", True), (1, "b", False)]
+    edited = ed.apply_block_edits(blocks, edits)
+    assert rows(edited, "block_no", "new_text", "changed") == [(0, "y", True), (1, "b", False)]
 
 
 def test_reasons_against_edits(table, rows):

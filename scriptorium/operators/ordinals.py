@@ -10,7 +10,8 @@ has; what stands before a block comes from counts per block.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1 << 20
+from scriptorium.operators.skew import HOT_ROWS, split_hot
+
 BLOCK_BITS = 20
 # 2**20 values per block, blocks and blocks of blocks: at most 2**24 rows are left on top
 LEVELS = 2
@@ -43,16 +44,12 @@ def _in_blocks(df, keys, order, out):
 def with_ordinal(df, keys, order, out, sized_by=None, hot_rows=HOT_ROWS):
     """Add ``out`` = 0-based position by the bigint ``order`` within ``keys``.
 
-    Keys with more than ``hot_rows`` rows are separated before anything is shuffled by
-    key. There can be no more of them than rows / ``hot_rows``, which bounds what is
-    broadcast; mostly there are none and that branch falls away at run time. Where ``df``
-    is costly, ``sized_by`` can be a cheaper table with at least its rows per key.
+    ``sized_by`` and ``hot_rows`` are those of ``split_hot``.
     """
     if not keys:
         return _in_blocks(df, keys, order, out)
-    sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = F.broadcast(sizes.where(F.col("_rows") > hot_rows).select(*keys))
+    _, plain, heavy = split_hot(df, keys, sized_by, hot_rows)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    plain = df.join(hot, keys, "left_anti").withColumn(out, (position - 1).cast("long"))
-    blocked = _in_blocks(df.join(hot, keys, "left_semi"), keys, order, out)
-    return plain.select(*df.columns, out).unionByName(blocked)
+    numbered = plain.withColumn(out, (position - 1).cast("long"))
+    blocked = _in_blocks(heavy, keys, order, out)
+    return numbered.select(*df.columns, out).unionByName(blocked)

@@ -16,6 +16,7 @@ from scriptorium.functions.text import (
     strip_text,
 )
 from scriptorium.operators.ordinals import with_ordinal
+from scriptorium.operators.skew import lookup
 
 BODY_AND_TABLES = ["body", "table"]
 # rules folded over a document in one go; more of them take another round
@@ -99,8 +100,7 @@ def _text_profile(text, find_text, replace_text, case_sensitive):
 def _by_rule(content, rules, profile):
     """Look up the rule of each row's document; rows it does not concern stay as they are.
 
-    ``rules`` has one row per document, so the join never multiplies rows. A document
-    holding a large part of them is split by the adaptive skew join.
+    ``rules`` has one row per document, so the join never multiplies rows.
     """
     page = F.col("page") if "page" in rules.columns else F.lit(None).cast("long")
     usable = rules.where(F.length("find_text") > 0).select(
@@ -114,7 +114,7 @@ def _by_rule(content, rules, profile):
     if "page_num" in content.columns:
         concerned &= F.col("_page").isNull() | (F.col("_page") == F.col("page_num"))
     new_text, matches = profile(F.col("text"), F.col("_find"), F.col("_replace"), F.col("_exact"))
-    return content.join(usable, "doc_id", "left").select(
+    return lookup(content, usable, ["doc_id"]).select(
         *content.columns,
         F.when(concerned, new_text).otherwise(F.col("text")).alias("new_text"),
         F.when(concerned, matches).otherwise(0).alias("matches"),

@@ -35,9 +35,3 @@ def test_ordinals_over_everything(numbered, bits, monkeypatch):
     distinct = numbered.select(F.col("pos") * 4 + F.col("key")).toDF("pos")
     found = ordinals.with_ordinal(distinct, [], "pos", "n").collect()
     assert [r.n for r in sorted(found)] == list(range(605))
-
-
-def test_hot_keys_are_removed_before_the_exchange(numbered):
-    plan = ordinals.with_ordinal(numbered, ["key"], "pos", "n")._jdf.queryExecution()
-    assert "BroadcastHashJoin" in plan.executedPlan().toString()
-    assert "SortMergeJoin [key" not in plan.executedPlan().toString()

@@ -13,6 +13,8 @@ SETTINGS = {
     # a hot key is split even where that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # too large to broadcast, but every partition fits in memory: no sort of the other side
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

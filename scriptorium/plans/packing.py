@@ -1,13 +1,18 @@
 """Word files made from paragraph texts, as input for the file parser."""
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 
 from scriptorium.sources.docx import W
 
+# as for the parser: executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FILES = "path string, length long, content binary"
 ARROW_FILES = pa.schema(
     [("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]

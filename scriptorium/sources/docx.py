@@ -1,15 +1,20 @@
 """Word files as rows. Spark lists, splits and reads the files; a task parses one at a time."""
 
 import io
+import sys
 import zipfile
 from posixpath import basename, join
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from scriptorium.functions.names import MAX_UPLOAD_BYTES
 
+# the parser travels with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Name spaces of the file format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"

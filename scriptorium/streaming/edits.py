@@ -38,3 +38,12 @@ def read_latest_edits(spark, keys, path):
     """Current text per address: the last edit over all batches, in whatever order they came."""
     latest = _last_per_key(spark.read.parquet(path), keys)
     return latest.select(*keys, F.col("text").alias("new_text"))
+
+
+def compact_latest_edits(spark, keys, path, new_path):
+    """Merge all batches below ``path`` into one below ``new_path``, which must not exist.
+
+    A stream that goes on with its progress but writes to ``new_path`` adds to it.
+    """
+    merged = _last_per_key(spark.read.parquet(path), keys)
+    merged.write.mode("errorifexists").parquet(f"{new_path}/batch=-1")

@@ -32,6 +32,20 @@ def test_streamed_edits_equal_batch(spark, sf_dir, tmp_path):
     assert found.exceptAll(expected).isEmpty()
 
 
+def test_compaction_between_batches(spark, sf_dir, tmp_path):
+    edits = fx.edits(spark, sf_dir)
+    progress = str(tmp_path / "progress")
+    out, compact = str(tmp_path / "out"), str(tmp_path / "compact")
+    for half, target in ((edits.where("seq >= 500"), out), (edits.where("seq < 500"), compact)):
+        half.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = arriving(spark, edits.schema, tmp_path / "in")
+        stream_edits.stream_latest_edits(stream, ed.PARAGRAPH, target, progress)
+        if target == out:
+            stream_edits.compact_latest_edits(spark, ed.PARAGRAPH, out, compact)
+    found = stream_edits.read_latest_edits(spark, ed.PARAGRAPH, compact)
+    assert sorted(found.collect()) == sorted(ed.latest_edits(edits, ed.PARAGRAPH).collect())
+
+
 def test_uploads_enter_the_catalog_once(spark, table, tmp_path):
     day = datetime.date(2024, 1, 1)
 

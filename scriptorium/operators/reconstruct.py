@@ -13,9 +13,9 @@ def _in_parts(rows, keys, order, part_rows):
         F.floor(F.col(order) / part_rows).cast("long").alias("part_no"),
         F.struct(order, "text").alias("row"),
     )
-    in_order = F.array_sort(F.collect_list("row"))
+    in_order = F.sort_array(F.collect_list("row"))
     return parts.groupBy(*keys, "part_no").agg(
-        F.array_join(F.transform(in_order, lambda r: r["text"]), "\n").alias("text")
+        F.array_join(in_order["text"], "\n").alias("text")
     )
 
 

@@ -144,11 +144,11 @@ def cross_run_replace(runs, find_text, replace_text, case_sensitive=True):
     fields = [c for c in runs.columns if c not in keys]
     ordered = ["run_no", *(c for c in fields if c != "run_no")]
     gathered = runs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*ordered))).alias("runs")
+        F.sort_array(F.collect_list(F.struct(*ordered))).alias("runs")
     )
     text = F.col("paragraph")
     counted = gathered.withColumn(
-        "paragraph", F.array_join(F.transform("runs", lambda r: r["text"]), "")
+        "paragraph", F.array_join(F.col("runs")["text"], "")
     ).withColumn("matches", count_matches(text, find_text, case_sensitive))
     new_text = replace_matches(text, find_text, replace_text, case_sensitive)
     rewritten = F.transform(
@@ -205,7 +205,7 @@ def edit_stack_by_document(docs, rules, round_rules=STACK_RULES):
         stack = (
             numbered.where(F.col("round") == number)
             .groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list("rule")).alias("stack"))
+            .agg(F.sort_array(F.collect_list("rule")).alias("stack"))
         )
         start = F.struct("text", "matches")
         folded = F.when(F.col("stack").isNull(), start).otherwise(

@@ -1,6 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from scriptorium.llm.near_dedup import op1_near_dedup
+from scriptorium.llm.toxicity import op2_toxicity
 
-QUERIES = {query.__name__: query for query in (op1_near_dedup,)}
+QUERIES = {query.__name__: query for query in (op1_near_dedup, op2_toxicity)}
 ORACLES = {}

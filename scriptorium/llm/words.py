@@ -63,7 +63,7 @@ def lowered(data):
     return LOWER[data]
 
 
-def span_hashes(data, starts, ends, block=1 << 24):
+def span_hashes(data, starts, ends, block=1 << 19):
     """64-bit hashes of ``data[start:end]``; spans are sorted and do not overlap."""
     out = np.empty(len(starts), U64)
     at = 0
@@ -134,7 +134,7 @@ def distinct(values, first):
     return values, np.searchsorted(text, np.arange(len(first)))
 
 
-def pieces(batches, rows=4096, size=8 << 20):
+def pieces(batches, rows=4096, size=2 << 20):
     """Arrow record batches cut so that a piece holds about ``size`` bytes of data or one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -27,3 +27,22 @@ def texts_of(docs):
 def remainder(divisor):
     """crc32 of the id as text modulo ``divisor``: how the contracts split rows."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def labelled(labels, column, sample):
+    """``(doc_id, label)`` of at most ``sample`` documents, chosen by hash of the id.
+
+    Labels other than 0 and 1 are not used; of several labels of one document the larger one.
+    The bound makes it safe to broadcast.
+    """
+    return (
+        labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("label"))
+        .where("doc_id is not null and label in (0, 1)")
+        .groupBy("doc_id").agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
+
+
+def fold():
+    """Which quarter of the sample a row is in; quarter 0 calibrates what the others fit."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))

@@ -1,12 +1,17 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from scriptorium.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptorium.llm.decontaminate import op4_decontaminate
 from scriptorium.llm.line_dedup import op10_line_dedup
 from scriptorium.llm.near_dedup import op1_near_dedup
+from scriptorium.llm.quality import op8_quality
 from scriptorium.llm.toxicity import op2_toxicity
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_near_dedup, op2_toxicity, op4_decontaminate, op10_line_dedup)
+    for query in (
+        op1_near_dedup, op2_toxicity, op4_decontaminate, op5_chat_format, op8_quality,
+        op10_line_dedup,
+    )
 }
-ORACLES = {}
+ORACLES = {"op5_chat_format": OP5_SQL}

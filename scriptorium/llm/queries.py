@@ -3,15 +3,18 @@
 from scriptorium.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptorium.llm.decontaminate import op4_decontaminate
 from scriptorium.llm.line_dedup import op10_line_dedup
+from scriptorium.llm.lm_score import op9_lm_score
 from scriptorium.llm.near_dedup import op1_near_dedup
+from scriptorium.llm.neighbours import op7_neighbours
 from scriptorium.llm.quality import op8_quality
+from scriptorium.llm.token_counts import op3_token_counts
 from scriptorium.llm.toxicity import op2_toxicity
 
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_near_dedup, op2_toxicity, op4_decontaminate, op5_chat_format, op8_quality,
-        op10_line_dedup,
+        op1_near_dedup, op2_toxicity, op3_token_counts, op4_decontaminate, op5_chat_format,
+        op7_neighbours, op8_quality, op9_lm_score, op10_line_dedup,
     )
 }
 ORACLES = {"op5_chat_format": OP5_SQL}

@@ -4,6 +4,7 @@ from scriptorium.llm.chat_format import OP5_SQL, op5_chat_format
 from scriptorium.llm.decontaminate import op4_decontaminate
 from scriptorium.llm.line_dedup import op10_line_dedup
 from scriptorium.llm.lm_score import op9_lm_score
+from scriptorium.llm.mixing import op6_mixing
 from scriptorium.llm.near_dedup import op1_near_dedup
 from scriptorium.llm.neighbours import op7_neighbours
 from scriptorium.llm.quality import op8_quality
@@ -14,7 +15,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_near_dedup, op2_toxicity, op3_token_counts, op4_decontaminate, op5_chat_format,
-        op7_neighbours, op8_quality, op9_lm_score, op10_line_dedup,
+        op6_mixing, op7_neighbours, op8_quality, op9_lm_score, op10_line_dedup,
     )
 }
 ORACLES = {"op5_chat_format": OP5_SQL}

@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from scriptorium.llm.tables import load, remainder
@@ -256,30 +257,32 @@ SCORES = (
 )
 
 
+PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())])
+
+
+def _scored(model, batch):
+    """``SCORES`` of one batch."""
+    first, scores = _token_scores(model, batch["text"])
+    least = -np.log(SIGNIFICANT)
+    out, passages = [], []
+    for a, b in zip(first[:-1], first[1:]):
+        evidence = _evidence(model, segments(scores[a:b]), b - a)
+        x = model.slope * _document(model, evidence) + model.bias
+        out.append(float(1 / (1 + np.exp(-np.clip(x, -40, 40)))) if model.slope else model.share)
+        passages.append(
+            [{"start": s, "end": e, "evidence": v} for s, e, v in evidence if v >= least]
+        )
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"], pa.array(np.diff(first)), pa.array(out, pa.float64()),
+         pa.array(passages, pa.list_(PASSAGE))],
+        ["doc_id", "n_tokens", "score", "passages"],
+    )
+
+
 def _score(model):
     def run(batches):
         for batch in pieces(batches):
-            first, scores = _token_scores(model, batch["text"])
-            out, passages = [], []
-            for a, b in zip(first[:-1], first[1:]):
-                evidence = _evidence(model, segments(scores[a:b]), b - a)
-                x = _document(model, evidence)
-                out.append(
-                    float(1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -40, 40))))
-                    if model.slope else float(model.share)
-                )
-                passages.append(
-                    [{"start": s, "end": e, "evidence": v}
-                     for s, e, v in evidence if v >= -np.log(SIGNIFICANT)]
-                )
-            kind = pa.list_(pa.struct(
-                [("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]
-            ))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.diff(first)), pa.array(out, pa.float64()),
-                 pa.array(passages, kind)],
-                ["doc_id", "n_tokens", "score", "passages"],
-            )
+            yield _scored(model, batch)
 
     return run
 
@@ -294,10 +297,17 @@ def training_labels(labels):
     return labels.where(remainder(5) != 0)
 
 
+def _keep(model, threshold):
+    def run(batches):
+        for batch in pieces(batches):
+            yield batch.filter(pc.less(_scored(model, batch)["score"], threshold))
+
+    return run
+
+
 def drop_toxic(docs, labels, threshold=0.5):
     """``docs`` without the rows that score ``threshold`` or more."""
-    bad = toxicity(docs, fit(docs, labels)).where(F.col("score") >= threshold)
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(_keep(fit(docs, labels), threshold), docs.schema)
 
 
 def op2_toxicity(spark, sf_dir):

@@ -176,7 +176,8 @@ def _best(size, wanted):
     def run(key, stored, asked):
         import pandas as pd
 
-        empty = pd.DataFrame({"query": [], "entry": [], "score": [], "ids": []})
+        kinds = {"query": "int64", "entry": "int64", "score": "float64", "ids": "object"}
+        empty = pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in kinds.items()})
         if not len(stored) or not len(asked):
             return empty
         stored = stored.sort_values("bucket", kind="stable").reset_index(drop=True)
@@ -202,7 +203,7 @@ def _best(size, wanted):
                 at, scores = at[near], scores[near]
             order = np.lexsort((entries[at], -scores))[:wanted]
             out += [(query, entries[i], s, stored["ids"][i]) for i, s in zip(at[order], scores[order])]
-        return pd.DataFrame(out, columns=["query", "entry", "score", "ids"]) if out else empty
+        return pd.DataFrame(out, columns=list(kinds)) if out else empty
 
     return run
 
@@ -257,7 +258,7 @@ def nearest(rows, queries, wanted=5, target=TARGET, tables=TABLES, sample=SAMPLE
     short = vectors.join(enough, "query", "left_anti")
     if not short.isEmpty():
         everywhere = short.select(
-            "query", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).cast("long").alias("shard"),
+            "query", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index.shards - 1).cast("long"))).alias("shard"),
             F.lit(None).cast("array<long>").alias("buckets"), "vector",
         )
         found = found.unionByName(_search(stored.where("table = 0"), everywhere, size, wanted))

@@ -80,6 +80,11 @@ def known_documents(ids, catalog):
     return ids.join(catalog.select("doc_id"), "doc_id", "left_semi")
 
 
+def resolved_requests(requests, accounts, catalog):
+    """``resolve_requests`` with the ``file_type`` of the document, null unless it is theirs."""
+    return _resolved(requests, accounts, catalog)
+
+
 def resolve_requests(requests, accounts, catalog):
     """Add ``status``: no such user, no such document of theirs, unsupported type, or OK.
 
@@ -87,6 +92,10 @@ def resolve_requests(requests, accounts, catalog):
     have unique keys; a user or document with very many requests is split by the
     adaptive skew join.
     """
+    return _resolved(requests, accounts, catalog).drop("file_type")
+
+
+def _resolved(requests, accounts, catalog):
     users = accounts.select("user_id", F.lit(True).alias("has_account"))
     owned = catalog.select(
         "doc_id", F.col("owner_id").alias("user_id"), "file_type", F.lit(True).alias("is_owner")
@@ -101,7 +110,7 @@ def resolve_requests(requests, accounts, catalog):
     return (
         requests.join(users, "user_id", "left")
         .join(owned, ["doc_id", "user_id"], "left")
-        .select(*requests.columns, status.cast("long").alias("status"))
+        .select(*requests.columns, status.cast("long").alias("status"), "file_type")
     )
 
 

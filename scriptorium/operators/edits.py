@@ -2,10 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.operators.replace import PARAGRAPH_KEYS, with_new_texts
+
 PARAGRAPH = ["doc_id", "idx"]
+# indexes of content edits count body paragraphs only
+BODY = "body"
 BLOCK = ["doc_id", "page_num", "block_no"]
 
 
+def body_paragraphs(paragraphs):
+    """Body paragraphs of a table with scopes; all of a table without."""
+    return paragraphs.where(F.col("scope") == BODY) if "scope" in paragraphs.columns else paragraphs
+
+
 def checked_edits(edits, catalog, pages):
     """Add ``valid`` and ``reason``: which edits the format of their document can take.
 
@@ -35,26 +44,35 @@ def checked_edits(edits, catalog, pages):
 
 
 def latest_edits(edits, keys):
-    """Text of the last edit per address; a plain aggregate, combined before the exchange."""
-    addressed = edits.where(" AND ".join(f"{key} IS NOT NULL" for key in keys))
+    """Text of the last edit per address; a plain aggregate, combined before the exchange.
+
+    An edit without text is no edit and hides none before it.
+    """
+    addressed = edits.where(" AND ".join(f"{key} IS NOT NULL" for key in [*keys, "text"]))
     return addressed.groupBy(*keys).agg(F.max_by("text", "seq").alias("new_text"))
 
 
-def _apply(content, edits, keys):
-    edited = content.join(latest_edits(edits, keys), keys, "left")
+def _apply(content, latest, keys):
+    edited = content.join(latest, keys, "left")
     return edited.withColumn(
         "changed", F.col("new_text").isNotNull() & ~F.col("new_text").eqNullSafe(F.col("text"))
     ).withColumn("new_text", F.coalesce("new_text", "text"))
 
 
 def apply_paragraph_edits(paragraphs, edits):
-    """Last edit per index wins, unknown indexes are ignored; adds ``new_text, changed``."""
-    return _apply(paragraphs, edits, PARAGRAPH)
+    """Last edit per index wins, unknown indexes are ignored; adds ``new_text, changed``.
+
+    Of a table with scopes only body paragraphs are edited.
+    """
+    latest, keys = latest_edits(edits, PARAGRAPH), PARAGRAPH
+    if "scope" in paragraphs.columns:
+        latest, keys = latest.withColumn("scope", F.lit(BODY)), [*PARAGRAPH, "scope"]
+    return _apply(paragraphs, latest, keys)
 
 
 def apply_block_edits(blocks, edits):
     """Last edit per page and block wins; an edit of a page without blocks meets nothing."""
-    return _apply(blocks, edits, BLOCK)
+    return _apply(blocks, latest_edits(edits, BLOCK), BLOCK)
 
 
 def edit_runs(runs, edited):
@@ -63,20 +81,7 @@ def edit_runs(runs, edited):
     The first run takes the new text, the others become empty, and a paragraph without
     runs gets one.
     """
-    keys = ["doc_id", "scope", "idx"]
-    new_text = F.col("new_text")
-    text = (
-        F.when(new_text.isNull(), F.col("text"))
-        .when(F.col("run_no") == 0, new_text)
-        .otherwise("")
-    )
-    changed = edited.where("changed").select(*keys, "new_text")
-    kept = runs.join(changed, keys, "left").withColumn("text", text).drop("new_text")
-    first_runs = runs.where(F.col("run_no") == 0).select(*keys)
-    added = changed.join(first_runs, keys, "left_anti").select(
-        *keys, F.lit(0).cast("long").alias("run_no"), new_text.alias("text")
-    )
-    return kept.unionByName(added, allowMissingColumns=True)
+    return with_new_texts(runs, edited.where("changed").select(*PARAGRAPH_KEYS, "new_text"))
 
 
 def edits_by_page(edits):
@@ -94,14 +99,15 @@ def edits_by_page(edits):
 
 
 def edit_counts(paragraphs, edits):
-    """Per document: edits submitted, distinct indexes addressed, paragraphs changed.
+    """Per document: edits submitted, distinct indexes addressed, body paragraphs changed.
 
     Paragraphs meet only the latest edits in an inner join, so a small set of edits is
     broadcast and the paragraphs are not shuffled.
     """
     zero = F.lit(0).cast("long")
     latest = edits.groupBy(*PARAGRAPH).agg(
-        F.count("*").alias("n_submitted"), F.max_by("text", "seq").alias("new_text")
+        F.count("*").alias("n_submitted"),
+        F.max_by("text", F.when(F.col("text").isNotNull(), F.col("seq"))).alias("new_text"),
     )
     submitted = latest.select(
         "doc_id",
@@ -109,11 +115,11 @@ def edit_counts(paragraphs, edits):
         F.col("idx").isNotNull().cast("long").alias("n_pending"),
         zero.alias("n_changed"),
     )
-    effective = paragraphs.join(latest, PARAGRAPH).select(
+    effective = body_paragraphs(paragraphs).join(latest, PARAGRAPH).select(
         "doc_id",
         zero.alias("n_submitted"),
         zero.alias("n_pending"),
-        (F.col("text") != F.col("new_text")).cast("long").alias("n_changed"),
+        F.coalesce(F.col("text") != F.col("new_text"), F.lit(False)).cast("long").alias("n_changed"),
     )
     return (
         submitted.unionByName(effective)

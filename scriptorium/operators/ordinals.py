@@ -1,10 +1,12 @@
 """Exact ordinals over groups of any size.
 
 ``row_number() over (partition by key)`` sorts a whole group in one task. That is fine up
-to ``HOT_ROWS`` rows. Keys with more are counted in blocks: the ordering column is an
-integer that is unique within its group, so cutting its range into blocks of
-``2**BLOCK_BITS`` values bounds every window by that many rows, however many rows a key
-has; what stands before a block comes from counts per block.
+to ``HOT_ROWS`` rows. Keys with more are counted in blocks of ``2**BLOCK_BITS`` values of
+the ordering integer; what stands before a block comes from counts per block. Where values
+are unique within a key, that bounds every window by as many rows, however many a key has.
+
+Both ways give the same numbers: nulls come first, equal values get consecutive ordinals,
+and every row of a key, also of the null key, gets one of its own.
 """
 
 from pyspark.sql import Window
@@ -15,6 +17,8 @@ from scriptorium.operators.skew import HOT_ROWS, split_hot
 BLOCK_BITS = 20
 # 2**20 values per block, blocks and blocks of blocks: at most 2**24 rows are left on top
 LEVELS = 2
+# before any other value
+NULLS_FIRST = -(1 << 63)
 
 
 def _sum_before(df, keys, order, amount, out, levels):
@@ -31,14 +35,23 @@ def _sum_before(df, keys, order, amount, out, levels):
     within = F.sum(amount).over(before.partitionBy(*keys, block))
     return (
         cut.withColumn(out, F.coalesce(within, F.lit(0)))
-        .join(bases, [*keys, block], "left")
+        .join(bases, [*keys, block])
         .select(*df.columns, (F.col(out) + F.col(base)).alias(out))
     )
 
 
 def _in_blocks(df, keys, order, out):
-    counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return _sum_before(counted, keys, order, "_one", out, LEVELS).drop("_one")
+    counted = df.withColumn("_one", F.lit(1).cast("long")).withColumn(
+        "_order", F.coalesce(order, F.lit(NULLS_FIRST))
+    )
+    # a key that is null joins with nothing, so nulls stand behind a flag and a default
+    safe = []
+    for i, key in enumerate(keys):
+        plain = F.coalesce(key, F.lit(0).cast(dict(df.dtypes)[key]))
+        counted = counted.withColumn(f"_null{i}", F.col(key).isNull()).withColumn(f"_key{i}", plain)
+        safe += [f"_null{i}", f"_key{i}"]
+    numbered = _sum_before(counted, safe, "_order", "_one", out, LEVELS)
+    return numbered.select(*df.columns, out)
 
 
 def with_ordinal(df, keys, order, out, sized_by=None, hot_rows=HOT_ROWS):

@@ -1,33 +1,26 @@
-"""Documents put together again from their rows."""
+"""Documents put together again from their rows, one row each.
 
-from pyspark.sql import functions as F
+A document's text is one value, so its rows have to meet in one group; the group is as large
+as the text itself.
+"""
 
-# Rows per part. Uploads are limited to 10 MiB, so nearly all documents are one part; a
-# larger one comes in several, whose texts joined by a line feed in part order are whole.
-PART_ROWS = 65536
+from pyspark.sql import functions as F
 
+from scriptorium.operators.edits import body_paragraphs
 
-def _in_parts(rows, keys, order, part_rows):
-    parts = rows.select(
-        *keys,
-        F.floor(F.col(order) / part_rows).cast("long").alias("part_no"),
-        F.struct(order, "text").alias("row"),
-    )
-    in_order = F.sort_array(F.collect_list("row"))
-    return parts.groupBy(*keys, "part_no").agg(
-        F.array_join(in_order["text"], "\n").alias("text")
-    )
 
+def _joined(rows, keys, order):
+    in_order = F.array_sort(F.collect_list(F.struct(order, "text")))
+    lines = F.transform(in_order, lambda row: F.coalesce(row["text"], F.lit("")))
+    return rows.groupBy(*keys).agg(F.array_join(lines, "\n").alias("text"))
 
-def reconstruct_documents(paragraphs, part_rows=PART_ROWS):
-    """``(doc_id, part_no, text)`` with the paragraphs of each part in order.
 
-    No group holds more than ``part_rows`` paragraphs, however long a document is.
-    """
-    return _in_parts(paragraphs, ["doc_id"], "idx", part_rows)
+def reconstruct_documents(paragraphs):
+    """``(doc_id, text)`` with the body paragraphs in order; null paragraphs are empty lines."""
+    return _joined(body_paragraphs(paragraphs), ["doc_id"], "idx")
 
 
-def reconstruct_pages(blocks, part_rows=PART_ROWS):
-    """``(doc_id, page_num, part_no, text)`` with the blocks of each page in order."""
+def reconstruct_pages(blocks):
+    """``(doc_id, page_num, text)`` with the blocks of each page in order."""
     shown = blocks.where(F.col("block_no").isNotNull())
-    return _in_parts(shown, ["doc_id", "page_num"], "block_no", part_rows)
+    return _joined(shown, ["doc_id", "page_num"], "block_no")

@@ -15,12 +15,8 @@ from scriptorium.functions.text import (
     require_needle,
     strip_text,
 )
-from scriptorium.operators.ordinals import with_ordinal
-from scriptorium.operators.skew import lookup
 
 BODY_AND_TABLES = ["body", "table"]
-# rules folded over a document in one go; more of them take another round
-STACK_RULES = 1000
 
 
 def find_replace(paragraphs, find_text, replace_text, case_sensitive=True):
@@ -83,8 +79,13 @@ def find_replace_blocks(blocks, find_text, replace_text, case_sensitive=True, pa
 
 
 def rejected_rules(rules):
-    """Rules that cannot run because their needle is empty."""
-    return rules.where(F.coalesce(F.col("find_text"), F.lit("")) == "")
+    """Rules that cannot run: their needle is empty or their replacement null."""
+    return rules.where(~_can_run())
+
+
+def _can_run():
+    needle = F.length(F.coalesce("find_text", F.lit(""))) > 0
+    return needle & F.col("replace_text").isNotNull()
 
 
 def _text_profile(text, find_text, replace_text, case_sensitive):
@@ -97,65 +98,131 @@ def _text_profile(text, find_text, replace_text, case_sensitive):
     return new_text, matches
 
 
-def _by_rule(content, rules, profile):
-    """Look up the rule of each row's document; rows it does not concern stay as they are.
-
-    ``rules`` has one row per document, so the join never multiplies rows.
-    """
+def _stacks(rules):
+    """The rules of each document that can run, in order of ``seq``, as one array."""
     page = F.col("page") if "page" in rules.columns else F.lit(None).cast("long")
-    usable = rules.where(F.length("find_text") > 0).select(
-        "doc_id",
-        F.col("find_text").alias("_find"),
-        F.col("replace_text").alias("_replace"),
-        F.coalesce("case_sensitive", F.lit(True)).alias("_exact"),
-        page.alias("_page"),
+    rule = F.struct(
+        "seq", "find_text", "replace_text",
+        F.coalesce("case_sensitive", F.lit(True)).alias("exact"), page.alias("page"),
+    )
+    return rules.where(_can_run()).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(rule)).alias("_stack")
     )
-    concerned = F.col("_find").isNotNull()
-    if "page_num" in content.columns:
-        concerned &= F.col("_page").isNull() | (F.col("_page") == F.col("page_num"))
-    new_text, matches = profile(F.col("text"), F.col("_find"), F.col("_replace"), F.col("_exact"))
-    return lookup(content, usable, ["doc_id"]).select(
-        *content.columns,
-        F.when(concerned, new_text).otherwise(F.col("text")).alias("new_text"),
-        F.when(concerned, matches).otherwise(0).alias("matches"),
+
+
+RULE_MATCHES = "array<struct<seq:bigint,matches:bigint>>"
+
+
+def _folded(content, rules, profile):
+    """Run the rules of each row's document over its text, each on the result before it.
+
+    ``rules(doc_id, seq, find_text, replace_text, case_sensitive)`` are gathered once per
+    document and met in one join. Adds ``new_text``, ``matches`` and ``rule_matches``, the
+    rules that hit with their counts. A rule's ``page``, if any, limits it to that page.
+    """
+    paged = "page_num" in content.columns
+
+    def step(state, rule):
+        new_text, matches = profile(
+            state["text"], rule["find_text"], rule["replace_text"], rule["exact"]
+        )
+        concerned = F.lit(True)
+        if paged:
+            concerned = rule["page"].isNull() | (rule["page"] == F.col("page_num"))
+        hit = concerned & (matches > 0)
+        entry = F.array(F.struct(rule["seq"].cast("long").alias("seq"), matches.cast("long").alias("matches")))
+        return F.struct(
+            F.when(hit, new_text).otherwise(state["text"]).alias("text"),
+            F.when(hit, F.concat(state["hits"], entry)).otherwise(state["hits"]).alias("hits"),
+        )
+
+    start = F.struct(F.col("text").alias("text"), F.array().cast(RULE_MATCHES).alias("hits"))
+    state = F.when(F.col("_stack").isNull(), start).otherwise(F.aggregate("_stack", start, step))
+    folded = content.join(_stacks(rules), "doc_id", "left").withColumn("_state", state)
+    total = F.aggregate("_state.hits", F.lit(0).cast("long"), lambda n, x: n + x["matches"])
+    return folded.select(
+        *content.columns, F.col("_state.text").alias("new_text"), total.alias("matches"),
+        F.col("_state.hits").alias("rule_matches"),
     )
 
 
 def replace_by_rule(paragraphs, rules):
-    """``rules(doc_id, find_text, replace_text, case_sensitive)``, one per document."""
-    return _by_rule(paragraphs, rules, _text_profile)
+    """``rules(doc_id, seq, find_text, replace_text, case_sensitive)`` in order of ``seq``."""
+    return _folded(paragraphs, rules, _text_profile)
 
 
 def replace_blocks_by_rule(blocks, rules):
-    """The page profile with one rule per document; its ``page``, if any, limits the rule."""
-    return _by_rule(blocks, rules, _page_profile)
+    """The page profile of rules in order; a rule's ``page``, if any, limits it."""
+    return _folded(blocks, rules, _page_profile)
+
 
+def matches_by_rule(*replaced):
+    """Matches of each rule ``(doc_id, seq)`` that hit anywhere in the replaced contents."""
+    hits = [r.select("doc_id", F.inline("rule_matches")) for r in replaced]
+    for other in hits[1:]:
+        hits[0] = hits[0].unionByName(other)
+    return hits[0].groupBy("doc_id", "seq").agg(F.sum("matches").alias("matches"))
 
-def cross_run_replace(runs, find_text, replace_text, case_sensitive=True):
-    """Replace over the joined runs of each paragraph, so a match may span runs.
 
-    A paragraph with a match gets its whole new text in its first run and '' in the
-    others, whose styles stay; other paragraphs keep their runs. The runs of a
-    paragraph are gathered, changed and unfolded again behind a single exchange; the
-    group is one paragraph, whose text is one value anyway.
+def cross_run_replace(runs, find_text, replace_text, case_sensitive=True, paragraphs=None):
+    """Replace over the joined text of each paragraph, so a match may span runs.
+
+    Body and table paragraphs are searched. One with a match gets its whole new text in its
+    first run, or in a new run 0 if it has none, and '' in the others, whose styles stay; other
+    paragraphs keep their runs. ``paragraphs`` gives their texts where runs do not hold all of
+    it, as with links. Adds ``matches`` of the paragraph.
     """
     require_needle(find_text)
-    keys = ["doc_id", "idx", "scope"]
-    fields = [c for c in runs.columns if c not in keys]
-    ordered = ["run_no", *(c for c in fields if c != "run_no")]
-    gathered = runs.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*ordered))).alias("runs")
+    found = _paragraph_texts(runs) if paragraphs is None else paragraphs
+    found = found.where(F.col("scope").isin(BODY_AND_TABLES))
+    text = F.col("text")
+    hits = found.select(
+        *PARAGRAPH_KEYS,
+        count_matches(text, find_text, case_sensitive).alias("matches"),
+        replace_matches(text, find_text, replace_text, case_sensitive).alias("new_text"),
+    ).where("matches > 0")
+    return with_new_texts(runs, hits).withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+
+
+PARAGRAPH_KEYS = ["doc_id", "scope", "idx"]
+
+
+def _gathered(runs):
+    """Runs of each paragraph in order, as one array; a paragraph is one value anyway."""
+    ordered = ["run_no", *(c for c in runs.columns if c not in [*PARAGRAPH_KEYS, "run_no"])]
+    return runs.groupBy(*PARAGRAPH_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct(*ordered))).alias("_runs")
     )
-    text = F.col("paragraph")
-    counted = gathered.withColumn(
-        "paragraph", F.array_join(F.col("runs")["text"], "")
-    ).withColumn("matches", count_matches(text, find_text, case_sensitive))
-    new_text = replace_matches(text, find_text, replace_text, case_sensitive)
+
+
+def _paragraph_texts(runs):
+    lines = F.transform("_runs", lambda r: r["text"])
+    return _gathered(runs).select(*PARAGRAPH_KEYS, F.array_join(lines, "").alias("text"))
+
+
+def with_new_texts(runs, changed):
+    """Carry ``changed(doc_id, scope, idx, new_text, ...)`` over to the runs, in one grouping.
+
+    The first run takes the new text, the others become empty; a paragraph without runs
+    gets one. Other columns of ``changed`` are added to all runs of the paragraph.
+    """
+    added = [c for c in changed.columns if c not in [*PARAGRAPH_KEYS, "new_text"]]
+    both = _gathered(runs).join(changed, PARAGRAPH_KEYS, "full")
+    kind = dict(both.dtypes)["_runs"]
+    fields = both.schema["_runs"].dataType.elementType
+    alone = F.array(F.struct(*(
+        {"run_no": F.lit(0), "text": F.col("new_text")}.get(f.name, F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in fields
+    ))).cast(kind)
     rewritten = F.transform(
-        "runs", lambda r, i: r.withField("text", F.when(i == 0, new_text).otherwise(""))
+        "_runs", lambda r, i: r.withField("text", F.when(i == 0, F.col("new_text")).otherwise(""))
+    )
+    shown = (
+        F.when(F.col("new_text").isNull(), F.col("_runs"))
+        .when(F.col("_runs").isNull(), alone)
+        .otherwise(rewritten)
     )
-    changed = F.when(F.col("matches") > 0, rewritten).otherwise(F.col("runs"))
-    return counted.select(*keys, "matches", F.inline(changed)).select(*runs.columns, "matches")
+    return both.select(*PARAGRAPH_KEYS, *added, F.inline(shown)).select(*runs.columns, *added)
 
 
 def edit_stack(docs, rules):
@@ -178,42 +245,14 @@ def edit_stack(docs, rules):
     return current
 
 
-def edit_stack_by_document(docs, rules, round_rules=STACK_RULES):
+def edit_stack_by_document(docs, rules):
     """Apply to every document its own ``rules(doc_id, seq, find_text, replace_text,
     case_sensitive)`` in ``seq`` order, each on the result of the one before.
 
-    The rules of a document are folded over its text in rounds of ``round_rules``, so no
-    task gathers more of them however many a document has; nearly always that is one
-    round. How many there are is the only thing asked for ahead.
+    ``matches`` is the total. Nothing is asked of the data ahead.
     """
-    usable = rules.where(F.length("find_text") > 0)
-    numbered = with_ordinal(usable, ["doc_id"], "seq", "n").select(
-        "doc_id",
-        F.floor(F.col("n") / round_rules).cast("long").alias("round"),
-        F.struct("n", "find_text", "replace_text", "case_sensitive").alias("rule"),
-    )
-    last = numbered.agg(F.max("round")).first()[0]
-
-    def step(state, rule):
-        parts = rule["find_text"], rule["replace_text"], F.coalesce(rule["case_sensitive"], F.lit(True))
-        new_text, matches = _text_profile(state["text"], *parts)
-        return F.struct(new_text.alias("text"), (state["matches"] + matches).alias("matches"))
-
-    current = docs.withColumn("matches", F.lit(0).cast("long"))
-    others = [c for c in docs.columns if c != "text"]
-    for number in range(0 if last is None else last + 1):
-        stack = (
-            numbered.where(F.col("round") == number)
-            .groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list("rule")).alias("stack"))
-        )
-        start = F.struct("text", "matches")
-        folded = F.when(F.col("stack").isNull(), start).otherwise(
-            F.aggregate("stack", start, step)
-        )
-        joined = current.join(stack, "doc_id", "left")
-        current = joined.withColumn("state", folded).select(*others, "state.text", "state.matches")
-    return current
+    folded = _folded(docs, rules, _text_profile)
+    return folded.select(*(c for c in docs.columns if c != "text"), F.col("new_text").alias("text"), "matches")
 
 
 def parsed_commands(commands):
@@ -227,24 +266,25 @@ def parsed_commands(commands):
     ).drop("parsed")
 
 
-def apply_commands(docs, commands):
-    """Run every understood command, caseless, over the document it targets.
+def command_rules(commands):
+    """The understood commands as caseless rules of the document they target, in their order."""
+    return parsed_commands(commands).where(F.col("find_text").isNotNull()).select(
+        "doc_id", F.col("command_id").alias("seq"), "find_text", "replace_text",
+        F.lit(False).alias("case_sensitive"),
+    )
+
 
-    Each command is looked up against one whole document, never against its paragraphs,
-    so the result has one row per command. A needle holding a line feed cannot match a
-    paragraph and therefore matches nothing.
+def apply_commands(paragraphs, blocks, commands):
+    """Run every understood command over its document, each on the result of those before.
+
+    ``(paragraphs, blocks, matches)``: both contents with ``new_text``, by the profile of their
+    format, and one row per command with its number of matches.
     """
-    understood = parsed_commands(commands).where(F.col("find_text").isNotNull())
-    targeted = understood.join(docs.select("doc_id", "text"), "doc_id")
-    text, find_text = F.col("text"), F.col("find_text")
-    spans_lines = find_text.contains("\n")
-    return targeted.select(
-        "command_id",
-        "doc_id",
-        "find_text",
-        "replace_text",
-        F.when(spans_lines, text)
-        .otherwise(replace_caseless(text, find_text, F.col("replace_text")))
-        .alias("new_text"),
-        F.when(spans_lines, F.lit(0)).otherwise(count_caseless(text, find_text)).alias("matches"),
+    rules = command_rules(commands)
+    searched = paragraphs.where(F.col("scope").isin(BODY_AND_TABLES))
+    texts, pages = replace_by_rule(searched, rules), replace_blocks_by_rule(blocks, rules)
+    counted = rules.join(matches_by_rule(texts, pages), ["doc_id", "seq"], "left").select(
+        F.col("seq").alias("command_id"), "doc_id", "find_text", "replace_text",
+        F.coalesce("matches", F.lit(0)).cast("long").alias("matches"),
     )
+    return texts, pages, counted

@@ -48,10 +48,16 @@ def catalog(spark, sf_dir):
     )
 
 
+def lines(spark, sf_dir):
+    return content_paragraphs(documents(spark, sf_dir))
+
+
 def paragraphs(spark, sf_dir):
-    rows = content_paragraphs(documents(spark, sf_dir))
-    scope = _case(F.col("idx"), "body", "body", "body", "body", "header", "table")
-    return rows.withColumn("scope", scope)
+    """Of six lines four are body paragraphs; every scope counts its own from 0."""
+    line, group = F.col("idx"), F.floor(F.col("idx") / 6).cast("long")
+    scope = _case(line, "body", "body", "body", "body", "header", "table")
+    idx = F.when(line % 6 < 4, group * 4 + line % 6).otherwise(group)
+    return lines(spark, sf_dir).select("doc_id", idx.alias("idx"), "text", scope.alias("scope"))
 
 
 def raw_blocks(spark, sf_dir):
@@ -61,7 +67,7 @@ def raw_blocks(spark, sf_dir):
         .when(block_no == 5, F.concat(F.lit(" "), F.col("text"), F.lit("\t")))
         .otherwise(F.col("text"))
     )
-    return paragraphs(spark, sf_dir).select(
+    return lines(spark, sf_dir).select(
         "doc_id",
         F.floor(idx / BLOCKS_PER_PAGE).cast("long").alias("page_num"),
         block_no.alias("block_no"),
@@ -119,8 +125,9 @@ def accounts(spark, sf_dir):
 
 
 def requests(spark, sf_dir):
+    """Requests over all documents and a fifth as many unknown ids."""
     event_id = F.col("event_id")
-    doc_id = event_id * 7 % 1200
+    doc_id = event_id * 7 % (table(spark, sf_dir, "documents").count() * 6 // 5)
     owner = F.concat(F.lit("src"), doc_id % 20)
     other = F.concat(F.lit("src"), F.col("user_id") % 25)
     return table(spark, sf_dir, "events").select(
@@ -224,10 +231,24 @@ def rule_columns(doc_id):
 
 
 def rules(spark, sf_dir):
-    """One rule per document; every fifth has an empty needle and cannot run."""
-    doc_id = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", doc_id.alias("seq"), *rule_columns(doc_id))
+    """Two rules per document, the second on what the first wrote, and one without replacement.
+
+    Every fifth first rule has an empty needle and cannot run.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", *rule_columns(F.col("doc_id")))
+
+    def step(seq, find_text, replace_text, case_sensitive):
+        return F.struct(
+            F.lit(seq).cast("long").alias("seq"), find_text.alias("find_text"),
+            replace_text.alias("replace_text"), case_sensitive.alias("case_sensitive"),
+        )
+
+    steps = F.array(
+        step(2, F.col("replace_text"), F.lit("z"), F.lit(True)),
+        step(3, F.lit("e"), F.lit(None).cast("string"), F.lit(True)),
+        step(1, F.col("find_text"), F.col("replace_text"), F.col("case_sensitive")),
+    )
+    return docs.select("doc_id", F.inline(steps))
 
 
 def stack_rules(spark, sf_dir):
@@ -252,13 +273,24 @@ def stack_rules(spark, sf_dir):
 
 
 def replace_requests(spark, sf_dir):
-    """One request per document, with its rule; every fourth comes from a fixed user."""
-    owner = F.when(F.col("doc_id") % 4 == 0, "src1").otherwise(F.col("source"))
-    requested = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("request_id"), "doc_id", owner.alias("user_id"),
-        *rule_columns(F.col("doc_id")),
+    """Two requests per document; every fourth first one comes from a fixed user."""
+    user = F.when(F.col("doc_id") % 4 == 0, "src1").otherwise(F.col("source"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", user.alias("user"), *rule_columns(F.col("doc_id"))
+    )
+
+    def request(no, user_id, find_text, replace_text, case_sensitive):
+        return F.struct(
+            (F.col("doc_id") * 2 + no).alias("request_id"), user_id.alias("user_id"),
+            find_text.alias("find_text"), replace_text.alias("replace_text"),
+            case_sensitive.alias("case_sensitive"),
+        )
+
+    both = F.array(
+        request(1, F.col("source"), F.col("replace_text"), F.lit("z"), F.lit(True)),
+        request(0, F.col("user"), F.col("find_text"), F.col("replace_text"), F.col("case_sensitive")),
     )
-    return requested
+    return docs.select("doc_id", F.inline(both))
 
 
 def history(spark, sf_dir):

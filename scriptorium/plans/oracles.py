@@ -9,15 +9,17 @@ SELECT doc_id, doc_id AS seq,
   strftime(DATE '2024-01-01' + CAST(doc_id % 30 AS INT), '%Y-%m-%d') AS upload_date,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id % 4 END AS images_count
 FROM documents""",
+    "lines": """
+SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS idx,
+  unnest(string_split(text, chr(10))) AS text FROM documents""",
     "paragraphs": """
-SELECT doc_id, idx, text, CASE idx % 6 WHEN 5 THEN 'table' WHEN 4 THEN 'header' ELSE 'body' END AS scope
-FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS idx,
-        unnest(string_split(text, chr(10))) AS text FROM documents)""",
+SELECT doc_id, CASE WHEN idx % 6 < 4 THEN (idx // 6) * 4 + idx % 6 ELSE idx // 6 END AS idx, text,
+  CASE idx % 6 WHEN 5 THEN 'table' WHEN 4 THEN 'header' ELSE 'body' END AS scope FROM lines""",
     "raw_blocks": """
 SELECT doc_id, CAST(floor(idx / 20) AS BIGINT) AS page_num, idx % 20 AS block_no,
   CASE WHEN idx % 20 = 7 THEN 1 ELSE 0 END AS block_type,
   CASE WHEN idx % 20 = 3 THEN '  ' WHEN idx % 20 = 5 THEN concat(' ', text, chr(9)) ELSE text END AS text
-FROM paragraphs""",
+FROM lines""",
     "stripped": r"""
 SELECT doc_id, page_num, block_no, block_type, regexp_replace(text,
   '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z',
@@ -41,17 +43,16 @@ SELECT user_id AS doc_id, event_id AS seq,
   event_id % 20 AS block_no, concat('edit ', event_id) AS text
 FROM events""",
     "latest": """
-SELECT doc_id, idx, arg_max(text, seq) AS new_text FROM edits WHERE idx IS NOT NULL GROUP BY doc_id, idx""",
+SELECT doc_id, idx, arg_max(text, seq) AS new_text FROM edits WHERE idx IS NOT NULL AND text IS NOT NULL GROUP BY doc_id, idx""",
     "edited": """
 SELECT p.doc_id, p.idx, p.scope, p.text AS old_text, coalesce(l.new_text, p.text) AS new_text,
   l.new_text IS NOT NULL AND l.new_text <> p.text AS changed
-FROM paragraphs p LEFT JOIN latest l ON p.doc_id = l.doc_id AND p.idx = l.idx""",
+FROM paragraphs p LEFT JOIN latest l ON p.doc_id = l.doc_id AND p.idx = l.idx AND p.scope = 'body'""",
     "accounts": """
 SELECT DISTINCT source AS user_id FROM documents WHERE source <> 'src3'""",
     "requests": """
-SELECT event_id AS request_id, (event_id * 7) % 1200 AS doc_id,
-  CASE WHEN event_id % 2 = 0 THEN concat('src', ((event_id * 7) % 1200) % 20) ELSE concat('src', user_id % 25) END AS user_id
-FROM events""",
+SELECT request_id, doc_id, CASE WHEN request_id % 2 = 0 THEN concat('src', doc_id % 20) ELSE concat('src', user_id % 25) END AS user_id
+FROM (SELECT event_id AS request_id, user_id, (event_id * 7) % ((SELECT count(*) FROM documents) * 6 // 5) AS doc_id FROM events)""",
     "signups": """
 SELECT c_custkey AS seq, concat(lower(c_name), '@example.com') AS email, c_name AS name FROM customer
 UNION ALL SELECT c_custkey + 1000000, concat(lower(c_name), '@example.com'), concat(c_name, ' again') FROM customer WHERE c_custkey % 5 = 0""",
@@ -101,14 +102,55 @@ FROM (SELECT *, '(?i)^replace\s+(?:the\s+)?["''“”]?([^"''“”]+?)["''“
     "parsed": """
 SELECT *, find_text <> '' AND replace_text <> '' AS understood FROM slots""",
     "rules": r"""
-SELECT doc_id, doc_id AS seq,
+SELECT doc_id, 1 AS seq,
   CASE doc_id % 5 WHEN 0 THEN 'the' WHEN 1 THEN 'que' WHEN 2 THEN '$' WHEN 3 THEN 'en' ELSE '' END AS find_text,
   CASE doc_id % 3 WHEN 0 THEN '$1' WHEN 1 THEN '\1' ELSE 'a\b' END AS replace_text,
   doc_id % 2 = 0 AS case_sensitive
 FROM documents""",
+    "first_rule": r"""
+SELECT p.doc_id, p.scope, p.idx, r.replace_text AS z, CASE WHEN r.find_text = '' THEN 0 WHEN r.case_sensitive THEN (length(p.text) - length(replace(p.text, r.find_text, ''))) / length(r.find_text)
+    ELSE len(regexp_extract_all(p.text, '(?i)' || regexp_escape(r.find_text))) END AS n, CASE WHEN r.find_text = '' THEN p.text WHEN r.case_sensitive THEN replace(p.text, r.find_text, r.replace_text)
+    ELSE regexp_replace(p.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS t
+FROM paragraphs p JOIN rules r ON p.doc_id = r.doc_id""",
+    "first_block_rule": r"""
+SELECT p.doc_id, p.page_num, p.block_no, p.text, r.replace_text AS z, CASE WHEN r.find_text = '' THEN 0 WHEN r.case_sensitive THEN (length(p.text) - length(replace(p.text, r.find_text, ''))) / length(r.find_text)
+    ELSE len(regexp_extract_all(p.text, '(?i)' || regexp_escape(r.find_text))) END AS n, CASE WHEN r.find_text = '' THEN p.text WHEN r.case_sensitive THEN replace(p.text, r.find_text, r.replace_text)
+    ELSE regexp_replace(p.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS t
+FROM blocks p JOIN rules r ON p.doc_id = r.doc_id""",
+    "requested": """
+SELECT q.request_id, q.doc_id, q.no, q.find_text, q.replace_text, q.cs, c.file_type,
+  CAST(CASE WHEN q.user_id NOT IN (SELECT user_id FROM accounts) THEN 401 WHEN q.user_id <> c.owner_id THEN 404
+    WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
+FROM (SELECT d.doc_id * 2 AS request_id, d.doc_id, 0 AS no, CASE WHEN d.doc_id % 4 = 0 THEN 'src1' ELSE d.source END AS user_id,
+    r.find_text, r.replace_text, r.case_sensitive AS cs FROM documents d JOIN rules r ON d.doc_id = r.doc_id
+  UNION ALL SELECT d.doc_id * 2 + 1, d.doc_id, 1, d.source, r.replace_text, 'z', true FROM documents d JOIN rules r ON d.doc_id = r.doc_id) q
+JOIN catalog c ON q.doc_id = c.doc_id""",
+    "request_texts": r"""
+SELECT doc_id, sum(n) AS n0, sum((length(t) - length(replace(t, z, ''))) / length(z)) AS n1
+FROM (SELECT p.doc_id, r.replace_text AS z,
+    CASE WHEN r.status <> 200 THEN 0 ELSE CASE WHEN r.find_text = '' THEN 0 WHEN r.cs THEN (length(p.text) - length(replace(p.text, r.find_text, ''))) / length(r.find_text)
+    ELSE len(regexp_extract_all(p.text, '(?i)' || regexp_escape(r.find_text))) END END AS n,
+    CASE WHEN r.status <> 200 THEN p.text ELSE CASE WHEN r.find_text = '' THEN p.text WHEN r.cs THEN replace(p.text, r.find_text, r.replace_text)
+    ELSE regexp_replace(p.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END END AS t
+  FROM (SELECT doc_id, text, 'docx' AS kind FROM paragraphs WHERE scope IN ('body', 'table') UNION ALL SELECT doc_id, text, 'pdf' FROM blocks) p
+  JOIN requested r ON p.doc_id = r.doc_id AND p.kind = r.file_type AND r.no = 0)
+GROUP BY doc_id""",
+    "command_steps": r"""
+SELECT doc_id, scope, idx, page_num, block_no, text, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS command_id, CAST(0 AS BIGINT) AS hits FROM (
+  SELECT p.doc_id, p.scope, p.idx, CAST(-1 AS BIGINT) AS page_num, CAST(-1 AS BIGINT) AS block_no, p.text
+  FROM paragraphs p JOIN catalog c ON p.doc_id = c.doc_id WHERE c.file_type = 'docx' AND p.scope IN ('body', 'table')
+  UNION ALL SELECT b.doc_id, 'page', -1, b.page_num, b.block_no, b.text FROM blocks b JOIN catalog c ON b.doc_id = c.doc_id WHERE c.file_type = 'pdf')
+UNION ALL SELECT s.doc_id, s.scope, s.idx, s.page_num, s.block_no,
+  regexp_replace(s.text, '(?i)' || regexp_escape(c.find_text), replace(c.replace_text, '\', '\\'), 'g'), s.n + 1, c.command_id,
+  CAST(len(regexp_extract_all(s.text, '(?i)' || regexp_escape(c.find_text))) AS BIGINT)
+FROM command_steps s JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY command_id) AS no FROM parsed WHERE understood) c
+ON c.doc_id = s.doc_id AND c.no = s.n + 1""",
     "history": """
 SELECT doc_id, CAST(-1 AS BIGINT) AS seq, upload_date AS date, 'Uploaded document' AS action FROM catalog
 UNION ALL SELECT user_id, event_id, strftime(ts, '%Y-%m-%d'), 'Edited text content (1 block(s))' FROM events""",
+    "answer_pairs": """
+SELECT a.conv_id, a.turn, a.text AS candidate, q.text AS reference FROM conversations a
+JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE a.role = 'assistant' AND q.role = 'user'""",
     "totals": """
 SELECT doc_id, CAST(sum((length(text) - length(replace(text, 'the', ''))) / 3) AS BIGINT) AS matches
 FROM paragraphs WHERE scope IN ('body', 'table') GROUP BY doc_id""",
@@ -118,7 +160,13 @@ FROM (SELECT doc_id, count(*) AS n_submitted, count(DISTINCT idx) AS n_pending F
 LEFT JOIN (SELECT doc_id, count(*) FILTER (changed) AS n_changed FROM edited GROUP BY doc_id) c ON e.doc_id = c.doc_id""",
 }
 NEEDS = {
-    "raw_blocks": ["paragraphs"],
+    "paragraphs": ["lines"],
+    "raw_blocks": ["lines"],
+    "first_rule": ["paragraphs", "rules"],
+    "first_block_rule": ["blocks", "rules"],
+    "requested": ["catalog", "accounts", "rules"],
+    "request_texts": ["requested", "paragraphs", "blocks"],
+    "command_steps": ["parsed", "catalog", "paragraphs", "blocks"],
     "stripped": ["raw_blocks"],
     "blocks": ["stripped"],
     "doc_pages": ["raw_blocks"],
@@ -145,10 +193,10 @@ def _with_fixtures(names, body):
         ordered = [name, *(n for n in ordered if n != name)]
         wanted.extend(NEEDS.get(name, []))
     clauses = ", ".join(f"{name} AS ({FIXTURES[name]})" for name in ordered)
-    return f"WITH {clauses} {body}" if clauses else body
+    return f"WITH RECURSIVE {clauses} {body}" if clauses else body
 
 
-REPLACED_CS = """SELECT doc_id, idx, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS matches,
+REPLACED_CS = """SELECT doc_id, scope, idx, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS matches,
   replace(text, 'the', '{new}') AS new_text FROM paragraphs"""
 BLOCKS_CS = """SELECT doc_id, page_num, block_no,
   CASE WHEN {condition} THEN CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) ELSE 0 END AS matches,
@@ -172,7 +220,7 @@ FROM catalog c LEFT JOIN (
   SELECT l_orderkey AS doc_id, count(*) AS n_all, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_orderkey) i
 ON c.doc_id = i.doc_id
 WHERE c.file_type IN ('pdf', 'docx') AND c.size_bytes <= 10485760"""),
-    "content_paragraphs": (["paragraphs"], "SELECT doc_id, idx, text FROM paragraphs"),
+    "content_paragraphs": (["lines"], "SELECT doc_id, idx, text FROM lines"),
     "content_blocks": (["blocks", "doc_pages"], """
 SELECT p.doc_id, p.page_num, coalesce(b.block_no, -1) AS block_no, coalesce(b.text, '') AS text
 FROM doc_pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_num = b.page_num"""),
@@ -181,16 +229,16 @@ SELECT doc_id, CAST(0 AS BIGINT) AS page_num, block_no, text FROM (
   SELECT page_id AS doc_id, unnest(range(len(r))) AS block_no, regexp_replace(unnest(r), '^\s+|\s+\z', '', 'g') AS text
   FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS r FROM pages))
 WHERE text <> ''"""),
-    "docx_binary_scan": (["paragraphs"], """
-SELECT doc_id, 'paragraph' AS kind, idx, text FROM paragraphs WHERE doc_id % 50 <> 49
+    "docx_binary_scan": (["lines"], """
+SELECT doc_id, 'paragraph' AS kind, idx, text FROM lines WHERE doc_id % 50 <> 49
 UNION ALL SELECT doc_id, 'error', -1, '' FROM documents WHERE doc_id % 50 = 49"""),
-    "text_file_scan": (["paragraphs"], "SELECT doc_id, idx, text FROM paragraphs"),
+    "text_file_scan": (["lines"], "SELECT doc_id, idx, text FROM lines"),
     "snapshot_write": (["edited", "catalog"], """
-SELECT e.doc_id, e.idx, e.new_text AS text, coalesce(c.file_type, 'other') AS file_type
+SELECT e.doc_id, e.scope, e.idx, e.new_text AS text, coalesce(c.file_type, 'other') AS file_type
 FROM edited e JOIN catalog c ON e.doc_id = c.doc_id"""),
     "export_text": (["paragraphs", "catalog"], """
-SELECT coalesce(c.file_type, 'other') AS file_type, p.text AS line, count(*) AS n
-FROM paragraphs p JOIN catalog c ON p.doc_id = c.doc_id GROUP BY 1, 2"""),
+SELECT p.doc_id, coalesce(c.file_type, 'other') AS file_type, p.idx AS line_no, p.text AS line
+FROM paragraphs p LEFT JOIN (SELECT * FROM catalog WHERE doc_id % 9 <> 0) c ON p.doc_id = c.doc_id WHERE p.scope = 'body'"""),
     "storage_keys": (["catalog"], r"""
 SELECT doc_id, concat(sha256(concat(doc_id, '|', name)), regexp_extract(name, '[^./][^/]*?(\.[^./]*)\z', 1)) AS storage_path
 FROM catalog"""),
@@ -219,7 +267,7 @@ SELECT r.request_id, r.doc_id, r.user_id, CAST(CASE WHEN a.user_id IS NULL THEN
   WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
 FROM requests r LEFT JOIN accounts a ON r.user_id = a.user_id
 LEFT JOIN catalog c ON r.doc_id = c.doc_id AND r.user_id = c.owner_id"""),
-    "apply_paragraph_edits": (["edited"], "SELECT doc_id, idx, new_text, changed FROM edited"),
+    "apply_paragraph_edits": (["edited"], "SELECT doc_id, scope, idx, new_text, changed FROM edited"),
     "apply_block_edits": (["blocks", "doc_pages", "edits"], """
 SELECT b.doc_id, b.page_num, b.block_no, coalesce(l.new_text, b.text) AS new_text, l.new_text IS NOT NULL AND l.new_text <> b.text AS changed
 FROM blocks b LEFT JOIN (
@@ -229,7 +277,7 @@ ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.block_no = l.block_no""
     "edit_runs": (["runs", "edited"], """
 SELECT r.doc_id, r.scope, r.idx, r.run_no,
   CASE WHEN NOT e.changed THEN r.text WHEN r.run_no = 0 THEN e.new_text ELSE '' END AS text
-FROM runs r JOIN edited e ON r.doc_id = e.doc_id AND r.idx = e.idx
+FROM runs r JOIN edited e ON r.doc_id = e.doc_id AND r.scope = e.scope AND r.idx = e.idx
 UNION ALL SELECT doc_id, scope, idx, 0, new_text FROM edited WHERE changed AND old_text = ''"""),
     "image_replacements": (["images", "image_requests", "by_occurrence"], IMAGES_REPLACED.format(numbered="by_occurrence")),
     "image_replacements_distinct": (["images", "image_requests", "first_images"], IMAGES_REPLACED.format(numbered="first_images")),
@@ -277,14 +325,12 @@ SELECT doc_id, seq, name, row_number() OVER (ORDER BY seq DESC) - 1 AS position
     "history_timeline": (["history"], """
 SELECT doc_id, seq, date, action, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS entry_no FROM history"""),
     "reconstruct_documents": (["paragraphs"], """
-SELECT doc_id, CAST(floor(idx / 65536) AS BIGINT) AS part_no, string_agg(text, chr(10) ORDER BY idx) AS text
-FROM paragraphs GROUP BY 1, 2"""),
+SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text FROM paragraphs WHERE scope = 'body' GROUP BY doc_id"""),
     "reconstruct_pages": (["blocks"], """
-SELECT doc_id, page_num, CAST(floor(block_no / 65536) AS BIGINT) AS part_no, string_agg(text, chr(10) ORDER BY block_no) AS text
-FROM blocks GROUP BY 1, 2, 3"""),
+SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY 1, 2"""),
     "content_all": (["catalog", "paragraphs", "blocks"], """
 SELECT c.doc_id, c.file_type, p.idx, CAST(-1 AS BIGINT) AS page_num, CAST(-1 AS BIGINT) AS block_no, p.text
-FROM catalog c JOIN paragraphs p ON c.doc_id = p.doc_id WHERE c.file_type = 'docx'
+FROM catalog c JOIN paragraphs p ON c.doc_id = p.doc_id WHERE c.file_type = 'docx' AND p.scope = 'body'
 UNION ALL SELECT c.doc_id, c.file_type, -1, b.page_num, b.block_no, b.text
 FROM catalog c JOIN blocks b ON c.doc_id = b.doc_id WHERE c.file_type = 'pdf'"""),
     "replace_body_and_tables": (["paragraphs"], REPLACED_CS.format(new="THE") + " WHERE scope IN ('body', 'table')"),
@@ -298,7 +344,7 @@ UNION ALL SELECT doc_id, 2, '2024-02-01', concat('Edited text content (', n_subm
 UNION ALL SELECT doc_id, 3, '2024-02-01', concat('Find & Replace: ''the'' -> ''THE'' (', matches, ' matches)') FROM totals WHERE matches > 0"""),
     "find_replace_cs": (["paragraphs"], REPLACED_CS.format(new="THE")),
     "find_replace_ci": (["paragraphs"], r"""
-SELECT doc_id, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,
+SELECT doc_id, scope, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,
   regexp_replace(text, '(?i)the', '$1\\', 'g') AS new_text FROM paragraphs"""),
     "find_replace_blocks": (["blocks"], BLOCKS_CS.format(condition="true")),
     "find_replace_blocks_ci": (["blocks"], r"""
@@ -306,19 +352,15 @@ SELECT doc_id, page_num, block_no, CAST(len(regexp_extract_all(text, '(?i)of\s+t
   regexp_replace(text, '(?i)of\s+the', 'OF THE', 'g') AS new_text FROM blocks"""),
     "find_replace_blocks_outer_blank": (["blocks"], """
 SELECT doc_id, page_num, block_no, CAST(0 AS BIGINT) AS matches, text AS new_text FROM blocks"""),
-    "replace_by_rule": (["paragraphs", "rules"], r"""
-SELECT p.doc_id, p.idx, CAST(CASE WHEN r.find_text = '' THEN 0
-    WHEN r.case_sensitive THEN (length(p.text) - length(replace(p.text, r.find_text, ''))) / length(r.find_text)
-    ELSE len(regexp_extract_all(p.text, '(?i)' || regexp_escape(r.find_text))) END AS BIGINT) AS matches,
-  CASE WHEN r.find_text = '' THEN p.text WHEN r.case_sensitive THEN replace(p.text, r.find_text, r.replace_text)
-    ELSE regexp_replace(p.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS new_text
-FROM paragraphs p JOIN rules r ON p.doc_id = r.doc_id"""),
-    "rejected_rules": (["rules"], "SELECT doc_id, seq FROM rules WHERE find_text = ''"),
+    "replace_by_rule": (["first_rule"], """
+SELECT doc_id, scope, idx, CAST(n + (length(t) - length(replace(t, z, ''))) / length(z) AS BIGINT) AS matches, replace(t, z, 'z') AS new_text FROM first_rule"""),
+    "rejected_rules": (["rules"], """
+SELECT doc_id, CAST(seq AS BIGINT) AS seq FROM rules WHERE find_text = '' UNION ALL SELECT doc_id, 3 FROM documents"""),
     "delete_text": (["paragraphs"], REPLACED_CS.format(new="")),
     "cross_run_replace": (["runs", "paragraphs"], """
 SELECT r.doc_id, r.scope, r.idx, r.run_no, CASE WHEN n = 0 THEN r.text WHEN r.run_no = 0 THEN replace(p.text, 'of the', 'OF THE') ELSE '' END AS text, p.n AS matches
-FROM runs r JOIN (SELECT *, CAST((length(text) - length(replace(text, 'of the', ''))) / 6 AS BIGINT) AS n FROM paragraphs) p
-ON r.doc_id = p.doc_id AND r.idx = p.idx"""),
+FROM runs r JOIN (SELECT *, CASE WHEN scope = 'header' THEN 0 ELSE CAST((length(text) - length(replace(text, 'of the', ''))) / 6 AS BIGINT) END AS n FROM paragraphs) p
+ON r.doc_id = p.doc_id AND r.scope = p.scope AND r.idx = p.idx"""),
     "apply_run_style": (["styled_runs"], """
 SELECT doc_id, scope, idx, run_no, coalesce(font_name, '') AS font_name, coalesce(font_size, 0.0::DOUBLE) AS font_size FROM styled_runs"""),
     "font_family_map": (["fonts"], "SELECT * FROM fonts"),
@@ -329,11 +371,12 @@ SELECT doc_id, concat('Updated styling: font=', coalesce(font_name, 'None'), ',
     "parse_replace_command": (["parsed"], """
 SELECT command_id, CASE WHEN understood THEN find_text ELSE '' END AS find_text, CASE WHEN understood THEN replace_text ELSE '' END AS replace_text FROM parsed"""),
     "strip_text": (["stripped"], "SELECT doc_id, page_num, block_no, text FROM stripped"),
-    "apply_commands": (["parsed"], r"""
-SELECT c.command_id, c.doc_id, c.find_text, c.replace_text,
-  regexp_replace(d.text, '(?i)' || regexp_escape(c.find_text), replace(c.replace_text, '\', '\\'), 'g') AS new_text,
-  CAST(len(regexp_extract_all(d.text, '(?i)' || regexp_escape(c.find_text))) AS BIGINT) AS matches
-FROM parsed c JOIN documents d ON c.doc_id = d.doc_id WHERE c.understood"""),
+    "apply_commands": (["command_steps"], """
+SELECT p.command_id, p.doc_id, p.find_text, p.replace_text, CAST(coalesce(m.n, 0) AS BIGINT) AS matches
+FROM parsed p LEFT JOIN (SELECT command_id, sum(hits) AS n FROM command_steps WHERE n > 0 GROUP BY command_id) m
+ON p.command_id = m.command_id WHERE p.understood"""),
+    "apply_commands_text": (["command_steps"], """
+SELECT doc_id, scope, idx, page_num, block_no, arg_max(text, n) AS new_text FROM command_steps GROUP BY ALL"""),
     "edit_stack": ([], """
 SELECT doc_id, replace(b, 'que', 'QUE') AS text,
   CAST((length(text) - length(replace(text, 'the', ''))) / 3 + (length(a) - length(replace(a, 'THE', ''))) / 3
@@ -344,31 +387,14 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(b, '(?i)que', 'q', '
   CAST((length(text) - length(replace(text, 'the', ''))) / 3 + (length(a) - length(replace(a, 'THE', ''))) / 3
     + CASE WHEN doc_id % 2 = 0 THEN len(regexp_extract_all(b, '(?i)que')) ELSE 0 END AS BIGINT) AS matches
 FROM (SELECT *, replace(a, 'THE', concat('x', doc_id % 3)) AS b FROM (SELECT doc_id, text, replace(text, 'the', 'THE') AS a FROM documents))"""),
-    "replace_blocks_by_rule": (["blocks", "rules"], r"""
-SELECT b.doc_id, b.page_num, b.block_no, CAST(CASE WHEN r.find_text = '' OR (b.doc_id % 7 = 0 AND b.page_num <> 1) THEN 0
-    WHEN r.case_sensitive THEN (length(b.text) - length(replace(b.text, r.find_text, ''))) / length(r.find_text)
-    ELSE len(regexp_extract_all(b.text, '(?i)' || regexp_escape(r.find_text))) END AS BIGINT) AS matches,
-  CASE WHEN r.find_text = '' OR (b.doc_id % 7 = 0 AND b.page_num <> 1) THEN b.text
-    WHEN r.case_sensitive THEN replace(b.text, r.find_text, r.replace_text)
-    ELSE regexp_replace(b.text, '(?i)' || regexp_escape(r.find_text), replace(r.replace_text, '\', '\\'), 'g') END AS new_text
-FROM blocks b JOIN rules r ON b.doc_id = r.doc_id"""),
-    "find_replace_requests": (["catalog", "accounts", "rules", "paragraphs", "blocks"], """
-SELECT q.doc_id AS request_id, q.doc_id, q.status, q.matches,
-  CASE WHEN q.matches > 0 THEN concat('Find & Replace: ''', r.find_text, ''' -> ''', r.replace_text, ''' (', q.matches, ' matches)') ELSE '' END AS action
-FROM (
-  SELECT s.doc_id, s.status, CAST(CASE WHEN s.status = 200 THEN coalesce(m.n, 0) ELSE 0 END AS BIGINT) AS matches
-  FROM (
-    SELECT c.doc_id, CAST(CASE WHEN u.user_id NOT IN (SELECT user_id FROM accounts) THEN 401 WHEN u.user_id <> c.owner_id THEN 404
-      WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
-    FROM catalog c JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'src1' ELSE source END AS user_id FROM documents) u ON c.doc_id = u.doc_id) s
-  LEFT JOIN (
-    SELECT t.doc_id, sum(CASE WHEN r.find_text = '' THEN 0
-      WHEN r.case_sensitive THEN (length(t.text) - length(replace(t.text, r.find_text, ''))) / length(r.find_text)
-      ELSE len(regexp_extract_all(t.text, '(?i)' || regexp_escape(r.find_text))) END) AS n
-    FROM (SELECT p.doc_id, p.text FROM paragraphs p JOIN catalog c ON p.doc_id = c.doc_id WHERE c.file_type = 'docx' AND p.scope IN ('body', 'table')
-      UNION ALL SELECT b.doc_id, b.text FROM blocks b JOIN catalog c ON b.doc_id = c.doc_id WHERE c.file_type = 'pdf') t
-    JOIN rules r ON t.doc_id = r.doc_id GROUP BY t.doc_id) m ON s.doc_id = m.doc_id) q
-JOIN rules r ON q.doc_id = r.doc_id"""),
+    "replace_blocks_by_rule": (["first_block_rule"], """
+SELECT doc_id, page_num, block_no, CASE WHEN off THEN 0 ELSE matches END AS matches, CASE WHEN off THEN text ELSE new_text END AS new_text
+FROM (SELECT doc_id, page_num, block_no, text, doc_id % 7 = 0 AND page_num <> 1 AS off, CAST(n + (length(t) - length(replace(t, z, ''))) / length(z) AS BIGINT) AS matches, replace(t, z, 'z') AS new_text FROM first_block_rule)"""),
+    "find_replace_requests": (["requested", "request_texts"], """
+SELECT q.request_id, q.doc_id, q.status, q.matches,
+  CASE WHEN q.matches > 0 THEN concat('Find & Replace: ''', q.find_text, ''' -> ''', q.replace_text, ''' (', q.matches, ' matches)') ELSE '' END AS action
+FROM (SELECT r.*, CAST(CASE WHEN r.status <> 200 THEN 0 WHEN r.no = 0 THEN coalesce(m.n0, 0) ELSE coalesce(m.n1, 0) END AS BIGINT) AS matches
+  FROM requested r LEFT JOIN request_texts m ON r.doc_id = m.doc_id) q"""),
     "upload_dates": (["catalog"], "SELECT doc_id, upload_date FROM catalog"),
     "stream_latest_edits": (["latest"], "SELECT doc_id, idx, new_text FROM latest"),
     "stream_uploads": (["catalog"], r"""
@@ -380,6 +406,40 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 scored AS (SELECT doc_id, word, round(tf * ln((SELECT count(*) FROM documents) / df), 6) AS score FROM tf JOIN df USING (word)),
 ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank, word, score FROM scored)
 SELECT doc_id, rank, word, score FROM ranked WHERE rank <= 3"""),
+    "validate_records": ([], """
+SELECT conv_id, turn, reason = '' AS valid, reason FROM (
+  SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'no_text' WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role'
+    WHEN row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) > 1 THEN 'duplicate' ELSE '' END AS reason
+  FROM (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN 'bot' ELSE role END AS role,
+    CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE text END AS text FROM conversations))"""),
+    "label_balance": ([], """
+SELECT quality, n, round(n / sum(n) OVER (), 6) AS share, round(n / min(n) OVER (), 6) AS ratio
+FROM (SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n FROM labels GROUP BY 1)"""),
+    "balanced_labels": ([], """
+SELECT doc_id, quality FROM (
+  SELECT doc_id, CAST(quality AS BIGINT) AS quality, row_number() OVER (PARTITION BY quality ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS no FROM labels)
+WHERE no <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality))"""),
+    "split_80_10_10": ([], """
+SELECT conv_id, turn, CASE WHEN v % 10 < 8 THEN 'train' WHEN v % 10 < 9 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT conv_id, turn, (strpos('0123456789abcdef', substr(h, 1, 1)) - 1) * 268435456 + (strpos('0123456789abcdef', substr(h, 2, 1)) - 1) * 16777216 + (strpos('0123456789abcdef', substr(h, 3, 1)) - 1) * 1048576 + (strpos('0123456789abcdef', substr(h, 4, 1)) - 1) * 65536 + (strpos('0123456789abcdef', substr(h, 5, 1)) - 1) * 4096 + (strpos('0123456789abcdef', substr(h, 6, 1)) - 1) * 256 + (strpos('0123456789abcdef', substr(h, 7, 1)) - 1) * 16 + (strpos('0123456789abcdef', substr(h, 8, 1)) - 1) * 1 AS v FROM (SELECT conv_id, turn, md5(CAST(conv_id AS VARCHAR)) AS h FROM conversations))"""),
+    "rouge_scores": (["answer_pairs"], r"""
+SELECT p.conv_id, p.turn, CAST(coalesce(t.c, 0) AS BIGINT) AS n_candidate, CAST(coalesce(t.r, 0) AS BIGINT) AS n_reference,
+  CAST(coalesce(t.both_, 0) AS BIGINT) AS n_common, CASE WHEN coalesce(t.c + t.r, 0) > 0 THEN round(2 * t.both_ / (t.c + t.r), 6) ELSE 0.0::DOUBLE END AS f1
+FROM answer_pairs p LEFT JOIN (
+  SELECT conv_id, turn, sum(c) AS c, sum(r) AS r, sum(least(c, r)) AS both_ FROM (
+    SELECT conv_id, turn, gram, sum(side) AS c, sum(1 - side) AS r FROM (
+      SELECT conv_id, turn, 1 AS side, unnest(w) AS gram FROM (SELECT conv_id, turn, regexp_extract_all(lower(candidate), '\p{L}+') AS w FROM answer_pairs)
+      UNION ALL SELECT conv_id, turn, 0, unnest(w) FROM (SELECT conv_id, turn, regexp_extract_all(lower(reference), '\p{L}+') AS w FROM answer_pairs))
+    GROUP BY ALL) GROUP BY conv_id, turn) t ON p.conv_id = t.conv_id AND p.turn = t.turn"""),
+    "rouge_2_scores": (["answer_pairs"], r"""
+SELECT p.conv_id, p.turn, CAST(coalesce(t.c, 0) AS BIGINT) AS n_candidate, CAST(coalesce(t.r, 0) AS BIGINT) AS n_reference,
+  CAST(coalesce(t.both_, 0) AS BIGINT) AS n_common, CASE WHEN coalesce(t.c + t.r, 0) > 0 THEN round(2 * t.both_ / (t.c + t.r), 6) ELSE 0.0::DOUBLE END AS f1
+FROM answer_pairs p LEFT JOIN (
+  SELECT conv_id, turn, sum(c) AS c, sum(r) AS r, sum(least(c, r)) AS both_ FROM (
+    SELECT conv_id, turn, gram, sum(side) AS c, sum(1 - side) AS r FROM (
+      SELECT conv_id, turn, 1 AS side, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT conv_id, turn, regexp_extract_all(lower(candidate), '\p{L}+') AS w FROM answer_pairs)
+      UNION ALL SELECT conv_id, turn, 0, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT conv_id, turn, regexp_extract_all(lower(reference), '\p{L}+') AS w FROM answer_pairs))
+    GROUP BY ALL) GROUP BY conv_id, turn) t ON p.conv_id = t.conv_id AND p.turn = t.turn"""),
     "slot_exact_match": (["parsed"], """
 SELECT count(*) AS n_prompts, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS n_exact, round(avg(CAST(hit AS INT)), 6) AS share
 FROM (SELECT CASE WHEN is_text THEN NOT understood ELSE understood AND find_text = f AND replace_text = r END AS hit FROM parsed)"""),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import strip_text
 from scriptorium.operators import (
     catalog as cat,
+    datasets,
     edits as ed,
     evaluate,
     history as hist,
@@ -22,7 +23,7 @@ from scriptorium.sources import content, docx, sinks, text_files, uploads
 from scriptorium.streaming import edits as stream_edits
 from scriptorium.streaming import uploads as stream_up
 
-REPLACED = ["doc_id", "idx", "matches", "new_text"]
+REPLACED = ["doc_id", "scope", "idx", "matches", "new_text"]
 BLOCKS_REPLACED = ["doc_id", "page_num", "block_no", "matches", "new_text"]
 # sequential rules of the edit stack: each sees the result of the one before
 STACK = [("the", "THE"), ("THE", "x"), ("que", "QUE")]
@@ -97,22 +98,17 @@ def snapshot_write(spark, sf):
     types = fx.catalog(spark, sf).select(
         "doc_id", F.coalesce("file_type", F.lit("other")).alias("file_type")
     )
-    state = edited.select("doc_id", "idx", F.col("new_text").alias("text")).join(types, "doc_id")
+    state = edited.select("doc_id", "scope", "idx", F.col("new_text").alias("text")).join(types, "doc_id")
     folder = shared_folder(spark, "snapshots")
     sinks.snapshot_write(state, folder, version=1)
     return sinks.read_snapshot(spark, folder, 1, state.schema)
 
 
 def export_text(spark, sf):
-    parts = reconstruct.reconstruct_documents(fx.paragraphs(spark, sf))
-    types = fx.catalog(spark, sf).select(
-        "doc_id", F.coalesce("file_type", F.lit("other")).alias("file_type")
-    )
-    folder = sinks.export_text(parts, types, shared_folder(spark, "export"))
-    lines = spark.read.schema("value string, file_type string").text(folder)
-    return lines.groupBy("file_type", F.col("value").alias("line")).agg(
-        F.count("*").alias("n")
-    )
+    docs = reconstruct.reconstruct_documents(fx.paragraphs(spark, sf))
+    listed = fx.catalog(spark, sf).where("doc_id % 9 <> 0")
+    folder = sinks.export_text(docs, listed, shared_folder(spark, "export"))
+    return sinks.read_export(spark, folder)
 
 
 def storage_keys(spark, sf):
@@ -168,7 +164,7 @@ def resolve_requests(spark, sf):
 
 def apply_paragraph_edits(spark, sf):
     edited = ed.apply_paragraph_edits(fx.paragraphs(spark, sf), fx.edits(spark, sf))
-    return edited.select("doc_id", "idx", "new_text", "changed")
+    return edited.select("doc_id", "scope", "idx", "new_text", "changed")
 
 
 def apply_block_edits(spark, sf):
@@ -304,10 +300,9 @@ def reconstruct_pages(spark, sf):
 
 def content_all(spark, sf):
     blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
-    paragraphs = fx.paragraphs(spark, sf).select("doc_id", "idx", "text")
     none = F.lit(-1).cast("long")
-    both = content.content_all(fx.catalog(spark, sf), paragraphs, blocks)
-    return both.withColumns({c: F.coalesce(c, none) for c in ("idx", "page_num", "block_no")})
+    both = content.content_all(fx.catalog(spark, sf), fx.paragraphs(spark, sf), blocks)
+    return both.drop("scope").withColumns({c: F.coalesce(c, none) for c in ("idx", "page_num", "block_no")})
 
 
 def replace_body_and_tables(spark, sf):
@@ -390,7 +385,9 @@ def delete_text(spark, sf):
 
 
 def cross_run_replace(spark, sf):
-    return rep.cross_run_replace(fx.runs(spark, sf), "of the", "OF THE").select(
+    paragraphs = fx.paragraphs(spark, sf)
+    replaced = rep.cross_run_replace(fx.runs(spark, sf), "of the", "OF THE", paragraphs=paragraphs)
+    return replaced.select(
         "doc_id", "scope", "idx", "run_no", "text", "matches"
     )
 
@@ -434,8 +431,30 @@ def strip_blocks(spark, sf):
     )
 
 
+def _applied_commands(spark, sf):
+    types = fx.catalog(spark, sf).select("doc_id", "file_type")
+    docx = types.where("file_type = 'docx'").select("doc_id")
+    pdf = types.where("file_type = 'pdf'").select("doc_id")
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    return rep.apply_commands(
+        fx.paragraphs(spark, sf).join(docx, "doc_id"), blocks.join(pdf, "doc_id"),
+        fx.commands(spark, sf),
+    )
+
+
 def apply_commands(spark, sf):
-    return rep.apply_commands(fx.documents(spark, sf), fx.commands(spark, sf))
+    return _applied_commands(spark, sf)[2]
+
+
+def apply_commands_text(spark, sf):
+    paragraphs, blocks, _ = _applied_commands(spark, sf)
+    none = F.lit(-1).cast("long")
+    both = paragraphs.select("doc_id", "scope", "idx", "new_text").unionByName(
+        blocks.select("doc_id", "page_num", "block_no", "new_text"), allowMissingColumns=True
+    )
+    return both.withColumn("scope", F.coalesce("scope", F.lit("page"))).withColumns(
+        {c: F.coalesce(c, none) for c in ("idx", "page_num", "block_no")}
+    )
 
 
 def edit_stack(spark, sf):
@@ -497,6 +516,51 @@ def style_preservation(spark, sf):
     )
 
 
+# training records
+
+
+def _turns(spark, sf):
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def validate_records(spark, sf):
+    """Every seventh conversation has its assistants under a role that is not known."""
+    odd = (F.col("conv_id") % 7 == 0) & (F.col("role") == "assistant")
+    text = F.when(F.col("conv_id") % 11 == 0, F.lit("  ")).otherwise(F.col("text"))
+    turns = _turns(spark, sf).withColumn("role", F.when(odd, "bot").otherwise(F.col("role")))
+    checked = datasets.validate_records(turns.withColumn("text", text), ["conv_id", "turn"])
+    return checked.select("conv_id", "turn", "valid", "reason")
+
+
+def label_balance(spark, sf):
+    return datasets.label_balance(fx.table(spark, sf, "labels"), "quality").withColumn(
+        "quality", F.col("quality").cast("long")
+    )
+
+
+def balanced_labels(spark, sf):
+    chosen = datasets.balanced(fx.table(spark, sf, "labels"), "doc_id", "quality")
+    return chosen.select("doc_id", F.col("quality").cast("long").alias("quality"))
+
+
+def split_80_10_10(spark, sf):
+    split = datasets.split_80_10_10(_turns(spark, sf), "conv_id")
+    return split.select("conv_id", "turn", "split")
+
+
+def _rouge(spark, sf, n):
+    pairs = datasets.answer_pairs(_turns(spark, sf))
+    return datasets.rouge_scores(pairs, ["conv_id", "turn"], n)
+
+
+def rouge_scores(spark, sf):
+    return _rouge(spark, sf, 1)
+
+
+def rouge_2_scores(spark, sf):
+    return _rouge(spark, sf, 2)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -516,10 +580,13 @@ QUERIES = {
         find_replace_blocks_outer_blank, replace_by_rule, replace_blocks_by_rule,
         find_replace_requests, rejected_rules, delete_text,
         cross_run_replace, apply_run_style, font_family_map, history_actions,
-        parse_replace_command, strip_blocks, apply_commands, edit_stack,
+        parse_replace_command, strip_blocks, apply_commands, apply_commands_text,
+        edit_stack,
         edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
         keyword_topk, slot_exact_match, style_preservation,
+        validate_records, label_balance, balanced_labels, split_80_10_10, rouge_scores,
+        rouge_2_scores,
     )
 }
 # the survey's name for the operator

@@ -1,48 +1,36 @@
-"""A batch of find and replace requests from access check to history entry."""
+"""Batches of requests from access check to history entry."""
 
 from pyspark.sql import functions as F
 
 from scriptorium.functions.audit import replace_action
-from scriptorium.operators.catalog import OK, resolve_requests
+from scriptorium.operators.catalog import OK, resolved_requests
 from scriptorium.operators.replace import (
     BODY_AND_TABLES,
+    matches_by_rule,
     replace_blocks_by_rule,
     replace_by_rule,
 )
 
 
-def accepted_rules(requests, accounts, catalog):
-    """Rules of the requests that may run, with the type of their document."""
-    allowed = resolve_requests(requests, accounts, catalog).where(F.col("status") == OK)
-    return allowed.join(catalog.select("doc_id", "file_type"), "doc_id")
-
-
 def find_replace_requests(requests, accounts, catalog, paragraphs, blocks):
     """Outcome of ``requests(request_id, doc_id, user_id, find_text, replace_text,
-    case_sensitive)``, one per document: status, matches and history entry.
+    case_sensitive)``: status, matches and history entry of each.
 
-    Body and table paragraphs of docx and blocks of pdf documents are searched, each by
+    Accepted requests of a document run in order of ``request_id``, each on the result of those
+    before. Body and table paragraphs of docx and blocks of pdf documents are searched, each by
     the profile of its format. Without matches there is no history entry.
     """
-    rules = accepted_rules(requests, accounts, catalog)
+    resolved = resolved_requests(requests, accounts, catalog)
+    rules = resolved.where(F.col("status") == OK).withColumn("seq", F.col("request_id"))
     searched = paragraphs.where(F.col("scope").isin(BODY_AND_TABLES))
-    found = replace_by_rule(searched, rules.where("file_type = 'docx'")).select(
-        "doc_id", "matches"
-    )
-    found_in_blocks = replace_blocks_by_rule(blocks, rules.where("file_type = 'pdf'")).select(
-        "doc_id", "matches"
-    )
-    totals = (
-        found.unionByName(found_in_blocks)
-        .where(F.col("matches") > 0)
-        .groupBy("doc_id")
-        .agg(F.sum("matches").alias("matches"))
-    )
-    resolved = resolve_requests(requests, accounts, catalog)
-    ran = F.when(F.col("status") == OK, F.coalesce("matches", F.lit(0))).otherwise(0)
+    totals = matches_by_rule(
+        replace_by_rule(searched, rules.where("file_type = 'docx'")),
+        replace_blocks_by_rule(blocks, rules.where("file_type = 'pdf'")),
+    ).select(F.col("seq").alias("request_id"), "matches")
     entry = replace_action(F.col("find_text"), F.col("replace_text"), F.col("matches"))
     return (
-        resolved.join(totals, "doc_id", "left")
-        .withColumn("matches", ran.cast("long"))
+        resolved.join(totals, "request_id", "left")
+        .withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
         .withColumn("action", F.when(F.col("matches") > 0, entry).otherwise(""))
+        .select(*requests.columns, "status", "matches", "action")
     )

@@ -19,7 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-SPREAD_SPLITS = 64
+# what two splits of the usual size hold
+SPREAD_BYTES = 256 << 20
 
 
 def local_session(cores="*", shuffle_partitions=8, memory="16g"):
@@ -55,12 +56,19 @@ def shared_folder(spark, label):
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
-def spread(df):
-    """Use all cores on an input that comes in a few splits only.
+def apply_settings(spark):
+    """Set what the operators rely on in a session made elsewhere, such as on a cluster."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread(scan):
+    """Use all cores on a table of files that is too small to come in as many splits.
 
-    An input of more than ``SPREAD_SPLITS`` splits, or of as many as there are cores,
-    passes unchanged, so this never adds an exchange of a large table.
+    Judged by the bytes of its files, which planning knows, so nothing runs for it; over
+    ``SPREAD_BYTES`` it passes unchanged, so this never adds an exchange of a large table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < min(cores, SPREAD_SPLITS) else df
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if size < SPREAD_BYTES else scan

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip_text
+from scriptorium.operators.edits import body_paragraphs
 from scriptorium.operators.ordinals import with_ordinal
 
 TEXT_BLOCK = 0
@@ -65,9 +66,11 @@ def page_ordinals(pages, keys, order):
 
 
 def content_all(catalog, paragraphs, blocks):
-    """One content table for both formats: paragraphs of docx, blocks of pdf documents."""
+    """One content table for both formats: body paragraphs of docx, blocks of pdf documents."""
     typed = catalog.select("doc_id", "file_type")
-    docx = typed.where(F.col("file_type") == "docx").join(paragraphs, "doc_id")
+    docx = typed.where(F.col("file_type") == "docx").join(
+        body_paragraphs(paragraphs), "doc_id"
+    )
     pdf = typed.where(F.col("file_type") == "pdf").join(blocks, "doc_id")
     return docx.unionByName(pdf, allowMissingColumns=True)
 

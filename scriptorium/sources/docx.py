@@ -3,6 +3,7 @@
 import io
 import sys
 import zipfile
+from itertools import islice
 from posixpath import basename, join
 from xml.etree import ElementTree
 
@@ -10,8 +11,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from scriptorium.functions.names import MAX_UPLOAD_BYTES
-
 # the parser travels with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -21,6 +20,10 @@ WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+# unpacked bytes of one part that a task parses; more gives an error row
+MAX_PART_BYTES = 1 << 28
+BATCH_ROWS = 10_000
+
 ELEMENTS = (
     "path string, kind string, scope string, idx long, run_no long, section_no long, "
     "para_no long, text string, font_name string, font_size double, part_id string"
@@ -58,10 +61,19 @@ def _paragraph_text(paragraph):
 def _font(run):
     name = run.find(f"{W}rPr/{W}rFonts")
     size = run.find(f"{W}rPr/{W}sz")
-    return {
-        "font_name": None if name is None else name.get(f"{W}ascii"),
-        "font_size": None if size is None else float(size.get(f"{W}val")) / 2,
-    }
+    points = None if size is None else size.get(f"{W}val")
+    try:
+        points = None if points is None else float(points) / 2
+    except ValueError:  # not a number: as if not set
+        points = None
+    return {"font_name": None if name is None else name.get(f"{W}ascii"), "font_size": points}
+
+
+def _read(archive, part):
+    """Bytes of a part, unless unpacking it would take too much memory."""
+    if archive.getinfo(part).file_size > MAX_PART_BYTES:
+        raise ValueError(f"part_size: {part}")
+    return archive.read(part)
 
 
 def _targets(archive, part):
@@ -69,7 +81,8 @@ def _targets(archive, part):
     rels = f"word/_rels/{basename(part)}.rels"
     if rels not in archive.namelist():
         return {}
-    return {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read(rels))}
+    root = ElementTree.fromstring(_read(archive, rels))
+    return {r.get("Id"): r.get("Target") for r in root}
 
 
 def _content(body):
@@ -96,7 +109,7 @@ def _sections(archive, body, targets):
                 if ref.get(f"{W}type", "default") != "default":
                     continue
                 target = join("/word", targets[ref.get(f"{R}id")]).lstrip("/")
-                root = ElementTree.fromstring(archive.read(target))
+                root = ElementTree.fromstring(_read(archive, target))
                 for para_no, paragraph in enumerate(root.findall(f"{W}p")):
                     yield {
                         "kind": "stamp", "scope": part, "section_no": section_no,
@@ -113,33 +126,52 @@ def _pictures(body, targets):
         yield {"kind": "picture", "idx": idx, "part_id": targets.get(blip.get(f"{R}embed"))}
 
 
-def _elements(content):
+def _or_error(rows):
+    """The rows up to the first damage, which becomes an error row of its own."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
-            targets = _targets(archive, "word/document.xml")
-            return [
-                *_content(body), *_sections(archive, body, targets), *_pictures(body, targets)
-            ]
-    except Exception as error:  # any damage to a file becomes its error row
-        return [{"kind": "error", "text": f"{type(error).__name__}: {error}"}]
+        yield from rows
+    except Exception as error:  # damage of any kind
+        yield {"kind": "error", "text": f"{type(error).__name__}: {error}"}
+
+
+def _parts(content):
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        body = ElementTree.fromstring(_read(archive, "word/document.xml")).find(f"{W}body")
+        yield from _or_error(_content(body))
+        targets = {}
+
+        def related():
+            targets.update(_targets(archive, "word/document.xml"))
+            yield from ()
+
+        yield from _or_error(related())
+        yield from _or_error(_sections(archive, body, targets))
+        yield from _or_error(_pictures(body, targets))
+
+
+def _elements(content):
+    """All that can be read: contents, sections and pictures fail apart from each other."""
+    return _or_error(_parts(content))
 
 
 def _parse(batches):
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = [{"path": path.as_py(), **row} for row in _elements(content.as_py())]
-            yield pa.RecordBatch.from_pylist(rows, ARROW_ELEMENTS)
+            rows = ({"path": path.as_py(), **row} for row in _elements(content.as_py()))
+            while block := list(islice(rows, BATCH_ROWS)):
+                yield pa.RecordBatch.from_pylist(block, ARROW_ELEMENTS)
 
 
-def docx_elements(files, max_bytes=MAX_UPLOAD_BYTES):
+def docx_elements(files, max_bytes=None):
     """Everything read from ``files(path, length, content)``, one row per element.
 
-    A file that cannot be read, or is over the upload limit, gives one row of kind
-    ``error``. The size filter is part of the scan: content of larger files is not read.
-    Files reach a task in Arrow batches, limited in bytes by the session's
+    Damage gives a row of kind ``error`` beside what could be read; so does a part that would
+    unpack to over ``MAX_PART_BYTES``. Limits of uploads are the gate's; with ``max_bytes``
+    larger files give an error row only, and their content is not read. Files reach a task in Arrow batches, limited in bytes by the session's
     ``spark.sql.execution.arrow.maxBytesPerBatch``, and are parsed one by one.
     """
+    if max_bytes is None:
+        return files.select("path", "content").mapInArrow(_parse, ELEMENTS)
     parsed = files.where(F.col("length") <= max_bytes).select("path", "content")
     too_large = files.where(F.col("length") > max_bytes).select(
         "path", F.lit("error").alias("kind"), F.lit("file_size").alias("text")
@@ -160,6 +192,16 @@ def docx_binary_scan(spark, path):
     return docx_elements(docx_files(spark, path))
 
 
+def with_doc_id(rows, catalog):
+    """Rows of a scan with the ``doc_id`` whose ``storage_path`` names their file.
+
+    Replaces ``path``, so that paragraphs, runs, pictures and sections fit the operators.
+    """
+    stored = catalog.select("doc_id", F.col("storage_path").alias("_stored"))
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    return rows.join(stored, name == F.col("_stored")).drop("path", "_stored")
+
+
 def paragraphs_of(elements):
     """Body and table paragraphs; the content listing shows scope ``body`` only."""
     return elements.where("kind = 'paragraph'").select("path", "scope", "idx", "text")

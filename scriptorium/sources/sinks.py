@@ -1,5 +1,7 @@
 """Versioned snapshots and text export. Nothing here overwrites an input."""
 
+from pyspark.sql import functions as F
+
 
 def snapshot_write(df, path, version, partition_by="file_type"):
     """Write ``df`` as a new version below ``path``; an existing version is an error.
@@ -18,21 +20,37 @@ def read_snapshot(spark, path, version, schema):
     return spark.read.schema(schema).parquet(f"{path}/version={version}")
 
 
-def export_text(parts, catalog, path):
-    """Write reconstructed documents ``(doc_id, part_no, text)`` as text per file type.
+def export_text(docs, catalog, path):
+    """Write documents ``(doc_id, text)`` as text per file type, documents in order.
 
-    Rows are range-partitioned by document and part, so the parts of a document lie
-    together and files read in name order give the documents in order.
+    Each line is document, line number and text, parted by tabs, so every line tells whose
+    it is. Documents outside the catalog go to ``other``. The export is made of lines before it
+    is dealt out, so a long document may lie in several files.
     """
-    order = ["file_type", "doc_id", "part_no"]
-    typed = parts.join(catalog.select("doc_id", "file_type"), "doc_id")
+    typed = docs.join(catalog.select("doc_id", "file_type"), "doc_id", "left").select(
+        F.coalesce("file_type", F.lit("other")).alias("file_type"),
+        "doc_id",
+        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"),
+    )
+    order = ["file_type", "doc_id", "line_no"]
     ordered = typed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.select("file_type", "text").write.mode("errorifexists").partitionBy(
+    line = F.concat_ws("\t", "doc_id", "line_no", "line")
+    ordered.select("file_type", line.alias("value")).write.mode("errorifexists").partitionBy(
         "file_type"
-    ).text(path)
+    ).text(path, lineSep="\n")
     return path
 
 
+def read_export(spark, path):
+    """``(doc_id, file_type, line_no, line)`` of an export."""
+    rows = spark.read.schema("value string, file_type string").text(path, lineSep="\n")
+    parts = F.split("value", "\t", 3)
+    return rows.select(
+        parts[0].cast("long").alias("doc_id"), "file_type",
+        parts[1].cast("long").alias("line_no"), parts[2].alias("line"),
+    )
+
+
 def export_text_files(docs, path):
     """Write one ``.txt`` folder per document; for collections of few documents."""
     docs.select("doc_id", "text").write.mode("errorifexists").partitionBy("doc_id").text(path)

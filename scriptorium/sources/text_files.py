@@ -2,22 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions.names import MAX_UPLOAD_BYTES
-
 LINE_END = r"\r\n?"
 
 
-def text_file_scan(spark, path, glob="*.txt", max_bytes=MAX_UPLOAD_BYTES):
+def text_file_scan(spark, path, glob="*.txt", max_bytes=None):
     """``(path, idx, text)``: one file is one document, one line one paragraph.
 
-    Files over the upload limit are left to the gate and not read. The line feed that
-    ends the last line does not start another paragraph.
+    All files are read; limits are the upload gate's. With ``max_bytes`` larger ones are
+    left out before their content is read. The line feed that ends the last line does not
+    start another paragraph.
     """
-    files = (
-        spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-        .where(F.col("_metadata.file_size") <= max_bytes)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
+    found = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    if max_bytes is not None:
+        found = found.where(F.col("_metadata.file_size") <= max_bytes)
+    files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     unified = F.regexp_replace("text", LINE_END, "\n")
     lines = F.split(F.regexp_replace(unified, r"\n\z", ""), "\n")
     return files.select("path", F.posexplode(lines).alias("pos", "text")).select(

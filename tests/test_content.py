@@ -65,6 +65,22 @@ def test_last_edit_of_a_paragraph_wins(table, rows):
     assert rows(ed.edit_counts(paragraphs, edits)) == [(1, 6, 4, 2)]
 
 
+def test_edits_reach_body_paragraphs_only(table, rows):
+    paragraphs = table(
+        PARAGRAPHS, (1, 0, "b0", "body"), (1, 0, "t0", "table"), (1, 1, "h1", "header"), (1, 1, "b1", "body"),
+    )
+    edits = table(EDITS, (1, 1, 0, None, None, "GOOD"), (1, 2, 0, None, None, None), (1, 3, 1, None, None, "x"))
+    edited = ed.apply_paragraph_edits(paragraphs, edits)
+    assert sorted(rows(edited, "scope", "idx", "new_text", "changed")) == [
+        ("body", 0, "GOOD", True), ("body", 1, "x", True), ("header", 1, "h1", False), ("table", 0, "t0", False),
+    ]
+    assert rows(ed.edit_counts(paragraphs, edits)) == [(1, 3, 2, 2)]
+    catalog = table("doc_id long, file_type string", (1, "docx"))
+    blocks = table("doc_id long, page_num long, block_no long, text string")
+    assert rows(content.content_all(catalog, paragraphs, blocks), "idx", "text") == [(0, "b0"), (1, "b1")]
+    assert rows(reconstruct.reconstruct_documents(paragraphs)) == [(1, "b0\nb1")]
+
+
 def test_block_edits_need_an_existing_page(table, rows):
     blocks = table("doc_id long, page_num long, block_no long, text string", (1, 0, 0, "a"), (1, 0, 1, "b"))
     edits = table(EDITS, (1, 1, None, 0, 0, "x"), (1, 2, None, 0, 0, "y"), (1, 3, None, 1, 0, "z"))
@@ -109,6 +125,17 @@ def test_match_may_span_runs(table, rows):
     ]
 
 
+def test_runs_of_headers_stay_and_hidden_text_is_found(table, rows):
+    runs = table(RUNS, (1, 0, "body", 0, "see ", "Arial", 10.0), (1, 0, "header", 0, "Draft", None, None))
+    paragraphs = table(
+        PARAGRAPHS, (1, 0, "see Draft", "body"), (1, 0, "Draft", "header"), (1, 1, "Draft", "body"),
+    )
+    replaced = rep.cross_run_replace(runs, "Draft", "Final", paragraphs=paragraphs)
+    assert sorted(rows(replaced, "scope", "idx", "run_no", "text", "font_name", "matches"), key=repr) == sorted([
+        ("body", 0, 0, "see Final", "Arial", 1), ("body", 1, 0, "Final", None, 1), ("header", 0, 0, "Draft", None, 0),
+    ], key=repr)
+
+
 def test_edited_paragraph_without_runs_gets_one(table, rows):
     runs = table(RUNS, (1, 0, "body", 0, "a", "Arial", 10.0), (1, 0, "body", 1, "b", None, None))
     paragraphs = table(PARAGRAPHS, (1, 0, "ab", "body"), (1, 1, "", "body"))
@@ -119,14 +146,12 @@ def test_edited_paragraph_without_runs_gets_one(table, rows):
     ]
 
 
-@pytest.mark.parametrize("part_rows", [2, 65536])
-def test_reconstruction_returns_the_documents(spark, sf_dir, part_rows):
+def test_reconstruction_returns_the_documents(spark, sf_dir, table, rows):
     docs = fx.documents(spark, sf_dir)
-    parts = reconstruct.reconstruct_documents(content.content_paragraphs(docs), part_rows)
-    texts = {}
-    for part in sorted(parts.collect(), key=lambda r: (r.doc_id, r.part_no)):
-        texts.setdefault(part.doc_id, []).append(part.text)
-    assert {d: "\n".join(t) for d, t in texts.items()} == {r.doc_id: r.text for r in docs.collect()}
+    whole = reconstruct.reconstruct_documents(content.content_paragraphs(docs))
+    assert rows(whole, "doc_id", "text") == rows(docs, "doc_id", "text")
+    gap = table("doc_id long, idx long, text string", (1, 2, "c"), (1, 0, "a"), (1, 1, None))
+    assert rows(reconstruct.reconstruct_documents(gap), "text") == [("a\n\nc",)]
 
 
 def test_replacing_text_by_itself_changes_nothing(spark, sf_dir):

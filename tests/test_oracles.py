@@ -3,9 +3,9 @@
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-ORACLES = oracle_sql()
+from __spark_entry__ import entry
+from scriptorium.plans.oracles import ORACLES
+from scriptorium.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,11 +15,11 @@ def connection(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(name, spark, sf_dir, connection):
-    assert compare(queries()[name](spark, sf_dir), connection, ORACLES[name]) > 0
+    assert compare(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) > 0
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -25,7 +25,15 @@ def test_only_a_local_session_may_do_without():
         session.shared_folder(fake("yarn"), "x")
 
 
-def test_only_few_splits_are_spread(spark):
-    one, many = spark.range(0, 1000, 1, 1), spark.range(0, 1000, 1, 100)
-    assert session.spread(one).rdd.getNumPartitions() == 4
-    assert session.spread(many) is many
+def test_only_few_bytes_are_spread(spark, monkeypatch):
+    few = spark.range(0, 1000, 1, 1)
+    assert session.spread(few).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(session, "SPREAD_BYTES", 10)
+    assert session.spread(few) is few
+
+
+def test_settings_of_a_session_made_elsewhere(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    assert session.apply_settings(other) is other
+    assert all(other.conf.get(k) == v for k, v in session.SETTINGS.items())

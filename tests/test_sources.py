@@ -4,7 +4,6 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from scriptorium.operators.images import picture_counts
-from scriptorium.operators.reconstruct import reconstruct_documents
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans.packing import pack_docx
 from scriptorium.sources import docx, sinks, text_files
@@ -93,6 +92,7 @@ def test_text_files(spark, tmp_path, rows):
     (tmp_path / "c.pdf").write_bytes(b"other")
     found = text_files.text_file_scan(spark, str(tmp_path), max_bytes=50)
     assert rows(found, "idx", "text") == [(0, "no end"), (0, "one"), (1, ""), (2, "two")]
+    assert text_files.text_file_scan(spark, str(tmp_path)).where("text like 'xxx%'").count() == 1
 
 
 def test_snapshots_are_versions(spark, tmp_path, table):
@@ -107,14 +107,43 @@ def test_snapshots_are_versions(spark, tmp_path, table):
         assert found.select(*first.columns).collect() == state.collect()
 
 
-def test_export_keeps_each_document_together(spark, sf_dir, tmp_path):
+def test_export_names_the_document_of_every_line(spark, tmp_path, table, rows):
+    docs = table("doc_id long, text string", (1, "a\tb\n\nc\r"), (2, None), (3, "x"))
+    catalog = table("doc_id long, file_type string", (1, "pdf"), (2, "docx"))
+    sinks.export_text(docs, catalog, str(tmp_path / "out"))
+    found = sinks.read_export(spark, str(tmp_path / "out"))
+    assert rows(found, "doc_id", "file_type", "line_no", "line") == [
+        (1, "pdf", 0, "a\tb"), (1, "pdf", 1, ""), (1, "pdf", 2, "c\r"), (2, "docx", 0, ""), (3, "other", 0, "x"),
+    ]
+
+
+def test_export_of_whole_documents(spark, sf_dir, tmp_path):
     docs = fx.documents(spark, sf_dir)
-    catalog = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 'pdf', 'docx') AS file_type")
-    parts = reconstruct_documents(fx.paragraphs(spark, sf_dir), part_rows=3)
-    sinks.export_text(parts, catalog, str(tmp_path / "out"))
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for remainder, file_type in enumerate(("pdf", "docx")):
-        files = sorted((tmp_path / "out" / f"file_type={file_type}").glob("*.txt"))
-        written = "".join(f.read_text(encoding="utf8") for f in files)
-        expected = "".join(t + "\n" for d, t in sorted(texts.items()) if d % 2 == remainder)
-        assert written == expected
+    sinks.export_text(docs, docs.selectExpr("doc_id", "'pdf' AS file_type"), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out" / "file_type=pdf").glob("*.txt"))
+    written = "".join(f.read_text(encoding="utf8") for f in files)
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert written == "".join(f"{d}\t{i}\t{t}\n" for d, text in texts for i, t in enumerate(text.split("\n")))
+
+
+def test_damage_of_one_part_leaves_the_rest(spark, table, word_folder, rows):
+    body = (
+        '<w:p><w:r><w:rPr><w:sz/></w:rPr><w:t>kept</w:t></w:r></w:p>' + f"<w:p>{picture('r1')}</w:p>"
+        f'<w:sectPr><w:headerReference xmlns:r="{docx.R.strip("{}")}" w:type="default" r:id="gone"/></w:sectPr>'
+    )
+    content = pack_docx(body, {"word/_rels/document.xml.rels": RELS})
+    files = table("path string, length long, content binary", ("/x/s1.docx", len(content), bytearray(content)))
+    found = docx.docx_elements(files)
+    assert rows(found.where("kind = 'paragraph'"), "text") == [("",), ("kept",)]
+    assert found.where("kind = 'picture'").count() == 1
+    assert [r.text for r in found.where("kind = 'error'").collect()] == ["KeyError: 'gone'"]
+    catalog = table("doc_id long, storage_path string", (7, "s1.docx"), (8, "s2.docx"))
+    named = docx.with_doc_id(docx.paragraphs_of(found), catalog)
+    assert rows(named, "doc_id", "scope", "idx", "text") == [(7, "body", 0, "kept"), (7, "body", 1, "")]
+
+
+def test_parts_that_unpack_too_large_are_reported(spark, table, monkeypatch):
+    monkeypatch.setattr(docx, "MAX_PART_BYTES", 100)
+    content = pack_docx("<w:p/>" * 50)
+    files = table("path string, length long, content binary", ("a.docx", len(content), bytearray(content)))
+    assert [r.text for r in docx.docx_elements(files).collect()] == ["ValueError: part_size: word/document.xml"]

@@ -66,12 +66,17 @@ def test_empty_needle_in_the_stack_is_an_error(table):
 def test_empty_needle_in_rules_is_reported_and_skipped(table, rows):
     rules = table(
         "doc_id long, seq long, find_text string, replace_text string, case_sensitive boolean",
-        (1, 0, "", "X", True), (2, 0, "b", "c", None), (3, 0, "B", "$0", False),
+        (1, 0, "", "X", True), (2, 0, "b", "c", None), (3, 0, "B", "$0", False), (5, 0, "a", None, True),
+        (6, 2, "y", "z", True), (6, 1, "x", "y", True),
     )
-    paragraphs = table(TEXT, (1, 0, "ab"), (2, 0, "abB"), (3, 0, "abB"), (4, 0, "ab"))
-    assert rows(rep.rejected_rules(rules), "doc_id") == [(1,)]
+    paragraphs = table(
+        TEXT, (1, 0, "ab"), (2, 0, "abB"), (3, 0, "abB"), (4, 0, "ab"), (5, 0, "ab"), (6, 0, "x y")
+    )
+    assert rows(rep.rejected_rules(rules), "doc_id") == [(1,), (5,)]
+    counts = rep.matches_by_rule(rep.replace_by_rule(paragraphs, rules).where("doc_id = 6"))
+    assert rows(counts, "seq", "matches") == [(1, 1), (2, 2)]
     assert rows(rep.replace_by_rule(paragraphs, rules), "doc_id", "new_text", "matches") == [
-        (1, "ab", 0), (2, "acB", 1), (3, "a$0$0", 2), (4, "ab", 0)
+        (1, "ab", 0), (2, "acB", 1), (3, "a$0$0", 2), (4, "ab", 0), (5, "ab", 0), (6, "z z", 3)
     ]
 
 
@@ -152,15 +157,23 @@ def test_replace_command(table, prompt, expected):
 
 
 def test_apply_commands(table, rows):
-    docs = table("doc_id long, text string", (1, "Cat cat\nDOG"), (2, "dog"))
+    paragraphs = table(
+        "doc_id long, scope string, idx long, text string", (1, "body", 0, "Cat cat"), (1, "table", 0, "DOG"),
+        (1, "header", 0, "cat"), (2, "body", 0, "draft"),
+    )
+    blocks = table("doc_id long, page_num long, block_no long, text string", (3, 0, 0, "of  The end"))
     commands = table(
         "command_id long, doc_id long, prompt string",
         (1, 1, "replace cat with $1"), (2, 1, "replace t\nd by x"), (3, 1, "what is this?"),
-        (4, 2, 'Replace "DOG" to "\\"'), (5, 9, "replace a with b"),
+        (4, 1, 'Replace "$1" to "\\"'), (5, 9, "replace a with b"), (6, 2, "replace draft with final"),
+        (7, 2, "replace FINAL with done"), (8, 3, "replace of the with x"),
     )
-    assert rows(rep.apply_commands(docs, commands), "command_id", "new_text", "matches") == [
-        (1, "$1 $1\nDOG", 2), (2, "Cat cat\nDOG", 0), (4, "\\", 1)
+    texts, pages, counted = rep.apply_commands(paragraphs, blocks, commands)
+    assert sorted(rows(texts, "doc_id", "scope", "new_text")) == [
+        (1, "body", "\\ \\"), (1, "table", "DOG"), (2, "body", "done"),
     ]
+    assert rows(pages, "new_text", "matches") == [("x end", 1)]
+    assert rows(counted, "command_id", "matches") == [(1, 2), (2, 0), (4, 2), (5, 0), (6, 1), (7, 1), (8, 1)]
 
 
 def test_stack_applies_in_order(table):
@@ -169,7 +182,7 @@ def test_stack_applies_in_order(table):
     assert (row.text, row.matches) == ("x x QUE", 4)
 
 
-def test_stack_of_each_document_in_rounds(table, rows):
+def test_stack_of_each_document(table, rows):
     docs = table("doc_id long, text string", (1, "ab"), (2, "ab"), (3, "ab"))
     rules = table(
         "doc_id long, seq long, find_text string, replace_text string, case_sensitive boolean",
@@ -177,7 +190,6 @@ def test_stack_of_each_document_in_rounds(table, rows):
         (1, 25, "", "x", True), (2, 5, "B", "x", True), (2, 6, "B", "$1", False),
     )
     expected = [(1, "ddd", 7), (2, "a$1", 1), (3, "ab", 0)]
-    for round_rules in (1, 2, 1000):
-        found = rep.edit_stack_by_document(docs, rules, round_rules)
-        assert rows(found, "doc_id", "text", "matches") == expected
+    found = rep.edit_stack_by_document(docs, rules)
+    assert rows(found, "doc_id", "text", "matches") == expected
     assert rows(rep.edit_stack_by_document(docs, rules.limit(0)), "text") == [("ab",)] * 3

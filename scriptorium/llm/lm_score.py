@@ -181,11 +181,25 @@ def _parts(head):
     return run
 
 
+def _level(c):
+    """Frequency class of a count; at most some 500 of them."""
+    return F.floor(F.log2(F.greatest(c, F.lit(1))) * 8)
+
+
 def _head(words, size):
-    """The most frequent words by hash, with the sums that one occurrence adds."""
-    ended = F.col("word") == END
-    end = words.where(ended).toPandas()
-    rows = words.where(~ended & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(size).toPandas()
+    """At most ``size`` words, all those of the highest frequency classes, by hash.
+
+    Returns them with the sums that one occurrence adds, and the lowest class taken.
+    """
+    counted = words.where((F.col("word") != END) & (F.col("c") > 0)).withColumn("level", _level(F.col("c")))
+    taken, lowest = 0, 1 << 20
+    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > size:
+            break
+        lowest = row["level"]
+    end = words.where(F.col("word") == END).toPandas()
+    rows = counted.where(F.col("level") >= lowest).drop("level").toPandas()
     data, offsets = text_bytes(pa.array(rows["word"].tolist(), pa.string()))
     keys = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.argsort(keys)
@@ -193,7 +207,7 @@ def _head(words, size):
     for name in ("known", "base", "score"):
         head[name] = np.append(rows[name].to_numpy(np.float64)[order], 0.0)
     head["end"] = {name: float(end[name].sum()) for name in ("known", "base", "score")}
-    return head, int(rows["c"].min()) if len(rows) == size else 0
+    return head, lowest
 
 
 def lm_scores(docs, vocabulary=VOCABULARY, rounds=ROUNDS, head=HEAD):
@@ -218,9 +232,8 @@ def lm_scores(docs, vocabulary=VOCABULARY, rounds=ROUNDS, head=HEAD):
         ),
         "scores",
     )
-    table, least = _head(words, head)
-    # words as frequent as the last of the head may be outside it
-    rare = words.where(F.col("c") <= least)
+    table, lowest = _head(words, head)
+    rare = words.where((F.col("c") == 0) | (_level(F.col("c")) < lowest))
     parts = docs.select("doc_id", "text", "held_out").mapInArrow(_parts(table), PARTS)
     n = F.col("n")
     joined = parts.join(

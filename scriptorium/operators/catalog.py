@@ -114,6 +114,27 @@ def _resolved(requests, accounts, catalog):
     )
 
 
+def catalog_state(catalog, history, counts=None):
+    """The catalog after a batch: ``edit_history`` from the history table, new picture counts.
+
+    The entries of a document stand in order of ``seq``; ``counts(doc_id, images_count)`` has
+    one row for each document counted again, others keep their count.
+    """
+    entries = history.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "date", "action"))).alias("_entries")
+    )
+    view = F.transform("_entries", lambda e: F.struct(e["date"].alias("date"), e["action"].alias("action")))
+    state = catalog.drop("edit_history").join(entries, "doc_id", "left").withColumn(
+        "edit_history", F.coalesce(view, F.array().cast("array<struct<date:date,action:string>>"))
+    ).drop("_entries")
+    if counts is None:
+        return state
+    again = counts.select("doc_id", F.col("images_count").alias("_again"))
+    return state.join(again, "doc_id", "left").withColumn(
+        "images_count", F.coalesce("_again", "images_count")
+    ).drop("_again")
+
+
 def new_accounts(signups, known_emails):
     """First sign-up per exact email that has no account yet."""
     first = signups.groupBy("email").agg(

@@ -293,6 +293,47 @@ def replace_requests(spark, sf_dir):
     return docs.select("doc_id", F.inline(both))
 
 
+def save_requests(spark, sf_dir):
+    """Saves of up to four items each, made from events."""
+    save = F.floor(F.col("event_id") / 4).cast("long").alias("request_id")
+    saved = table(spark, sf_dir, "events").select(save).distinct()
+    doc_id = F.col("request_id") * 7 % (table(spark, sf_dir, "documents").count() * 6 // 5)
+    user = F.when(F.col("request_id") % 3 > 0, doc_no(doc_id, 20)).otherwise(doc_no(doc_id, 25))
+    return saved.select("request_id", doc_id.alias("doc_id"), user.alias("user_id"))
+
+
+def doc_no(doc_id, sources):
+    return F.concat(F.lit("src"), doc_id % sources)
+
+
+def save_items(spark, sf_dir):
+    edits = edits_of(table(spark, sf_dir, "events"))
+    return edits.select(
+        F.floor(F.col("seq") / 4).cast("long").alias("request_id"),
+        (F.col("seq") % 4).alias("item_no"),
+        "idx", "page_num", "block_no",
+        F.when(F.col("seq") % 17 != 0, F.col("text")).alias("text"),
+    )
+
+
+def style_saves(spark, sf_dir):
+    """Two style requests per document, the second with an image; every third by another user."""
+    doc_id = F.col("doc_id")
+    user = F.when(doc_id % 3 > 0, doc_no(doc_id, 20)).otherwise(doc_no(doc_id, 25))
+    first = style_patches(spark, sf_dir).select(
+        (doc_id * 2).alias("request_id"), "doc_id", user.alias("user_id"), "font_name", "font_size",
+        "header_text", "footer_text", F.lit(None).cast("long").alias("image_index"),
+        F.lit(None).cast("string").alias("image"),
+    )
+    second = table(spark, sf_dir, "documents").select(
+        (doc_id * 2 + 1).alias("request_id"), "doc_id", doc_no(doc_id, 20).alias("user_id"),
+        F.lit(None).cast("string").alias("font_name"), F.lit(9.5).alias("font_size"),
+        F.lit(None).cast("string").alias("header_text"), F.lit("Second").alias("footer_text"),
+        (doc_id % 4).alias("image_index"), F.concat(F.lit("img"), doc_id).alias("image"),
+    )
+    return first.unionByName(second)
+
+
 def history(spark, sf_dir):
     """Uploads and one entry per submitted edit, ordered by ``seq`` in each document."""
     uploaded = upload_entries(catalog(spark, sf_dir), F.lit(-1).cast("long"))

@@ -145,6 +145,32 @@ UNION ALL SELECT s.doc_id, s.scope, s.idx, s.page_num, s.block_no,
   CAST(len(regexp_extract_all(s.text, '(?i)' || regexp_escape(c.find_text))) AS BIGINT)
 FROM command_steps s JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY command_id) AS no FROM parsed WHERE understood) c
 ON c.doc_id = s.doc_id AND c.no = s.n + 1""",
+    "saves": """
+SELECT s.request_id, s.doc_id, c.file_type, s.n_items, CAST(CASE WHEN s.user_id NOT IN (SELECT user_id FROM accounts) THEN 401 WHEN c.doc_id IS NULL OR c.owner_id <> s.user_id THEN 404
+    WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
+FROM (SELECT request_id, doc_id, n_items, concat('src', doc_id % CASE WHEN request_id % 3 > 0 THEN 20 ELSE 25 END) AS user_id
+  FROM (SELECT event_id // 4 AS request_id, (event_id // 4) * 7 % ((SELECT count(*) FROM documents) * 6 // 5) AS doc_id, count(*) AS n_items FROM events GROUP BY 1, 2)) s
+LEFT JOIN catalog c ON s.doc_id = c.doc_id""",
+    "saved": """
+SELECT s.doc_id, s.file_type, e.seq, e.idx, e.page_num, e.block_no, CASE WHEN e.seq % 17 <> 0 THEN e.text END AS text
+FROM edits e JOIN saves s ON e.seq // 4 = s.request_id WHERE s.status = 200""",
+    "style_saves": """
+SELECT q.*, c.file_type, CAST(CASE WHEN q.user_id NOT IN (SELECT user_id FROM accounts) THEN 401 WHEN c.doc_id IS NULL OR c.owner_id <> q.user_id THEN 404
+    WHEN coalesce(c.file_type, '') NOT IN ('docx', 'pdf') THEN 400 ELSE 200 END AS BIGINT) AS status
+FROM (SELECT doc_id * 2 AS request_id, doc_id, concat('src', doc_id % CASE WHEN doc_id % 3 > 0 THEN 20 ELSE 25 END) AS user_id,
+    font_name, font_size, header_text, footer_text, CAST(NULL AS BIGINT) AS image_index, CAST(NULL AS VARCHAR) AS image FROM style_patches
+  UNION ALL SELECT doc_id * 2 + 1, doc_id, concat('src', doc_id % 20), NULL, 9.5, NULL, 'Second', doc_id % 4, concat('img', doc_id) FROM documents) q
+JOIN catalog c ON q.doc_id = c.doc_id""",
+    "style_counted": """
+SELECT s.*, CASE WHEN s.status <> 200 THEN -1 WHEN s.file_type = 'docx' THEN coalesce(i.n_all, 0) ELSE coalesce(i.n_parts, 0) END AS images_count,
+  CASE WHEN s.status <> 200 THEN '' ELSE concat('Updated styling: font=', coalesce(s.font_name, 'None'), ', size=', coalesce(CAST(s.font_size AS VARCHAR), 'None'),
+    ', header=', CASE WHEN s.header_text IS NULL THEN 'False' ELSE 'True' END, ', footer=', CASE WHEN s.footer_text IS NULL THEN 'False' ELSE 'True' END,
+    ', img=', CASE WHEN s.image_index IS NULL THEN 'False' ELSE 'True' END) END AS action
+FROM style_saves s LEFT JOIN (SELECT l_orderkey AS doc_id, count(*) AS n_all, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1) i ON s.doc_id = i.doc_id""",
+    "style_final": """
+SELECT doc_id, any_value(file_type) AS file_type, arg_max(font_name, request_id) FILTER (font_name <> '') AS font_name, arg_max(font_size, request_id) FILTER (font_size <> 0) AS font_size,
+  arg_max(header_text, request_id) FILTER (header_text IS NOT NULL) AS header_text, arg_max(footer_text, request_id) FILTER (footer_text IS NOT NULL) AS footer_text
+FROM style_saves WHERE status = 200 GROUP BY doc_id""",
     "history": """
 SELECT doc_id, CAST(-1 AS BIGINT) AS seq, upload_date AS date, 'Uploaded document' AS action FROM catalog
 UNION ALL SELECT user_id, event_id, strftime(ts, '%Y-%m-%d'), 'Edited text content (1 block(s))' FROM events""",
@@ -160,6 +186,11 @@ FROM (SELECT doc_id, count(*) AS n_submitted, count(DISTINCT idx) AS n_pending F
 LEFT JOIN (SELECT doc_id, count(*) FILTER (changed) AS n_changed FROM edited GROUP BY doc_id) c ON e.doc_id = c.doc_id""",
 }
 NEEDS = {
+    "saves": ["catalog", "accounts"],
+    "saved": ["saves", "edits"],
+    "style_saves": ["style_patches", "catalog", "accounts"],
+    "style_counted": ["style_saves"],
+    "style_final": ["style_saves"],
     "paragraphs": ["lines"],
     "raw_blocks": ["lines"],
     "first_rule": ["paragraphs", "rules"],
@@ -406,6 +437,42 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 scored AS (SELECT doc_id, word, round(tf * ln((SELECT count(*) FROM documents) / df), 6) AS score FROM tf JOIN df USING (word)),
 ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank, word, score FROM scored)
 SELECT doc_id, rank, word, score FROM ranked WHERE rank <= 3"""),
+    "content_requests": (["saves"], """
+SELECT request_id, doc_id, status, n_items, CASE WHEN status = 200 THEN concat('Edited text content (', n_items, ' block(s))') ELSE '' END AS action FROM saves"""),
+    "content_requests_text": (["saved", "paragraphs", "blocks", "doc_pages"], """
+SELECT p.doc_id, p.scope, p.idx, CAST(-1 AS BIGINT) AS page_num, CAST(-1 AS BIGINT) AS block_no, l.text AS new_text
+FROM paragraphs p JOIN (SELECT doc_id, idx, arg_max(text, seq) AS text FROM saved WHERE file_type = 'docx' AND idx IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2) l
+ON p.doc_id = l.doc_id AND p.idx = l.idx AND p.scope = 'body' WHERE p.text <> l.text
+UNION ALL SELECT b.doc_id, 'page', -1, b.page_num, b.block_no, l.text
+FROM blocks b JOIN (SELECT s.doc_id, s.page_num, s.block_no, arg_max(s.text, s.seq) AS text FROM saved s
+  JOIN doc_pages p ON s.doc_id = p.doc_id AND s.page_num = p.page_num WHERE s.file_type = 'pdf' AND s.text IS NOT NULL GROUP BY ALL) l
+ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.block_no = l.block_no WHERE b.text <> l.text"""),
+    "style_requests": (["style_counted"], "SELECT request_id, doc_id, status, action, CAST(images_count AS BIGINT) AS images_count FROM style_counted"),
+    "style_requests_runs": (["runs", "style_final"], """
+SELECT r.doc_id, r.scope, r.idx, r.run_no, coalesce(CASE WHEN r.scope <> 'header' THEN s.font_name END, r.font_name, '') AS font_name,
+  coalesce(CASE WHEN r.scope <> 'header' THEN s.font_size END, r.font_size, 0.0::DOUBLE) AS font_size
+FROM runs r JOIN style_final s ON r.doc_id = s.doc_id WHERE s.file_type = 'docx'"""),
+    "style_requests_stamps": (["sections", "doc_pages", "style_final"], """
+SELECT n.doc_id, CAST(n.section_no AS BIGINT) AS place, n.part, coalesce(n.new_text, x.text) AS text FROM (
+  SELECT f.doc_id, s.section_no, 'header' AS part, f.header_text AS new_text FROM style_final f CROSS JOIN (SELECT 0 AS section_no UNION ALL SELECT 1) s WHERE f.file_type = 'docx'
+  UNION ALL SELECT f.doc_id, s.section_no, 'footer', f.footer_text FROM style_final f CROSS JOIN (SELECT 0 AS section_no UNION ALL SELECT 1) s WHERE f.file_type = 'docx') n
+LEFT JOIN (SELECT * FROM sections WHERE para_no = 0) x ON n.doc_id = x.doc_id AND n.section_no = x.section_no AND n.part = x.part
+WHERE n.new_text IS NOT NULL OR x.doc_id IS NOT NULL
+UNION ALL SELECT p.doc_id, p.page_num, 'header', f.header_text FROM doc_pages p JOIN style_final f ON p.doc_id = f.doc_id WHERE f.file_type = 'pdf' AND f.header_text IS NOT NULL
+UNION ALL SELECT p.doc_id, p.page_num, 'footer', f.footer_text FROM doc_pages p JOIN style_final f ON p.doc_id = f.doc_id WHERE f.file_type = 'pdf' AND f.footer_text IS NOT NULL"""),
+    "style_requests_images": (["style_saves", "images", "by_occurrence", "first_images"], """
+SELECT i.doc_id, i.page_num, i.part_id, coalesce(t.image, '') AS new_image
+FROM images i JOIN (SELECT DISTINCT doc_id, file_type FROM style_saves WHERE status = 200) d ON i.doc_id = d.doc_id
+LEFT JOIN (SELECT DISTINCT n.doc_id, n.part_id, s.image FROM (
+    SELECT doc_id, part_id, image_no, 'docx' AS kind FROM by_occurrence UNION ALL SELECT doc_id, part_id, image_no, 'pdf' FROM first_images) n
+  JOIN style_saves s ON n.doc_id = s.doc_id AND n.image_no = s.image_index AND n.kind = s.file_type WHERE s.status = 200) t
+ON i.doc_id = t.doc_id AND i.part_id = t.part_id"""),
+    "catalog_state": (["catalog", "history", "style_counted"], """
+SELECT c.doc_id, CAST(coalesce(n.images_count, c.images_count, -1) AS BIGINT) AS images_count,
+  row_number() OVER (PARTITION BY c.doc_id ORDER BY h.seq) - 1 AS entry_no, h.date, h.action
+FROM catalog c JOIN (SELECT doc_id, seq, date, action FROM history
+  UNION ALL SELECT doc_id, request_id + 1000000000, '2024-02-01', action FROM style_counted WHERE action <> '') h ON c.doc_id = h.doc_id
+LEFT JOIN (SELECT doc_id, max(images_count) AS images_count FROM style_counted WHERE status = 200 GROUP BY doc_id) n ON c.doc_id = n.doc_id"""),
     "validate_records": ([], """
 SELECT conv_id, turn, reason = '' AS valid, reason FROM (
   SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'no_text' WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role'

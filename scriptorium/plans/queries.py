@@ -216,6 +216,93 @@ def stamp_pages(spark, sf):
     return style.stamp_pages(fx.doc_pages(spark, sf), fx.style_patches(spark, sf))
 
 
+# whole batches of requests
+
+
+def _content_requests(spark, sf):
+    return batch.content_requests(
+        fx.save_requests(spark, sf), fx.save_items(spark, sf), fx.accounts(spark, sf),
+        fx.catalog(spark, sf), fx.paragraphs(spark, sf),
+        content.valid_blocks(fx.raw_blocks(spark, sf)), fx.doc_pages(spark, sf),
+    )
+
+
+def content_requests(spark, sf):
+    return _content_requests(spark, sf)[0].select("request_id", "doc_id", "status", "n_items", "action")
+
+
+def content_requests_text(spark, sf):
+    """Every paragraph and block that a save changed."""
+    _, paragraphs, blocks = _content_requests(spark, sf)
+    none = F.lit(-1).cast("long")
+    both = paragraphs.where("changed").select("doc_id", "scope", "idx", "new_text").unionByName(
+        blocks.where("changed").select("doc_id", "page_num", "block_no", "new_text"),
+        allowMissingColumns=True,
+    )
+    return both.withColumn("scope", F.coalesce("scope", F.lit("page"))).withColumns(
+        {c: F.coalesce(c, none) for c in ("idx", "page_num", "block_no")}
+    )
+
+
+def _style_requests(spark, sf):
+    contents = {
+        "runs": fx.runs(spark, sf), "section_list": fx.section_list(spark, sf),
+        "sections": fx.sections(spark, sf), "pages": fx.doc_pages(spark, sf),
+        "images": fx.images(spark, sf),
+    }
+    return batch.style_requests(
+        fx.style_saves(spark, sf), fx.accounts(spark, sf), fx.catalog(spark, sf), contents
+    )
+
+
+def style_requests(spark, sf):
+    outcomes, _ = _style_requests(spark, sf)
+    return outcomes.select(
+        "request_id", "doc_id", "status", "action",
+        F.coalesce("images_count", F.lit(-1)).cast("long").alias("images_count"),
+    )
+
+
+def style_requests_runs(spark, sf):
+    _, changed = _style_requests(spark, sf)
+    return _fonts_shown(changed["runs"])
+
+
+def style_requests_stamps(spark, sf):
+    """Header and footer texts of both formats after the batch."""
+    _, changed = _style_requests(spark, sf)
+    sections = changed["sections"].where("para_no = 0").select(
+        "doc_id", F.col("section_no").alias("place"), "part", "text"
+    )
+    pages = changed["stamps"].select("doc_id", F.col("page_num").alias("place"), "part", "text")
+    return sections.unionByName(pages)
+
+
+def style_requests_images(spark, sf):
+    _, changed = _style_requests(spark, sf)
+    return changed["images"].select(
+        "doc_id", "page_num", "part_id", F.coalesce("new_image", F.lit("")).alias("new_image")
+    )
+
+
+def catalog_state(spark, sf):
+    """History entries in their order and the count of pictures, per document."""
+    outcomes, _ = _style_requests(spark, sf)
+    run_date = F.lit("2024-02-01").cast("date")
+    history = fx.history(spark, sf).unionByName(outcomes.where("action <> ''").select(
+        "doc_id", (F.col("request_id") + 10**9).alias("seq"), run_date.alias("date"), "action"
+    ))
+    counts = outcomes.groupBy("doc_id").agg(F.max("images_count").alias("images_count"))
+    state = cat.catalog_state(fx.catalog(spark, sf), history, counts.where("images_count is not null"))
+    return state.select(
+        "doc_id", F.coalesce("images_count", F.lit(-1)).cast("long").alias("images_count"),
+        F.posexplode("edit_history").alias("pos", "entry"),
+    ).select(
+        "doc_id", "images_count", F.col("pos").cast("long").alias("entry_no"),
+        F.date_format("entry.date", "yyyy-MM-dd").alias("date"), "entry.action",
+    )
+
+
 # aggregations
 
 
@@ -585,6 +672,8 @@ QUERIES = {
         edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
         keyword_topk, slot_exact_match, style_preservation,
+        content_requests, content_requests_text, style_requests, style_requests_runs,
+        style_requests_stamps, style_requests_images, catalog_state,
         validate_records, label_balance, balanced_labels, split_80_10_10, rouge_scores,
         rouge_2_scores,
     )

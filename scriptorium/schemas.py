@@ -1,4 +1,4 @@
-"""Explicit schemas of the canonical tables; nothing in the package infers one."""
+"""Schemas of the tables that callers hand in: for readers and for streams."""
 
 from pyspark.sql.types import (
     ArrayType,

@@ -6,6 +6,9 @@ earlier batches wrote is the state; no state store grows with the collection.
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from scriptorium.schemas import EDITS
 
 
 def _run_available(stream, checkpoint, write_batch):
@@ -18,6 +21,11 @@ def _run_available(stream, checkpoint, write_batch):
     query.awaitTermination()
 
 
+def _written(spark, keys, path):
+    fields = [EDITS[key] for key in (*keys, "seq", "text")]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
 def _last_per_key(edits, keys):
     return edits.groupBy(*keys).agg(
         F.max("seq").alias("seq"), F.max_by("text", "seq").alias("text")
@@ -26,7 +34,7 @@ def _last_per_key(edits, keys):
 
 def stream_latest_edits(edits, keys, path, checkpoint):
     """Append the last edit per address of every micro-batch below ``path``."""
-    addressed = edits.where(" AND ".join(f"{key} IS NOT NULL" for key in keys))
+    addressed = edits.where(" AND ".join(f"{key} IS NOT NULL" for key in [*keys, "text"]))
 
     def write_batch(batch, batch_id):
         _last_per_key(batch, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -36,7 +44,7 @@ def stream_latest_edits(edits, keys, path, checkpoint):
 
 def read_latest_edits(spark, keys, path):
     """Current text per address: the last edit over all batches, in whatever order they came."""
-    latest = _last_per_key(spark.read.parquet(path), keys)
+    latest = _last_per_key(_written(spark, keys, path), keys)
     return latest.select(*keys, F.col("text").alias("new_text"))
 
 
@@ -45,5 +53,5 @@ def compact_latest_edits(spark, keys, path, new_path):
 
     A stream that goes on with its progress but writes to ``new_path`` adds to it.
     """
-    merged = _last_per_key(spark.read.parquet(path), keys)
+    merged = _last_per_key(_written(spark, keys, path), keys)
     merged.write.mode("errorifexists").parquet(f"{new_path}/batch=-1")

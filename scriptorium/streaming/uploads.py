@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from scriptorium.sources.uploads import accepted_uploads, storage_keys
 from scriptorium.streaming.edits import _run_available
 
+# folders a batch is cut into by document, so that a batch reads those it touches only
+BUCKETS = 16
+
 
 def _first_per_document(uploads):
     """First upload per ``doc_id``, combined before the exchange."""
@@ -15,23 +18,49 @@ def _first_per_document(uploads):
     return first.select("doc_id", "seq", "row.*")
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _catalog(spark, path, rows):
+    """The catalog so far, by schema and not by looking into files."""
+    schema = rows.select("*", F.lit(0).cast("long").alias("batch"), _bucket()).schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def stream_uploads(uploads, path, checkpoint):
     """Append accepted uploads of documents not yet in the catalog at ``path``.
 
-    A batch is compared with earlier batches only; running it again gives the same rows.
+    A batch is compared with earlier batches only, in the buckets of its own documents;
+    running it again gives the same rows.
     """
     spark = uploads.sparkSession
     rows = storage_keys(accepted_uploads(uploads))
     empty = spark.createDataFrame([], rows.schema)
-    empty.write.mode("ignore").parquet(f"{path}/batch=-1")
+    empty.write.mode("ignore").parquet(f"{path}/batch=-1/bucket=-1")
 
     def write_batch(batch, batch_id):
-        known = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id)
-        new = _first_per_document(batch).join(known.select("doc_id"), "doc_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        placed = _first_per_document(batch).select("*", _bucket())
+        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
+        known = _catalog(batch.sparkSession, path, batch).where(
+            (F.col("batch") < batch_id) & F.col("bucket").isin(touched)
+        )
+        new = placed.join(known.select("doc_id"), "doc_id", "left_anti")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path}/batch={batch_id}"
+        )
 
     _run_available(rows, checkpoint, write_batch)
 
 
-def read_uploads(spark, path):
-    return spark.read.parquet(path).drop("batch")
+def read_uploads(spark, path, schema=None):
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).drop("batch", "bucket")
+
+
+def compact_uploads(spark, path, new_path):
+    """Put all batches below ``path`` into one below ``new_path``, which must not exist."""
+    rows = read_uploads(spark, path).select("*", _bucket())
+    rows.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(
+        f"{new_path}/batch=-1"
+    )

@@ -73,3 +73,16 @@ def test_a_batch_run_twice_changes_nothing(spark, table, tmp_path):
             str(tmp_path / "catalog"), str(tmp_path / f"progress{attempt}"),
         )
     assert stream_up.read_uploads(spark, str(tmp_path / "catalog")).count() == 1
+
+
+def test_compacted_uploads_are_the_same_catalog(spark, table, tmp_path):
+    day = datetime.date(2024, 1, 1)
+    path, progress = str(tmp_path / "catalog"), str(tmp_path / "progress")
+    for part in ([(1, 1), (2, 2)], [(2, 3), (3, 4)]):
+        rows = [(doc_id, seq, f"{doc_id}.pdf", 1, "me", day) for doc_id, seq in part]
+        table(UPLOADS, *rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_up.stream_uploads(arriving(spark, UPLOADS, tmp_path / "in"), path, progress)
+    stream_up.compact_uploads(spark, path, str(tmp_path / "compact"))
+    found = [stream_up.read_uploads(spark, p) for p in (path, str(tmp_path / "compact"))]
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
+    assert sorted((r.doc_id, r.seq) for r in found[1].collect()) == [(1, 1), (2, 2), (3, 4)]

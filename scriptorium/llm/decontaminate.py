@@ -363,5 +363,32 @@ def op4_decontaminate(spark, sf_dir):
     hit = _hit_words(F.col("spans"))
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        digest(F.col("items")).alias("items_sha256"), (hit > 0).alias("contaminated"), "spans",
+        digest(F.col("items")).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4_SQL = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, w, least({WINDOW}, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)
+), windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS passage
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items WHERE k > 0)
+), docs AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS passage
+  FROM (SELECT d.doc_id, d.w, s.k, unnest(range(1, len(d.w) - s.k + 2)) AS i FROM docs d, (SELECT DISTINCT k FROM windows) s)
+), hits AS (
+  SELECT p.doc_id, p.k, p.i, w.item FROM places p JOIN windows w ON p.k = w.k AND p.passage = w.passage
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+"""

@@ -1,11 +1,11 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from scriptorium.llm.chat_format import OP5_SQL, op5_chat_format
-from scriptorium.llm.decontaminate import op4_decontaminate
+from scriptorium.llm.decontaminate import OP4_SQL, op4_decontaminate
 from scriptorium.llm.line_dedup import op10_line_dedup
 from scriptorium.llm.lm_score import op9_lm_score
 from scriptorium.llm.mixing import op6_mixing
-from scriptorium.llm.near_dedup import op1_near_dedup
+from scriptorium.llm.near_dedup import OP1_SQL, op1_near_dedup
 from scriptorium.llm.neighbours import op7_neighbours
 from scriptorium.llm.quality import op8_quality
 from scriptorium.llm.token_counts import op3_token_counts
@@ -18,4 +18,6 @@ QUERIES = {
         op6_mixing, op7_neighbours, op8_quality, op9_lm_score, op10_line_dedup,
     )
 }
-ORACLES = {"op5_chat_format": OP5_SQL}
+ORACLES = {
+    "op1_near_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL,
+}

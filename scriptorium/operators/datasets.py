@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import words
 from scriptorium.operators.ordinals import with_ordinal
+from scriptorium.operators.skew import look_up
 
 ROLES = ("system", "user", "assistant")
 # Share of records per split, in tenths.
@@ -32,7 +33,7 @@ def validate_records(records, keys, known_roles=ROLES):
         .when(~F.struct(*keys).eqNullSafe(F.col("_first")), "duplicate")
         .otherwise("")
     )
-    return coded.join(first, "_code").select(
+    return look_up(coded, first, ["_code"], keys[-1]).select(
         *records.columns, reason.alias("reason"), (reason == "").alias("valid")
     )
 

@@ -261,8 +261,10 @@ SELECT doc_id, CAST(0 AS BIGINT) AS page_num, block_no, text FROM (
   FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS r FROM pages))
 WHERE text <> ''"""),
     "docx_binary_scan": (["lines"], """
-SELECT doc_id, 'paragraph' AS kind, idx, text FROM lines WHERE doc_id % 50 <> 49
-UNION ALL SELECT doc_id, 'error', -1, '' FROM documents WHERE doc_id % 50 = 49"""),
+SELECT doc_id, 'paragraph' AS kind, idx, CAST(-1 AS BIGINT) AS run_no, text FROM lines WHERE doc_id % 50 <> 49
+UNION ALL SELECT doc_id, 'run', idx, 0, substr(text, 1, 5) FROM lines WHERE doc_id % 50 <> 49
+UNION ALL SELECT doc_id, 'run', idx, 1, substr(text, 6) FROM lines WHERE doc_id % 50 <> 49
+UNION ALL SELECT doc_id, 'error', -1, -1, '' FROM documents WHERE doc_id % 50 = 49"""),
     "text_file_scan": (["lines"], "SELECT doc_id, idx, text FROM lines"),
     "snapshot_write": (["edited", "catalog"], """
 SELECT e.doc_id, e.scope, e.idx, e.new_text AS text, coalesce(c.file_type, 'other') AS file_type

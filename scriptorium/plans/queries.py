@@ -75,13 +75,14 @@ def html_blocks(spark, sf):
 
 def docx_binary_scan(spark, sf):
     elements = docx.docx_elements(docx_files_of(fx.documents(spark, sf)))
-    shown = elements.where("kind IN ('paragraph', 'error')")
+    shown = elements.where("kind IN ('paragraph', 'run', 'error')")
     doc_id = F.regexp_extract("path", r"(\d+)\.docx\z", 1).cast("long")
     failed = F.col("kind") == "error"
     return shown.select(
         doc_id.alias("doc_id"),
         "kind",
         F.coalesce("idx", F.lit(-1).cast("long")).alias("idx"),
+        F.coalesce("run_no", F.lit(-1).cast("long")).alias("run_no"),
         F.when(failed, "").otherwise(F.col("text")).alias("text"),
     )
 

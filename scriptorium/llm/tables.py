@@ -46,15 +46,3 @@ def labelled(labels, column, sample):
 def fold():
     """Which quarter of the sample a row is in; quarter 0 calibrates what the others fit."""
     return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
-
-
-def look_up(rows, small, keys, spread_by, how="inner", splits=2):
-    """Join ``rows`` with ``small``, which was aggregated by the same ``keys``.
-
-    A join right on top of that aggregate would share its exchange, and then a hot key is one
-    task's work. A split number in the key gives both sides an exchange of their own, which
-    the adaptive skew join cuts further wherever a key is hot.
-    """
-    number = F.pmod(F.xxhash64(spread_by), F.lit(splits)).cast("int")
-    copies = small.withColumn("_split", F.explode(F.array(*(F.lit(i) for i in range(splits)))))
-    return rows.withColumn("_split", number).join(copies, [*keys, "_split"], how).drop("_split")

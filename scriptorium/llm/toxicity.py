@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from scriptorium.llm.tables import load, remainder
+from scriptorium.llm.tables import fold, labelled, load, remainder
 from scriptorium.llm.words import (
     NO_LETTER, U64, lowered, mix, pieces, span_hashes, text_bytes, word_spans,
 )
@@ -208,13 +208,8 @@ def _document(model, evidence):
 
 def fit(docs, labels, sample=SAMPLE, lexicon=LEXICON):
     """Model from ``labels(doc_id, toxic)``; at most ``sample`` documents by hash of the id."""
-    marked = (
-        labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-        .where("doc_id is not null and toxic in (0, 1)")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    counted = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) != 0
+    marked = labelled(labels, "toxic", sample).withColumnRenamed("label", "toxic")
+    counted = fold() != 0
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
         F.broadcast(marked), "doc_id"
     )

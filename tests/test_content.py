@@ -1,6 +1,5 @@
 """Content tables, edits, runs and reconstruction."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import edits as ed

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.tables import load, staged
 from scriptorium.llm.words import mix
+from scriptorium.operators.skew import look_up
 
 TABLES = 2
 WIDTH = 1.5
@@ -243,7 +244,7 @@ def nearest(rows, queries, wanted=5, target=TARGET, tables=TABLES, sample=SAMPLE
     ).where("splits > 1")
     shard = F.pmod(F.xxhash64("table", "bucket", "split"), F.lit(index.shards)).alias("shard")
     splits = F.coalesce("splits", F.lit(1))
-    stored = stored.join(large, ["table", "bucket"], "left").withColumn(
+    stored = look_up(stored, large, ["table", "bucket"], "entry", "left").withColumn(
         "split", F.pmod(F.xxhash64("entry"), splits)
     ).select(shard, "bucket", "entry", "ids", "vector", "table")
     visits = vectors.withColumnRenamed("query", "entry").mapInPandas(

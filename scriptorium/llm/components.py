@@ -10,18 +10,22 @@ task's work. No edge ever reaches the driver.
 from pyspark.sql import functions as F
 
 from scriptorium.llm.tables import staged
+from scriptorium.operators.skew import look_up
 
 
 def _large_star(edges):
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = look_up(both.where("b > a"), least, ["a"], "b")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges):
     """``edges(a, b)`` with ``a > b``."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = look_up(edges, least, ["a"], "b").where("b > m").select(
+        F.col("b").alias("a"), F.col("m").alias("b")
+    )
     return least.select("a", F.col("m").alias("b")).unionByName(moved)
 
 

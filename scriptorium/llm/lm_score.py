@@ -1,6 +1,6 @@
 """Log probability of documents under a subword lattice with the corpus's words as extra arcs.
 
-The pieces of an existing vocabulary weight all segmentations of a word; two rounds of
+The pieces of an existing vocabulary weight all segmentations of a word; four rounds of
 expectation maximisation over the distinct words of the training documents adapt the weights,
 with the vocabulary's own as prior. A word counted c > 0 times in N training tokens is also an
 arc of its own, with absolute discount d (from the numbers of words seen once and twice):
@@ -31,7 +31,7 @@ from scriptorium.llm.words import (
 )
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-ROUNDS = 2
+ROUNDS = 4
 HEAD = 100_000
 # no word holds a blank, so this stands for the end of a text
 END = " "

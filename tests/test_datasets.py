@@ -52,6 +52,6 @@ def test_pairs_are_neighbouring_turns_of_one_conversation(table, rows):
     assert rows(found, "turn", "reference", "candidate") == [(1, "q", "a"), (4, "q2", "a2")]
 
 
-def test_words_are_counted_within_rows(table, rows):
+def test_words_are_counted_by_document(table, rows):
     docs = table("doc_id long, text string", (1, "b a B ab a b"), (2, ""), (3, None), (4, "x"))
     assert rows(word_counts(docs)) == [(1, "a", 2), (1, "ab", 1), (1, "b", 3), (4, "x", 1)]

@@ -25,7 +25,7 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies, similarity 0.8 or more, the smallest id stays."""
     return drop_near_duplicates(docs)
 
 

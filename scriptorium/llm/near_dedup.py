@@ -3,8 +3,9 @@
 1. Each text becomes the set of its distinct 5-word shingles (64-bit hashes), a fingerprint
    of the whole set and a signature. Documents with equal sets form a class at once, however
    many there are; only the class goes on, under its smallest doc_id.
-2. Signatures are cut into bands; classes that agree in a band are candidates. A pair with
-   similarity 0.85 is missed by all 25 bands of 5 slots with probability 4e-7. Buckets of up
+2. Signatures are cut into bands; classes that agree in a band are candidates. A pair at the
+   threshold is missed by all bands with probability ``MISSED`` at most: 4e-7 by 25 bands of 5
+   slots at 0.85, 8e-8 by 31 of 4 at 0.8. Buckets of up
    to ``SMALL_BUCKET`` classes give those pairs that also agree in a 128-bit sketch; larger
    ones, which hold true near copies, give one edge per member.
 3. Candidate components are cut into blocks of about ``BLOCK`` classes. A task gets two
@@ -31,19 +32,31 @@ from scriptorium.llm.words import (
 
 WIDTH = 5
 SLOTS = 125
-BANDS = 25
+MISSED = 1e-6
 SMALL_BUCKET = 32
-# of 128 sketch bits a pair with similarity 0.85 differs in 10 on average, in over 30 once in 1e8
-SKETCH_BITS = 30
 BLOCK = 256
-# five standard deviations of the estimate at similarity 0.85
-MARGIN = 0.16
 
 FEATURES = (
     "doc_id long, n_shingles long, print array<long>, sketch array<long>, bands array<long>"
 )
 
 
+def limits(percent, slots=SLOTS):
+    """``(bands, sketch bits, margin)`` that hide hardly any pair with this similarity.
+
+    Of the sketch's bits a pair at 0.85 differs in 9 on average and in over 30 twice in 1e9, at
+    0.8 in 12 and in over 36 once in 1e9: seven standard deviations. The margin is five of the
+    estimate.
+    """
+    same = percent / 100
+    rows = max(
+        (r for r in range(1, slots + 1) if (1 - same**r) ** (slots // r) <= MISSED), default=1
+    )
+    apart = (1 - same) / 2
+    sketch_bits = round(slots * apart + 7 * (slots * apart * (1 - apart)) ** 0.5)
+    return slots // rows, sketch_bits, 5 * (same * (1 - same) / slots) ** 0.5
+
+
 def _sets(batch, width):
     data, offsets = text_bytes(batch["text"])
     words, first, _, _ = word_hashes(lowered(data), offsets)
@@ -99,7 +112,7 @@ def _features(width, slots, bands):
     return run
 
 
-def features(docs, width=WIDTH, slots=SLOTS, bands=BANDS):
+def features(docs, bands, width=WIDTH, slots=SLOTS):
     """One narrow row per document: set size, fingerprint, sketch and band keys."""
     return texts_of(docs).mapInArrow(_features(width, slots, bands), FEATURES)
 
@@ -122,7 +135,7 @@ def _full_sets(width):
     return run
 
 
-def candidate_edges(nodes, small_bucket=SMALL_BUCKET, sketch_bits=SKETCH_BITS):
+def candidate_edges(nodes, sketch_bits, small_bucket=SMALL_BUCKET):
     """``(a, b)`` between classes that may be similar; ``nodes(node, sketch, bands)``."""
     rows = nodes.select(
         F.explode("bands").alias("key"), "node",
@@ -185,7 +198,7 @@ def _common(one, values, first, which):
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def exact_links(values, first, side, percent, slots, margin=MARGIN):
+def exact_links(values, first, side, percent, slots):
     """Spanning forest of the pairs with ``100 * common >= percent * union``.
 
     ``side`` tells the block of each set. With two blocks only pairs across them are
@@ -194,6 +207,7 @@ def exact_links(values, first, side, percent, slots, margin=MARGIN):
     sets that are already connected need no count.
     """
     n = len(first) - 1
+    margin = limits(percent, slots)[2]
     table = signatures(values, first, slots)
     sizes = np.diff(first)
     forest = Forest(n)
@@ -243,7 +257,8 @@ def _verify(percent, slots):
 
 def links(docs, nodes, percent, width=WIDTH, slots=SLOTS, block=BLOCK, **bucket_options):
     """Links ``(a, b)`` between classes that connect exactly the similar ones."""
-    groups = connected_components(candidate_edges(nodes, **bucket_options))
+    sketch_bits = limits(percent, slots)[1]
+    groups = connected_components(candidate_edges(nodes, sketch_bits, **bucket_options))
     groups = staged(groups, "candidates")
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = groups.join(blocks, "component").withColumn(
@@ -265,9 +280,9 @@ def links(docs, nodes, percent, width=WIDTH, slots=SLOTS, block=BLOCK, **bucket_
     )
 
 
-def near_duplicates(docs, percent=85, width=WIDTH, slots=SLOTS, bands=BANDS, **options):
+def near_duplicates(docs, percent=85, width=WIDTH, slots=SLOTS, **options):
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
-    rows = staged(features(docs, width, slots, bands), "features")
+    rows = staged(features(docs, limits(percent, slots)[0], width, slots), "features")
     key = [F.col("print")[0].alias("p"), F.col("print")[1].alias("q"), "n_shingles"]
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy(*key).agg(F.min(F.struct("doc_id", "sketch", "bands")).alias("of"))
@@ -294,14 +309,14 @@ def near_duplicates(docs, percent=85, width=WIDTH, slots=SLOTS, bands=BANDS, **o
     )
 
 
-def drop_near_duplicates(docs, **options):
+def drop_near_duplicates(docs, percent=80, **options):
     """``docs`` without the rows whose group has a smaller doc_id."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent, **options).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir):
-    return near_duplicates(load(spark, sf_dir, "documents"))
+    return near_duplicates(load(spark, sf_dir, "documents"), percent=85)
 
 
 OP1_SQL = f"""

@@ -1,9 +1,12 @@
 import random
 
+import corpus_pipeline
 from reference import near_groups
 
 from scriptorium.llm.components import connected_components
-from scriptorium.llm.near_dedup import drop_near_duplicates, near_duplicates, op1_near_dedup
+from scriptorium.llm.near_dedup import (
+    drop_near_duplicates, limits, near_duplicates, op1_near_dedup,
+)
 
 COLUMNS = ("doc_id", "n_shingles", "component_id")
 
@@ -79,3 +82,26 @@ def test_query(spark, sf_dir, rows):
     want = near_groups(texts)
     found = rows(op1_near_dedup(spark, sf_dir), *COLUMNS, "kept")
     assert found == sorted(((i, n, c, i == c) for i, (n, c) in want.items()), key=repr)
+
+
+def test_groups_at_80_equal_all_pairs(documents, rows):
+    texts = variants(60, 1) + variants(40, 2, words=12, edits=3) + variants(40, 4, edits=9)
+    want = near_groups(dict(enumerate(texts)), percent=80)
+    assert want != near_groups(dict(enumerate(texts)))
+    found = rows(near_duplicates(documents(*texts), percent=80), *COLUMNS)
+    assert found == sorted(((i, n, c) for i, (n, c) in want.items()), key=repr)
+
+
+def test_stage_of_the_pipeline_takes_80(spark, documents, rows):
+    # 16 shared shingles of 20, then 15
+    long = [f"w{i}" for i in range(24)]
+    other = [f"v{i}" for i in range(24)]
+    docs = documents(*(" ".join(x) for x in (long, long[:20], other, other[:19])))
+    left = corpus_pipeline.near_dedup(spark, docs, None)
+    assert rows(left, "doc_id") == [(0,), (2,), (3,)]
+    assert len(rows(near_duplicates(docs, percent=85).where("kept"))) == 4
+
+
+def test_limits_follow_the_threshold():
+    assert limits(85)[:2] == (25, 30) and limits(80)[:2] == (31, 36)
+    assert 0.159 < limits(85)[2] < 0.16 and 0.178 < limits(80)[2] < 0.179

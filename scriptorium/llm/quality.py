@@ -86,15 +86,13 @@ def _partial_sums(model):
 
 def isotonic(x, y):
     """Knots and levels of the rising step fit (pool adjacent violators), joined linearly."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order].astype(np.float64)
+    # equal x are one point with their mean before anything is pooled
+    points, place, counts = np.unique(x, return_inverse=True, return_counts=True)
+    sums = np.bincount(place, np.asarray(y, np.float64), len(points))
     pools = []
-    for a, b in zip(x.tolist(), y.tolist()):
-        pools.append([a, a, b, 1])
-        while len(pools) > 1 and (
-            pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]
-            or pools[-2][1] == pools[-1][0]
-        ):
+    for point, total, count in zip(points.tolist(), sums.tolist(), counts.tolist()):
+        pools.append([point, point, total, count])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
             _, end, total, count = pools.pop()
             pools[-1][1] = end
             pools[-1][2] += total

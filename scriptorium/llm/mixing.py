@@ -5,9 +5,12 @@
    probability for each domain, whatever its source says.
 2. A document of n tokens with probabilities p, taken at rate r >= 0, adds ``r * n * p`` to
    the expected domain totals. Rates start at 1 and follow a projected gradient of the
-   squared gap between totals and targets, in the metric where its curvature is one:
-   ``r = max(0, r - p . M^-1 (totals - targets))`` with ``M = sum(n p p')``. An iteration
-   is one pass over a narrow table that returns as many numbers as there are domains; a
+   squared gap between totals and targets, in the metric where its curvature over the rows that
+   may move is one: ``r = max(0, r - p . M^-1 (totals - targets))`` with ``M = sum(n p p')`` over
+   the rows whose rate is above 0 or is asked to rise. A pass tries that step, the plain gradient and
+   halvings of both and keeps the best. It ends when the totals are ``CLOSE`` to the targets or at the
+   least squares point; ``target_gap`` is the share of tokens that is left off target. An
+   iteration is two passes over a narrow table that return K * K and 16 K numbers for K domains; a
    document's rate is the fold of the steps so far, so no state is kept or exchanged.
 3. ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is the rate.
 
@@ -15,7 +18,7 @@ Edge cases: null or empty text has no tokens, a rate of its own and no weight in
 of one doc_id each count; rows without id are rated, and rounded like equal ids; labels of
 unknown documents and null domains are not used; domains without target get weight 0,
 targets without domain are left out and the others scaled up; without any labelled document all
-rates are 1. An empty table gives an empty one.
+rates are 1 and ``target_gap`` is null. An empty table gives an empty one.
 """
 
 from dataclasses import dataclass, field
@@ -30,8 +33,10 @@ from scriptorium.llm.words import lowered, pieces, text_bytes
 
 SAMPLE = 20_000
 SHRINK = 1e-2
-STEPS = 40
 CLOSE = 1e-4
+# halvings of a step that one pass tries, and the least fall of the squared gap that is progress
+TRIES = 8
+STALLED = 1e-6
 
 #: weights of domains by language and quality
 TARGETS = {
@@ -141,67 +146,112 @@ def _memberships(classifier):
 
 
 def rates(p, steps):
-    """Fold of the gradient steps for rows of probabilities."""
+    """Fold of the gradient steps for rows of probabilities.
+
+    A step is a gap and a direction. Rows at 0 stay there unless the gap asks for more of them.
+    """
     r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
+    for gap, direction in steps:
+        free = (r > 0) | (p @ gap < 0)
+        r = np.where(free, np.maximum(0.0, r - p @ direction), 0.0)
     return r
 
 
-def _totals(k, steps, curvature):
+def _totals(k, steps, tries):
+    """Totals after each of the tries, in one pass."""
     def run(batches):
-        sums, squares = np.zeros(k), np.zeros((k, k))
+        sums = np.zeros((len(tries), k))
         for batch in batches:
             n = np.asarray(batch["n"])
             p = np.asarray(batch["p"].flatten()).reshape(-1, k)
-            sums += (n * rates(p, steps)) @ p
-            if curvature:
-                squares += (p * n[:, None]).T @ p
-        values = np.concatenate([sums, squares.reshape(-1)]) if curvature else sums
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(values))), pa.array(values)], ["i", "value"]
-        )
+            for i, step in enumerate(tries):
+                sums[i] += (n * rates(p, [*steps, step])) @ p
+        yield _numbered(sums)
+
+    return run
+
+
+def _curvature(k, steps, gap):
+    """``sum(n p p')`` over the rows that the next step may move."""
+    def run(batches):
+        squares = np.zeros((k, k))
+        for batch in batches:
+            n = np.asarray(batch["n"])
+            p = np.asarray(batch["p"].flatten()).reshape(-1, k)
+            moved = p[free] if not (free := (rates(p, steps) > 0) | (p @ gap < 0)).all() else p
+            squares += (moved * n[free][:, None]).T @ moved
+        yield _numbered(squares)
 
     return run
 
 
-def _sum(table, k, steps, curvature=False):
-    """Totals over the whole table: K numbers, or K + K * K."""
-    parts = table.mapInArrow(_totals(k, steps, curvature), "i long, value double")
-    out = np.zeros(k + k * k if curvature else k)
+def _numbered(values):
+    flat = values.reshape(-1)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "value"])
+
+
+def _sum(table, run, shape):
+    """Partition sums added up: as many numbers as ``shape`` holds."""
+    parts = table.mapInArrow(run, "i long, value double")
+    out = np.zeros(int(np.prod(shape)))
     for row in parts.groupBy("i").agg(F.sum("value").alias("value")).collect():
         out[row["i"]] = row["value"]
-    return out
+    return out.reshape(shape)
 
 
-def fit_rates(docs, classifier, targets=TARGETS, most_steps=STEPS, close=CLOSE):
-    """Gradient steps that bring the expected totals of ``docs`` to the targets."""
+def solve_rates(docs, classifier, targets=TARGETS, close=CLOSE):
+    """``(steps, gap)``: gradient steps to the targets and the share of tokens still off them.
+
+    Ends when the gap is ``close``, or when no row can move downhill any further: the least
+    squares point, with the targets out of reach by ``gap``.
+    """
     k = len(classifier.domains)
     if not k:
-        return []
+        return [], None
     table = staged(
         docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
             _memberships(classifier), "n double, p array<double>"
         ), "memberships",
     )
-    first = _sum(table, k, [], curvature=True)
-    totals, inverse = first[:k], np.linalg.pinv(first[k:].reshape(k, k), rcond=1e-9)
+    nothing = (np.zeros(k), np.zeros(k))
+    totals = _sum(table, _totals(k, [], [nothing]), (1, k))[0]
     weights = np.array([targets.get(d, 0.0) for d in classifier.domains])
     if not weights.sum() or not totals.sum():
-        return []
-    wanted = weights / weights.sum() * totals.sum()
+        return [], None
+    size = totals.sum()
+    wanted = weights / weights.sum() * size
     steps = []
-    while len(steps) < most_steps and np.abs(totals - wanted).sum() > close * wanted.sum():
-        steps.append(inverse @ (totals - wanted))
-        totals = _sum(table, k, steps)
-    return steps
+    while (off := np.abs(totals - wanted).sum() / size) > close:
+        gap = totals - wanted
+        squares = _sum(table, _curvature(k, steps, gap), (k, k))
+        slope = squares @ gap
+        newton = np.linalg.pinv(squares, rcond=1e-12, hermitian=True) @ gap
+        # the exact minimum along the plain gradient, were no rate to reach 0
+        gradient = gap * (gap @ slope) / max(slope @ slope, 1e-300)
+        tries = [(gap, d * 0.5**i) for d in (newton, gradient) for i in range(TRIES)]
+        reached = _sum(table, _totals(k, steps, tries), (len(tries), k))
+        losses = ((reached - wanted) ** 2).sum(axis=1)
+        best = int(np.argmin(losses))
+        if losses[best] >= (1 - STALLED) * (gap @ gap):
+            break
+        steps.append(tries[best])
+        totals = reached[best]
+    return steps, float(off)
+
+
+def fit_rates(docs, classifier, targets=TARGETS, close=CLOSE):
+    """Gradient steps that bring the expected totals of ``docs`` to the targets."""
+    return solve_rates(docs, classifier, targets, close)[0]
 
 
-ADDED = "n_tokens long, domain string, probability double, rate double, copies long"
+ADDED = (
+    "n_tokens long, domain string, probability double, rate double, copies long, "
+    "target_gap double"
+)
 NAMES = [part.split()[0] for part in ADDED.split(", ")]
 
 
-def _rate(classifier, steps):
+def _rate(classifier, steps, gap):
     def run(batches):
         for batch in pieces(batches):
             if classifier.domains:
@@ -216,25 +266,29 @@ def _rate(classifier, steps):
             own = [c for c in batch.schema.names if c != "_draw"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in own), pa.array(n.astype(np.int64)), pa.array(best, pa.string()),
-                 pa.array(sure), pa.array(r), pa.array(copies.astype(np.int64))],
+                 pa.array(sure), pa.array(r), pa.array(copies.astype(np.int64)),
+                 pa.array([gap] * len(n), pa.float64())],
                 [*own, *NAMES],
             )
 
     return run
 
 
-def rated(docs, classifier, steps):
-    """``docs`` with tokens, likeliest domain, rate and copies; columns of those names give way."""
+def rated(docs, classifier, steps, gap=None):
+    """``docs`` with tokens, likeliest domain, rate, copies and the gap left to the targets.
+
+    Columns of those names give way.
+    """
     docs = docs.select(*(c for c in docs.columns if c not in NAMES))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) / float(1 << 20)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_draw", draw).mapInArrow(_rate(classifier, steps), f"{own}, {ADDED}")
+    return docs.withColumn("_draw", draw).mapInArrow(_rate(classifier, steps, gap), f"{own}, {ADDED}")
 
 
 def mix(docs, domains, targets=TARGETS, sample=SAMPLE):
     """``docs`` with rates whose expected domain totals match ``targets``."""
     classifier = fit_classifier(docs, domains, sample)
-    return rated(docs, classifier, fit_rates(docs, classifier, targets))
+    return rated(docs, classifier, *solve_rates(docs, classifier, targets))
 
 
 def language_quality(docs, labels):

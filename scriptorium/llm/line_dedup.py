@@ -1,28 +1,32 @@
-"""Blocks of lines that an earlier document has, removed from later ones.
-
-1. Every line is hashed (blank runs and A-Z case do not matter). A block is a run of neighbouring
-   lines with ``LEAST_BLOCK`` words or more that some one earlier document, by doc_id, has as
-   neighbours too, in the same order or from last to first; lines without words part nothing.
-2. Each line opens one window, the shortest run of lines from it with ``LEAST_BLOCK`` words, and
-   closes one, the shortest run up to it; a window has ``LEAST_BLOCK`` lines at most. Every line of
-   a block is in a window that lies within the block, and equal blocks have equal windows. So
-   the blocks common with any earlier document are exactly the windows that have their first
-   place, the earliest document with the whole window, before this one; wherever the single
-   lines have theirs. A window of very many documents links each of them to one document and
-   never to each other: links grow with the lines, not with their pairs.
-3. The lines of such windows go from the later document. Each block is judged by itself: a passage
-   goes as often as it stands there, and in whatever order. A document that is left without
-   words goes altogether.
-
-The texts are exchanged once at most, when lines are cut.
+"""Blocks of lines common with an earlier document, removed from the later one.
+
+1. Every line is hashed (blank runs and A-Z case do not matter). The units of the alignment are
+   windows: the shortest run of neighbouring lines from a line on, and up to it, with
+   ``LEAST_BLOCK`` words; lines without words part nothing, and a line of that many words is a
+   window by itself. So a unit is never a lone short line, and equal windows are a common block.
+2. A window's rare line is its first place in the corpus: the earliest document that has it and
+   the line where it begins there. Every other document that has it is paired with that one, so
+   links grow with the lines and never with their pairs, and every window that any earlier document
+   has is among those of some pair.
+3. Each pair is aligned by patience diff: windows that stand once in both documents are anchors,
+   the longest run of them that rises on both sides stands fast, and the gaps between are aligned in the
+   same way. What did not align is dealt by patience into further rising runs, so a passage
+   that moved, or stands twice, is aligned too, each time in its own direction.
+4. Aligned windows that are neighbours on both sides make one block; its lines go from the later
+   document. A document that is left without words goes altogether.
+
+The texts are exchanged once at most, when lines are cut; an alignment reads the places of common
+windows only.
 
 Edge cases: null and empty texts have no lines and stay as they are; so do lines that repeat
-within one document only; rows of one doc_id are one document, whose lines are not held against
-each other; rows without doc_id are neither changed nor compared; an empty table gives an
-empty one. Lines that become neighbours by a cut do not count as neighbours.
+within one document only; rows of one doc_id are not held against each other, and each loses the
+lines of its own text only; rows without doc_id are neither changed nor compared; an empty table
+gives an empty one. Lines that become neighbours by a cut do not count as neighbours. A block
+from last to first is no common block.
 """
 
 import bisect
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from scriptorium.operators.skew import look_up
 
 LEAST_BLOCK = 5
 
-WINDOWS = "doc_id long, window long, lines array<long>"
+WINDOWS = "doc_id long, print long, window long, starts array<int>, lines array<long>"
 
 
 def _hashed_lines(column):
@@ -80,14 +84,12 @@ def _lines(least_block):
         for batch in pieces(batches):
             text, lines, sizes, position = _hashed_lines(batch["text"])
             first, last = _windows(text, sizes, least_block)
-            down, up = np.zeros((2, len(first)), U64)
+            window = np.zeros(len(first), U64)
             with np.errstate(over="ignore"):
                 for i in range(least_block):
-                    inside = first + i <= last
-                    at, back = np.minimum(first + i, last), np.maximum(last - i, first)
-                    down = np.where(inside, mix(down * U64(0x9E3779B97F4A7C15) + lines[at]), down)
-                    up = np.where(inside, mix(up * U64(0x9E3779B97F4A7C15) + lines[back]), up)
-            window = np.minimum(down, up)
+                    at = np.minimum(first + i, last)
+                    following = mix(window * U64(0x9E3779B97F4A7C15) + lines[at])
+                    window = np.where(first + i <= last, following, window)
             order = np.lexsort((first, window, text[first]))
             first, last, window = first[order], last[order], window[order]
             new = np.ones(len(first), bool)
@@ -95,54 +97,186 @@ def _lines(least_block):
             at = np.flatnonzero(new)
             edges = np.concatenate([[0], np.cumsum(last - first + 1)])
             line = np.repeat(first - edges[:-1], last - first + 1) + np.arange(edges[-1])
+            rank = first - np.searchsorted(text, text[first])
+            of = pa.array(text[first[at]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"].take(pa.array(text[first[at]])),
+                    batch["doc_id"].take(of), batch["print"].take(of),
                     pa.array(window[at].view(np.int64)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.append(at, len(first)).astype(np.int32)),
+                        pa.array(rank.astype(np.int32)),
+                    ),
                     pa.ListArray.from_arrays(
                         pa.array(np.append(edges[:-1][at], edges[-1]).astype(np.int32)),
                         pa.array((position[line].astype(np.int64) << 32) | sizes[line]),
                     ),
                 ],
-                ["doc_id", "window", "lines"],
+                ["doc_id", "print", "window", "starts", "lines"],
             )
 
     return run
 
 
+def _print(text):
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows_of(docs, least_block=LEAST_BLOCK):
-    """Per document and window: its hash and all lines of its occurrences.
+    """Per text and window: its hash, where it begins among the lines with words, all its lines.
 
     A line is the newlines before it, shifted left by 32 bits, and its words.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), _print(text).alias("print"), text.alias("text"))
     return texts.where("doc_id is not null").mapInArrow(_lines(least_block), WINDOWS)
 
 
 def shared_windows(windows):
-    """Windows of later documents with the first document that has them."""
+    """Windows of later documents with the place where the window stands first."""
     first = windows.groupBy("window").agg(
-        F.min("doc_id").alias("other"), F.max("doc_id").alias("last")
-    ).where("last > other").select("window", "other")
-    return look_up(windows, first, ["window"], "doc_id").where("doc_id > other")
+        F.min(F.struct("doc_id", "print", F.col("starts")[0].alias("start"))).alias("place"),
+        F.max("doc_id").alias("last"),
+    ).where("last > place.doc_id").select("window", "place")
+    return look_up(windows, first, ["window"], "doc_id").where("doc_id > place.doc_id")
 
 
-def repeated_lines(docs, least_block=LEAST_BLOCK):
-    """Per later document: the line numbers that go, how many words, from how many documents.
+def patience(matches):
+    """The longest run of ``(rank, other rank)`` matches that rises on both sides."""
+    matches = sorted(matches, key=lambda m: (m[0], -m[1]))
+    tails, ends, back = [], [], []
+    for i, (_, other) in enumerate(matches):
+        at = bisect.bisect_left(tails, other)
+        back.append(ends[at - 1] if at else None)
+        tails[at : at + 1] = [other]
+        ends[at : at + 1] = [i]
+    run, i = [], ends[-1] if ends else None
+    while i is not None:
+        run.append(matches[i])
+        i = back[i]
+    return run[::-1]
+
 
-    Only documents that share a block with an earlier one have a row.
+def patience_diff(places):
+    """Aligned ``(rank, other rank)`` of ``{other rank: ranks of the later document}``.
+
+    Only what stands once in a gap can be an anchor of it.
     """
-    found = shared_windows(windows_of(docs, least_block)).groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"),
-        F.size(F.collect_set("other")).alias("n_earlier"),
-    )
-    words = F.aggregate(
-        "lines", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit((1 << 32) - 1))
-    )
-    return found.select(
-        "doc_id", F.size("lines").alias("n_lines"), words.alias("n_words"), "n_earlier",
-        F.transform("lines", lambda x: F.shiftright(x, 32).cast("int")).alias("gone"),
+    found = []
+    gaps = [sorted((rank, other) for other, ranks in places.items() for rank in ranks)]
+    while gaps:
+        gap = gaps.pop()
+        times = Counter(other for _, other in gap)
+        run = patience([m for m in gap if times[m[1]] == 1])
+        found += run
+        if not run or len(run) == len(gap):
+            continue
+        parts = [[] for _ in range(len(run) + 1)]
+        ranks = [rank for rank, _ in run]
+        for rank, other in gap:
+            at = bisect.bisect_left(ranks, rank)
+            low = run[at - 1][1] if at else -1
+            high = run[at][1] if at < len(run) else float("inf")
+            if low < other < high and (at == len(run) or rank != ranks[at]):
+                parts[at].append((rank, other))
+        gaps += [part for part in parts if part]
+    return found
+
+
+def rising_runs(matches):
+    """All matches dealt by patience into as few runs as possible that rise on both sides."""
+    runs, tails = [], []  # tails are negative and rise
+    for rank, other in sorted(matches, key=lambda m: (m[0], -m[1])):
+        at = bisect.bisect_right(tails, -other)
+        runs[at:at] = [] if at < len(runs) else [[]]
+        tails[at : at + 1] = [-other]
+        runs[at].append((rank, other))
+    return runs
+
+
+def common_blocks(places):
+    """Blocks ``(rank, other rank, windows)`` of one pair of documents, whole or not at all.
+
+    ``places`` tells for each window where it begins in the earlier document and where in the later.
+    """
+    runs = [sorted(patience_diff(places))]
+    done = set(runs[0])
+    left = [(r, other) for other, ranks in places.items() for r in ranks if (r, other) not in done]
+    out = []
+    for run in [*runs, *rising_runs(left)]:
+        for rank, other in run:
+            if out and (rank, other) == (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]):
+                out[-1][2] += 1
+            else:
+                out.append([rank, other, 1])
+    return [tuple(block) for block in out]
+
+
+def _align(batches):
+    for batch in pieces(batches):
+        rows = []
+        for doc_id, print_, shared in zip(*(batch[c].to_pylist() for c in ("doc_id", "print", "shared"))):
+            pairs, lines = {}, {}
+            for one in shared:
+                place = one["place"]
+                pair = pairs.setdefault((place["doc_id"], place["print"]), {})
+                pair.setdefault(place["start"], set()).update(one["starts"])
+                width = len(one["lines"]) // len(one["starts"])
+                for i, start in enumerate(one["starts"]):
+                    own = one["lines"][i * width : (i + 1) * width]
+                    lines[start] = max(own, lines.get(start, own), key=len)
+            blocks = [
+                {"rank": rank, "windows": n, "other": other, "other_rank": start}
+                for (other, _), places in sorted(pairs.items())
+                for rank, start, n in common_blocks(places)
+            ]
+            gone = {
+                line for b in blocks for at in range(b["rank"], b["rank"] + b["windows"])
+                for line in lines[at]
+            }
+            numbers = sorted(line >> 32 for line in gone)
+            cut = np.zeros(numbers[-1] + 1, bool)
+            cut[numbers] = True
+            rows.append({
+                "doc_id": doc_id, "print": print_, "n_lines": len(gone),
+                "n_words": sum(line & (1 << 32) - 1 for line in gone),
+                "n_earlier": len({other for other, _ in pairs}), "gone": numbers,
+                "cut": cut.tolist(), "blocks": blocks,
+            })
+        yield pa.RecordBatch.from_pylist(rows, ARROW_ALIGNED)
+
+
+ALIGNED = (
+    "doc_id long, print long, n_lines int, n_words long, n_earlier int, gone array<int>, "
+    "cut array<boolean>, "
+    "blocks array<struct<rank:int,windows:int,other:long,other_rank:int>>"
+)
+ARROW_ALIGNED = pa.schema([
+    ("doc_id", pa.int64()), ("print", pa.int64()), ("n_lines", pa.int32()),
+    ("n_words", pa.int64()), ("n_earlier", pa.int32()), ("gone", pa.list_(pa.int32())),
+    ("cut", pa.list_(pa.bool_())),
+    ("blocks", pa.list_(pa.struct([
+        ("rank", pa.int32()), ("windows", pa.int32()), ("other", pa.int64()),
+        ("other_rank", pa.int32()),
+    ]))),
+])
+
+
+def aligned_documents(docs, least_block=LEAST_BLOCK):
+    """Per later text: its blocks, the line numbers that go and, as flags, the same (``cut``).
+
+    Only texts that share a block with an earlier document have a row.
+    """
+    found = shared_windows(windows_of(docs, least_block)).groupBy("doc_id", "print").agg(
+        F.collect_list(F.struct("place", "starts", "lines")).alias("shared")
     )
+    return found.mapInArrow(_align, ALIGNED)
+
+
+def repeated_lines(docs, least_block=LEAST_BLOCK):
+    """Per later text: the line numbers that go, how many words, from how many documents, blocks."""
+    return aligned_documents(docs, least_block).drop("print", "cut")
 
 
 def cut_lines(docs, least_block=LEAST_BLOCK):
@@ -150,13 +284,16 @@ def cut_lines(docs, least_block=LEAST_BLOCK):
 
     ``_lost`` is null where nothing goes; ``_lost.all`` tells that no word is left.
     """
-    gone = repeated_lines(docs, least_block).where("n_lines > 0").select(
-        F.struct("doc_id", "n_lines", "n_words", "n_earlier", "gone").alias("_gone")
+    gone = aligned_documents(docs, least_block).select(
+        F.struct("doc_id", "print", "n_lines", "n_words", "n_earlier", "cut").alias("_gone")
+    )
+    same = (F.col("doc_id").cast("long") == F.col("_gone.doc_id")) & (
+        _print(F.col("text").cast("string")) == F.col("_gone.print")
     )
-    gone_id, lines = F.col("_gone.doc_id"), F.col("_gone.gone")
-    rows = docs.join(gone, F.col("doc_id").cast("long") == gone_id, "left")
+    rows = docs.join(gone, same, "left")
     hit = F.col("_gone").isNotNull()
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    flags = F.col("_gone.cut")
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
     rows = rows.withColumn("text", F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         n_chars = F.length("text").cast(dict(docs.dtypes)["n_chars"])
@@ -183,45 +320,3 @@ def op10_line_dedup(spark, sf_dir):
         (~F.coalesce("_lost.all", F.lit(False))).alias("kept"),
     )
 
-
-# not used by the operator: tests pin what these three return
-
-
-def patience(matches):
-    """The longest run of ``(rank, other rank)`` matches that rises on both sides."""
-    matches = sorted(matches)
-    tails, ends, back = [], [], []
-    for i, (_, other) in enumerate(matches):
-        at = bisect.bisect_left(tails, other)
-        back.append(ends[at - 1] if at else None)
-        tails[at : at + 1] = [other]
-        ends[at : at + 1] = [i]
-    run, i = [], ends[-1] if ends else None
-    while i is not None:
-        run.append(matches[i])
-        i = back[i]
-    return run[::-1]
-
-
-def aligned(shared):
-    """Ranks of a later document aligned with one earlier; ``shared``: ``(ranks, others)``."""
-    out = set()
-    left = [(sorted(ranks), sorted(others)) for ranks, others in shared]
-    while left:
-        run = {rank for rank, _ in patience([m for pair in left for m in zip(*pair)])}
-        out |= run
-        left = [([r for r in ranks if r not in run], others) for ranks, others in left]
-        left = [(ranks, others) for ranks, others in left if ranks]
-    return out
-
-
-def blocks(ranks, sizes, least_block=LEAST_BLOCK):
-    """Those of the ranks that stand in runs of neighbours with enough words."""
-    out, run, words = [], [], 0
-    for rank in sorted(ranks):
-        if run and rank != run[-1] + 1:
-            out += run if words >= least_block else []
-            run, words = [], 0
-        run.append(rank)
-        words += sizes[rank]
-    return out + run if words >= least_block else out

@@ -88,15 +88,14 @@ def seen_lines(texts):
 
 
 def common_blocks(texts, least=5):
-    """``doc_id -> numbers of the lines`` of all runs that one earlier document has, either way."""
+    """``doc_id -> numbers of the lines`` of all runs that one earlier document has, in this order."""
     own, out = {}, {}
     for doc_id, text in texts.items():
         lines = enumerate((text or "").split("\n"))
         own[doc_id] = [(i, words) for i, line in lines if (words := blank_words(line))]
     for doc_id, lines in own.items():
         gone = out.setdefault(doc_id, set())
-        earlier = [x for other, x in own.items() if other < doc_id]
-        for other in earlier + [x[::-1] for x in earlier]:
+        for other in (x for other, x in own.items() if other < doc_id):
             for i, j in ((i, j) for i in range(len(lines)) for j in range(len(other))):
                 n = 0
                 for (_, one), (_, two) in zip(lines[i:], other[j:]):

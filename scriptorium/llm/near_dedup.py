@@ -8,9 +8,10 @@
    slots at 0.85, 8e-8 by 31 of 4 at 0.8. Buckets of up
    to ``SMALL_BUCKET`` classes give those pairs that also agree in a 128-bit sketch; larger
    ones, which hold true near copies, give one edge per member.
-3. Candidate components are cut into blocks of about ``BLOCK`` classes. A task gets two
-   blocks with their full sets, so its memory is bounded whatever the component's size, and
-   counts the intersection of every pair whose signatures allow the similarity and that is
+3. Candidate components are cut into blocks of about ``BLOCK`` classes by the size of their sets;
+   blocks whose sizes rule out the similarity are never paired. A task gets two
+   blocks with their full sets and signatures, so its memory is bounded whatever the component's
+   size, and counts the intersection of every pair whose signatures allow the similarity and that is
    not yet connected. It returns a spanning forest of the exact links.
 4. The components of those links are the groups; the smallest doc_id of one stays.
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from scriptorium.llm.blocks import BLOCK, TASK, block_pairs
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.superminhash import signatures
 from scriptorium.llm.tables import load, staged, texts_of
@@ -34,7 +36,6 @@ WIDTH = 5
 SLOTS = 125
 MISSED = 1e-6
 SMALL_BUCKET = 32
-BLOCK = 256
 
 FEATURES = (
     "doc_id long, n_shingles long, print array<long>, sketch array<long>, bands array<long>"
@@ -125,16 +126,28 @@ def _binary(values, first):
     ).cast(pa.binary())
 
 
-def _full_sets(width):
+def _full_sets(width, slots):
     def run(batches):
         for batch in pieces(batches):
+            values, first = _sets(batch, width)
+            marks = _marks(signatures(values, first, slots)).view(np.uint8).reshape(-1)
+            edges = np.arange(len(first), dtype=np.int64) * (2 * slots)
+            packed = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(first) - 1, [None, pa.py_buffer(edges), pa.py_buffer(marks)]
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], _binary(*_sets(batch, width))], ["node", "set"]
+                [batch["node"], _binary(values, first), packed.cast(pa.binary())],
+                ["node", "set", "marks"],
             )
 
     return run
 
 
+def _marks(table):
+    """16 bits of every slot's value: equal values stay equal."""
+    return np.ascontiguousarray(mix(table.view(U64)) & U64(0xFFFF)).astype(np.uint16)
+
+
 def candidate_edges(nodes, sketch_bits, small_bucket=SMALL_BUCKET):
     """``(a, b)`` between classes that may be similar; ``nodes(node, sketch, bands)``."""
     rows = nodes.select(
@@ -198,17 +211,16 @@ def _common(one, values, first, which):
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def exact_links(values, first, side, percent, slots):
+def exact_links(values, first, side, percent, table):
     """Spanning forest of the pairs with ``100 * common >= percent * union``.
 
-    ``side`` tells the block of each set. With two blocks only pairs across them are
+    ``table`` has the signatures, ``side`` tells the block of each set. With two blocks only pairs across them are
     compared, as each block is compared within itself in a task of its own. A set is held
     against all sets that its signature estimate and size allow, the likeliest first;
     sets that are already connected need no count.
     """
     n = len(first) - 1
-    margin = limits(percent, slots)[2]
-    table = signatures(values, first, slots)
+    margin = limits(percent, table.shape[1])[2]
     sizes = np.diff(first)
     forest = Forest(n)
     two = len(set(side.tolist())) > 1
@@ -245,8 +257,9 @@ def _verify(percent, slots):
         sets = [np.frombuffer(s, U64) for s in frame["set"]]
         first = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
         nodes = frame["node"].to_numpy()
+        table = np.frombuffer(b"".join(frame["marks"]), np.uint16).reshape(-1, slots)
         links = exact_links(
-            np.concatenate(sets), first, frame["block"].to_numpy(), percent, slots
+            np.concatenate(sets), first, frame["side"].to_numpy(), percent, table
         )
         return pd.DataFrame(
             {"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}
@@ -259,27 +272,28 @@ def links(docs, nodes, percent, width=WIDTH, slots=SLOTS, block=BLOCK, **bucket_
     """Links ``(a, b)`` between classes that connect exactly the similar ones."""
     sketch_bits = limits(percent, slots)[1]
     groups = connected_components(candidate_edges(nodes, sketch_bits, **bucket_options))
-    groups = staged(groups, "candidates")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = groups.join(blocks, "component").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks"))
-    )
+    members = groups.join(nodes.select("node", F.col("n_shingles").alias("n")), "node")
+    members = staged(members, "candidates")
     texts = texts_of(docs).withColumnRenamed("doc_id", "node")
-    wanted = texts.join(groups.select("node"), "node", "left_semi")
-    sets = staged(wanted.mapInArrow(_full_sets(width), "node long, set binary"), "sets")
-    tasks = placed.select(
-        "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    ).select(
-        "node", "block", "component",
-        F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"),
+    wanted = texts.join(members.select("node"), "node", "left_semi")
+    sets = staged(
+        wanted.mapInArrow(_full_sets(width, slots), "node long, set binary, marks binary"), "sets"
     )
     return (
-        tasks.join(sets, "node")
-        .groupBy("component", "low", "high")
+        block_pairs(members, percent, block).join(sets, "node")
+        .groupBy(*TASK)
         .applyInPandas(_verify(percent, slots), "a long, b long")
     )
 
 
+def same_id(found):
+    """Links ``(a, b)`` between the classes of a doc_id that has several; ``found(doc_id, node)``."""
+    ids = found.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last"))
+    return found.join(ids.where("b < last"), "doc_id").where("node > b").select(
+        F.col("node").alias("a"), "b"
+    )
+
+
 def near_duplicates(docs, percent=85, width=WIDTH, slots=SLOTS, **options):
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
     rows = staged(features(docs, limits(percent, slots)[0], width, slots), "features")
@@ -290,12 +304,15 @@ def near_duplicates(docs, percent=85, width=WIDTH, slots=SLOTS, **options):
         classes.select("p", "q", "n_shingles", F.col("of.doc_id").alias("node"), "of.sketch", "of.bands"),
         "classes",
     )
+    plain = rows.select("doc_id", *key)
+    found = plain.where("n_shingles > 0 and doc_id is not null").join(
+        classes.select("p", "q", "n_shingles", "node"), ["p", "q", "n_shingles"]
+    )
     linked = links(docs, classes, percent, width, slots, **options)
-    groups = connected_components(linked)
+    groups = connected_components(linked.unionByName(same_id(found)))
     named = classes.select("p", "q", "n_shingles", "node").join(groups, "node", "left").select(
         "p", "q", "n_shingles", F.coalesce("component", "node").alias("component_id")
     )
-    plain = rows.select("doc_id", *key)
     alone = plain.where("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )

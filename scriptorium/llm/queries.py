@@ -7,6 +7,7 @@ from scriptorium.llm.lm_score import op9_lm_score
 from scriptorium.llm.mixing import op6_mixing
 from scriptorium.llm.near_dedup import OP1_SQL, op1_near_dedup
 from scriptorium.llm.neighbours import op7_neighbours
+from scriptorium.llm.ngram_join import OP13_SQL, op13_ngram_join
 from scriptorium.llm.quality import op8_quality
 from scriptorium.llm.token_counts import op3_token_counts
 from scriptorium.llm.toxicity import op2_toxicity
@@ -16,8 +17,10 @@ QUERIES = {
     for query in (
         op1_near_dedup, op2_toxicity, op3_token_counts, op4_decontaminate, op5_chat_format,
         op6_mixing, op7_neighbours, op8_quality, op9_lm_score, op10_line_dedup,
+        op13_ngram_join,
     )
 }
 ORACLES = {
     "op1_near_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL,
+    "op13_ngram_join": OP13_SQL,
 }

@@ -256,15 +256,40 @@ WHERE c.file_type IN ('pdf', 'docx') AND c.size_bytes <= 10485760"""),
 SELECT p.doc_id, p.page_num, coalesce(b.block_no, -1) AS block_no, coalesce(b.text, '') AS text
 FROM doc_pages p LEFT JOIN blocks b ON p.doc_id = b.doc_id AND p.page_num = b.page_num"""),
     "html_blocks": ([], r"""
-SELECT doc_id, CAST(0 AS BIGINT) AS page_num, block_no, text FROM (
-  SELECT page_id AS doc_id, unnest(range(len(r))) AS block_no, regexp_replace(unnest(r), '^\s+|\s+\z', '', 'g') AS text
-  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS r FROM pages))
-WHERE text <> ''"""),
+SELECT doc_id, CAST(0 AS BIGINT) AS page_num, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS BIGINT) AS block_no,
+  trim(text, chr(10) || ' ') AS text
+FROM (
+  SELECT doc_id, place, replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(trim(regexp_replace(raw, '[ \t\n\f\r]+', ' ', 'g'), ' '), ' ?\x02 ?', chr(10), 'g'),
+    '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text
+  FROM (
+    SELECT page_id AS doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS raw FROM (
+      SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+        '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>', '', 'g'),
+        '(?i)<br\s*/?>', chr(2), 'g'),
+        '(?i)</?(html|head|body|p|h[1-6]|li|ul|ol|nav|div|article|footer|header|section|table|tr|td|th|blockquote|pre|dl|dt|dd)(\s[^>]*)?/?>', chr(1), 'g'),
+        '<[^>]*>', '', 'g'), chr(1)) AS parts
+      FROM pages)))
+WHERE trim(text, chr(10) || ' ') <> ''"""),
     "docx_binary_scan": (["lines"], """
-SELECT doc_id, 'paragraph' AS kind, idx, CAST(-1 AS BIGINT) AS run_no, text FROM lines WHERE doc_id % 50 <> 49
-UNION ALL SELECT doc_id, 'run', idx, 0, substr(text, 1, 5) FROM lines WHERE doc_id % 50 <> 49
-UNION ALL SELECT doc_id, 'run', idx, 1, substr(text, 6) FROM lines WHERE doc_id % 50 <> 49
-UNION ALL SELECT doc_id, 'error', -1, -1, '' FROM documents WHERE doc_id % 50 = 49"""),
+SELECT * FROM (WITH good AS (SELECT * FROM documents WHERE doc_id % 50 <> 49), kept AS (SELECT * FROM lines WHERE doc_id % 50 <> 49),
+pictures AS (SELECT doc_id, unnest(range(doc_id % 3)) AS n FROM good),
+found(doc_id, kind, scope, idx, run_no, section_no, para_no, text, font_name, font_size, part_id) AS (
+  SELECT doc_id, 'paragraph', 'body', idx, -1, -1, -1, text, '', 0.0, '' FROM kept
+  UNION ALL SELECT doc_id, 'run', 'body', idx, 0, -1, -1, substr(text, 1, 5), 'Arial', 10.5, '' FROM kept
+  UNION ALL SELECT doc_id, 'run', 'body', idx, 1, -1, -1, substr(text, 6), '', 0.0, '' FROM kept
+  UNION ALL SELECT doc_id, 'paragraph', 'table', 0, -1, -1, -1, text, '', 0.0, '' FROM kept WHERE idx = 0
+  UNION ALL SELECT doc_id, 'run', 'table', 0, 0, -1, -1, text, '', 0.0, '' FROM kept WHERE idx = 0
+  UNION ALL SELECT k.doc_id, 'paragraph', 'body', max(idx) + 1, -1, -1, -1, '', '', 0.0, '' FROM kept k WHERE k.doc_id % 3 > 0 GROUP BY k.doc_id
+  UNION ALL SELECT p.doc_id, 'run', 'body', k.last + 1, p.n, -1, -1, '', '', 0.0, ''
+    FROM pictures p JOIN (SELECT doc_id, max(idx) AS last FROM kept GROUP BY doc_id) k ON p.doc_id = k.doc_id
+  UNION ALL SELECT doc_id, 'picture', '', n, -1, -1, -1, '', '', 0.0, 'media/image' || n || '.png' FROM pictures
+  UNION ALL SELECT doc_id, 'section', '', -1, -1, 0, -1, '', '', 0.0, '' FROM good
+  UNION ALL SELECT doc_id, 'stamp', 'header', -1, -1, 0, 0, 'header ' || doc_id, '', 0.0, '' FROM good WHERE doc_id % 10 > 0
+  UNION ALL SELECT doc_id, 'stamp', 'header', -1, -1, 0, 1, '', '', 0.0, '' FROM good WHERE doc_id % 10 > 0
+  UNION ALL SELECT doc_id, 'error', '', -1, -1, -1, -1, '', '', 0.0, '' FROM documents WHERE doc_id % 50 = 49)
+SELECT doc_id, kind, scope, CAST(idx AS BIGINT) AS idx, CAST(run_no AS BIGINT) AS run_no, CAST(section_no AS BIGINT) AS section_no,
+  CAST(para_no AS BIGINT) AS para_no, text, font_name, CAST(font_size AS DOUBLE) AS font_size, part_id FROM found)"""),
     "text_file_scan": (["lines"], "SELECT doc_id, idx, text FROM lines"),
     "snapshot_write": (["edited", "catalog"], """
 SELECT e.doc_id, e.scope, e.idx, e.new_text AS text, coalesce(c.file_type, 'other') AS file_type

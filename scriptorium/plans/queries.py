@@ -19,7 +19,7 @@ from scriptorium.plans import fixtures as fx
 from scriptorium.plans import requests as batch
 from scriptorium.plans.packing import docx_files_of
 from scriptorium.session import shared_folder, spread
-from scriptorium.sources import content, docx, sinks, text_files, uploads
+from scriptorium.sources import content, docx, html, named_files, sinks, text_files, uploads
 from scriptorium.streaming import edits as stream_edits
 from scriptorium.streaming import uploads as stream_up
 
@@ -70,27 +70,32 @@ def content_blocks(spark, sf):
 
 
 def html_blocks(spark, sf):
-    return content.html_blocks(spread(fx.table(spark, sf, "pages").select("page_id", "html")))
+    pages = spread(fx.table(spark, sf, "pages").select("page_id", "html"))
+    return html.html_blocks(pages).drop("element")
 
 
 def docx_binary_scan(spark, sf):
-    elements = docx.docx_elements(docx_files_of(fx.documents(spark, sf)))
-    shown = elements.where("kind IN ('paragraph', 'run', 'error')")
+    """All that a scan of a folder finds in word files which the job wrote there before."""
+    folder = shared_folder(spark, "word-files")
+    files = docx_files_of(fx.documents(spark, sf))
+    named_files.write_named_files(files, folder)
+    elements = docx.docx_binary_scan(spark, folder)
     doc_id = F.regexp_extract("path", r"(\d+)\.docx\z", 1).cast("long")
+    none = F.lit(-1).cast("long")
     failed = F.col("kind") == "error"
-    return shown.select(
-        doc_id.alias("doc_id"),
-        "kind",
-        F.coalesce("idx", F.lit(-1).cast("long")).alias("idx"),
-        F.coalesce("run_no", F.lit(-1).cast("long")).alias("run_no"),
-        F.when(failed, "").otherwise(F.col("text")).alias("text"),
+    return elements.select(
+        doc_id.alias("doc_id"), "kind",
+        *(F.coalesce(c, F.lit("")).alias(c) for c in ("scope", "font_name", "part_id")),
+        *(F.coalesce(c, none).alias(c) for c in ("idx", "run_no", "section_no", "para_no")),
+        F.when(failed, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("font_size", F.lit(0.0)).alias("font_size"),
     )
 
 
 def text_file_scan(spark, sf):
     folder = shared_folder(spark, "text-files")
     sinks.export_text_files(fx.documents(spark, sf), folder)
-    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
+    doc_id = F.regexp_extract("path", r"(\d+)\.txt\z", 1).cast("long")
     return text_files.text_file_scan(spark, folder).select(doc_id.alias("doc_id"), "idx", "text")
 
 

@@ -10,7 +10,6 @@ TEXT_BLOCK = 0
 # Page labels and texts shown for empty content.
 PAGE_LABEL = "Page "
 BLANK_PAGE_TEXT = "This page appears to be blank."
-HTML_BLOCK = r"(?s)<p>(.*?)</p>"
 
 
 def content_paragraphs(docs):
@@ -40,20 +39,6 @@ def content_blocks(pages, raw_blocks):
     return blocks.unionByName(blank, allowMissingColumns=True)
 
 
-def html_blocks(html_pages):
-    """``(page_id, html)`` to text blocks: each page one page, each ``<p>`` element a block."""
-    elements = html_pages.select(
-        F.col("page_id").alias("doc_id"),
-        F.lit(0).cast("long").alias("page_num"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(HTML_BLOCK), 1)).alias("pos", "text"),
-    )
-    return valid_blocks(
-        elements.withColumn("block_no", F.col("pos").cast("long")).withColumn(
-            "block_type", F.lit(TEXT_BLOCK)
-        )
-    )
-
-
 def nested_blocks(nested):
     """Flatten ``(doc_id, pages array<page_num, blocks array<bbox, text, block_no>>)``."""
     pages = nested.select("doc_id", F.inline("pages"))

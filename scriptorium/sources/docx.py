@@ -1,4 +1,4 @@
-"""Word files as rows. Spark lists, splits and reads the files; a task parses one at a time."""
+"""Word files as rows. Spark lists, splits and reads the files; a task reads one at a time as a stream."""
 
 import io
 import sys
@@ -20,8 +20,6 @@ WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
-# unpacked bytes of one part that a task parses; more gives an error row
-MAX_PART_BYTES = 1 << 28
 BATCH_ROWS = 10_000
 
 ELEMENTS = (
@@ -69,11 +67,29 @@ def _font(run):
     return {"font_name": None if name is None else name.get(f"{W}ascii"), "font_size": points}
 
 
-def _read(archive, part):
-    """Bytes of a part, unless unpacking it would take too much memory."""
-    if archive.getinfo(part).file_size > MAX_PART_BYTES:
-        raise ValueError(f"part_size: {part}")
-    return archive.read(part)
+def _children(stream, inside, until):
+    """``(path, element)`` of each whole child of the element whose path of tags is ``inside``.
+
+    Read as a stream: an element is gone once the next one is asked for. Elements whose path is in
+    ``until`` are not built up either; their own children are given instead.
+    """
+    path, opened = [], []
+    for event, element in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            path.append(element.tag)
+            opened.append(element)
+            continue
+        own = tuple(path)
+        path.pop()
+        opened.pop()
+        if own[:-1] == inside or own[:-1] in until:
+            if own not in until:
+                yield own, element
+            opened[-1].remove(element)
+
+
+BODY = (f"{W}document", f"{W}body")
+TABLE = (*BODY, f"{W}tbl")
 
 
 def _targets(archive, part):
@@ -81,49 +97,69 @@ def _targets(archive, part):
     rels = f"word/_rels/{basename(part)}.rels"
     if rels not in archive.namelist():
         return {}
-    root = ElementTree.fromstring(_read(archive, rels))
-    return {r.get("Id"): r.get("Target") for r in root}
-
-
-def _content(body):
-    """Paragraphs and runs: those of the body first, then those of table cells."""
-    cells = body.findall(f"{W}tbl/{W}tr/{W}tc")
-    scopes = [("body", body.findall(f"{W}p"))]
-    scopes.append(("table", [p for cell in cells for p in cell.findall(f"{W}p")]))
-    for scope, paragraphs in scopes:
-        for idx, paragraph in enumerate(paragraphs):
-            place = {"scope": scope, "idx": idx}
-            yield {"kind": "paragraph", "text": _paragraph_text(paragraph), **place}
-            for run_no, run in enumerate(paragraph.findall(f"{W}r")):
+    with archive.open(rels) as stream:
+        return {r.get("Id"): r.get("Target") for r in ElementTree.parse(stream).getroot()}
+
+
+def _body(archive, targets, references):
+    """All rows of the body, element by element; a table is read row by row.
+
+    Paragraphs of the body and those of table cells are counted apart. Header and footer
+    ``references`` of sections are left for later.
+    """
+    counts = {"body": 0, "table": 0, "section": 0, "picture": 0}
+    with archive.open("word/document.xml") as stream:
+        for own, element in _children(stream, BODY, (TABLE,)):
+            if own == (*BODY, f"{W}p"):
+                yield from _paragraph("body", element, counts)
+            elif own == (*TABLE, f"{W}tr"):
+                for cell in element.findall(f"{W}tc"):
+                    for paragraph in cell.findall(f"{W}p"):
+                        yield from _paragraph("table", paragraph, counts)
+            for section in element.iter(f"{W}sectPr"):
+                yield {"kind": "section", "section_no": counts["section"]}
+                references += (
+                    (counts["section"], part, ref.get(f"{R}id"))
+                    for part in ("header", "footer")
+                    for ref in section.findall(f"{W}{part}Reference")
+                    if ref.get(f"{W}type", "default") == "default"
+                )
+                counts["section"] += 1
+            yield from _pictures(element, targets, counts)
+
+
+def _paragraph(scope, paragraph, counts):
+    """A paragraph and its runs."""
+    place = {"scope": scope, "idx": counts[scope]}
+    counts[scope] += 1
+    yield {"kind": "paragraph", "text": _paragraph_text(paragraph), **place}
+    for run_no, run in enumerate(paragraph.findall(f"{W}r")):
+        yield {"kind": "run", "run_no": run_no, "text": _run_text(run), **_font(run), **place}
+
+
+def _sections(archive, targets, references):
+    """Paragraphs of the headers and footers that a section defines itself."""
+    for section_no, part, reference in references:
+        target = join("/word", targets[reference]).lstrip("/")
+        with archive.open(target) as stream:
+            kind = f"{W}hdr" if part == "header" else f"{W}ftr"
+            paragraphs = (e for own, e in _children(stream, (kind,), ()) if own[-1] == f"{W}p")
+            for para_no, paragraph in enumerate(paragraphs):
                 yield {
-                    "kind": "run", "run_no": run_no, "text": _run_text(run), **_font(run), **place
+                    "kind": "stamp", "scope": part, "section_no": section_no,
+                    "para_no": para_no, "text": _paragraph_text(paragraph),
                 }
 
 
-def _sections(archive, body, targets):
-    """Paragraphs of the headers and footers that a section defines itself."""
-    for section_no, section in enumerate(body.iter(f"{W}sectPr")):
-        yield {"kind": "section", "section_no": section_no}
-        for part in ("header", "footer"):
-            for ref in section.findall(f"{W}{part}Reference"):
-                if ref.get(f"{W}type", "default") != "default":
-                    continue
-                target = join("/word", targets[ref.get(f"{R}id")]).lstrip("/")
-                root = ElementTree.fromstring(_read(archive, target))
-                for para_no, paragraph in enumerate(root.findall(f"{W}p")):
-                    yield {
-                        "kind": "stamp", "scope": part, "section_no": section_no,
-                        "para_no": para_no, "text": _paragraph_text(paragraph),
-                    }
-
-
-def _pictures(body, targets):
+def _pictures(element, targets, counts):
     """Embedded inline pictures in document order; linked and floating ones do not count."""
-    inlines = (i for run in body.iter(f"{W}r") for i in run.findall(f"{W}drawing/{WP}inline"))
+    inlines = (i for run in element.iter(f"{W}r") for i in run.findall(f"{W}drawing/{WP}inline"))
     blips = (blip for inline in inlines for blip in inline.iter(f"{A}blip"))
-    embedded = (b for b in blips if b.get(f"{R}embed") and not b.get(f"{R}link"))
-    for idx, blip in enumerate(embedded):
-        yield {"kind": "picture", "idx": idx, "part_id": targets.get(blip.get(f"{R}embed"))}
+    for blip in blips:
+        if blip.get(f"{R}embed") and not blip.get(f"{R}link"):
+            target = targets.get(blip.get(f"{R}embed"))
+            yield {"kind": "picture", "idx": counts["picture"], "part_id": target}
+            counts["picture"] += 1
 
 
 def _or_error(rows):
@@ -136,21 +172,19 @@ def _or_error(rows):
 
 def _parts(content):
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(_read(archive, "word/document.xml")).find(f"{W}body")
-        yield from _or_error(_content(body))
-        targets = {}
+        targets, references = {}, []
 
         def related():
             targets.update(_targets(archive, "word/document.xml"))
             yield from ()
 
         yield from _or_error(related())
-        yield from _or_error(_sections(archive, body, targets))
-        yield from _or_error(_pictures(body, targets))
+        yield from _or_error(_body(archive, targets, references))
+        yield from _or_error(_sections(archive, targets, references))
 
 
 def _elements(content):
-    """All that can be read: contents, sections and pictures fail apart from each other."""
+    """All that can be read: relations, body, headers and footers fail apart from each other."""
     return _or_error(_parts(content))
 
 
@@ -165,10 +199,11 @@ def _parse(batches):
 def docx_elements(files, max_bytes=None):
     """Everything read from ``files(path, length, content)``, one row per element.
 
-    Damage gives a row of kind ``error`` beside what could be read; so does a part that would
-    unpack to over ``MAX_PART_BYTES``. Limits of uploads are the gate's; with ``max_bytes``
-    larger files give an error row only, and their content is not read. Files reach a task in Arrow batches, limited in bytes by the session's
-    ``spark.sql.execution.arrow.maxBytesPerBatch``, and are parsed one by one.
+    Damage gives a row of kind ``error`` beside what could be read before it. Parts are unpacked and
+    parsed as streams, so a part may be of any size; a paragraph or a table row is in memory at a
+    time. Limits of uploads are the gate's; with ``max_bytes`` larger files give an error row only,
+    and their content is not read. Files reach a task in Arrow batches, limited in bytes by the
+    session's ``spark.sql.execution.arrow.maxBytesPerBatch``, and are parsed one by one.
     """
     if max_bytes is None:
         return files.select("path", "content").mapInArrow(_parse, ELEMENTS)

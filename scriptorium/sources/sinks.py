@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.sources.named_files import write_named_files
+
 
 def snapshot_write(df, path, version, partition_by="file_type"):
     """Write ``df`` as a new version below ``path``; an existing version is an error.
@@ -52,6 +54,7 @@ def read_export(spark, path):
 
 
 def export_text_files(docs, path):
-    """Write one ``.txt`` folder per document; for collections of few documents."""
-    docs.select("doc_id", "text").write.mode("errorifexists").partitionBy("doc_id").text(path)
-    return path
+    """Write each document ``(doc_id, text)`` as a file ``<doc_id>.txt``, in one folder per task."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content")
+    return write_named_files(docs.select(name, content), path)

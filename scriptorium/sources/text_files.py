@@ -8,13 +8,23 @@ LINE_END = r"\r\n?"
 def text_file_scan(spark, path, glob="*.txt", max_bytes=None):
     """``(path, idx, text)``: one file is one document, one line one paragraph.
 
-    All files are read; limits are the upload gate's. With ``max_bytes`` larger ones are
-    left out before their content is read. The line feed that ends the last line does not
-    start another paragraph.
+    All files are read; limits are the upload gate's. With ``max_bytes`` larger ones are not
+    read, and give one row whose ``idx`` and ``text`` are null. The line feed that ends the last line
+    does not start another paragraph.
     """
     found = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    if max_bytes is not None:
-        found = found.where(F.col("_metadata.file_size") <= max_bytes)
+    if max_bytes is None:
+        return _lines(found)
+    name = F.col("_metadata.file_path").alias("path")
+    size = F.col("_metadata.file_size")
+    none = (F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("text"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
+        "recursiveFileLookup", True
+    ).load(path).where(F.col("length") > max_bytes)
+    return _lines(found.where(size <= max_bytes)).unionByName(listed.select(name, *none))
+
+
+def _lines(found):
     files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     unified = F.regexp_replace("text", LINE_END, "\n")
     lines = F.split(F.regexp_replace(unified, r"\n\z", ""), "\n")

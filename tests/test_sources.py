@@ -1,12 +1,19 @@
 """Files in and out: word files, text files, snapshots, exports."""
 
+import io
+import weakref
+import zipfile
+from collections import Counter
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 
 from scriptorium.operators.images import picture_counts
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans.packing import pack_docx
-from scriptorium.sources import docx, sinks, text_files
+from scriptorium.sources import docx, html, named_files, sinks, text_files
 
 PICTURE = (
     '<w:drawing><wp:inline xmlns:wp="{wp}"><a:blip xmlns:a="{a}" xmlns:r="{r}" r:embed="{rel}"/>'
@@ -91,7 +98,10 @@ def test_text_files(spark, tmp_path, rows):
     (tmp_path / "big.txt").write_bytes(b"x" * 100)
     (tmp_path / "c.pdf").write_bytes(b"other")
     found = text_files.text_file_scan(spark, str(tmp_path), max_bytes=50)
-    assert rows(found, "idx", "text") == [(0, "no end"), (0, "one"), (1, ""), (2, "two")]
+    assert rows(found, "idx", "text") == [
+        (0, "no end"), (0, "one"), (1, ""), (2, "two"), (None, None),
+    ]
+    assert [r.path[-7:] for r in found.where("idx is null").collect()] == ["big.txt"]
     assert text_files.text_file_scan(spark, str(tmp_path)).where("text like 'xxx%'").count() == 1
 
 
@@ -142,8 +152,92 @@ def test_damage_of_one_part_leaves_the_rest(spark, table, word_folder, rows):
     assert rows(named, "doc_id", "scope", "idx", "text") == [(7, "body", 0, "kept"), (7, "body", 1, "")]
 
 
-def test_parts_that_unpack_too_large_are_reported(spark, table, monkeypatch):
-    monkeypatch.setattr(docx, "MAX_PART_BYTES", 100)
-    content = pack_docx("<w:p/>" * 50)
-    files = table("path string, length long, content binary", ("a.docx", len(content), bytearray(content)))
-    assert [r.text for r in docx.docx_elements(files).collect()] == ["ValueError: part_size: word/document.xml"]
+def test_parts_of_any_size_are_read_as_streams(spark, table):
+    many = 30_000
+    row = "<w:tr><w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc></w:tr>"
+    body = "<w:p><w:r><w:t>x</w:t></w:r></w:p>" * many
+    body += "<w:tbl>" + "".join(row.format(i) for i in range(many)) + "</w:tbl>"
+    content = pack_docx(body)
+    kinds = Counter((r["kind"], r.get("scope")) for r in docx._elements(content))
+    assert kinds == {(k, s): many for k in ("paragraph", "run") for s in ("body", "table")}
+    assert max(r["idx"] for r in docx._elements(content)) == many - 1
+    seen = []
+    for own, element in docx._children(zipfile.ZipFile(io.BytesIO(content)).open("word/document.xml"),
+                                       docx.BODY, (docx.TABLE,)):
+        seen.append(weakref.ref(element)) if len(seen) < 5 else None
+    assert all(ref() is None for ref in seen)  # nothing is kept once it was read
+
+
+def test_rows_before_damage_are_kept():
+    whole = pack_docx("<w:p/>" * 3)
+    with zipfile.ZipFile(io.BytesIO(whole)) as archive:
+        xml = archive.read("word/document.xml").decode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", xml.replace("</w:body>", "<broken"))
+    kinds = [r["kind"] for r in docx._elements(out.getvalue())]
+    assert kinds == ["paragraph"] * 3 + ["error"]
+
+
+def test_named_files(spark, tmp_path, table):
+    rows = table("name string, content string, key string", *((f"{i}.txt", f"text {i}", "x") for i in range(50)),
+                 ("empty.txt", None, "x"))
+    out = tmp_path / "out"
+    named_files.write_named_files(rows.repartition(3), str(out))
+    found = {f.name: f.read_text() for f in out.rglob("*.txt")}
+    assert found == {**{f"{i}.txt": f"text {i}" for i in range(50)}, "empty.txt": ""}
+    assert sorted(p.name[:5] for p in out.iterdir()) == ["_SUCC", "part-", "part-", "part-"]
+    read = spark.read.text(str(out), wholetext=True, recursiveFileLookup=True).count()
+    assert read == 50  # an empty file has no rows
+    named_files.write_named_files(rows.limit(0), str(tmp_path / "none"))
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
+@pytest.mark.parametrize("name", ["a/b", "_hidden", ".x", "", "same.txt"])
+def test_a_failed_write_leaves_no_files(spark, tmp_path, table, name):
+    rows = table("name string, content string", ("same.txt", "1"), (name, "2"))
+    with pytest.raises(Exception, match="file"):
+        named_files.write_named_files(rows.coalesce(1), str(tmp_path / "out"))
+    assert not list((tmp_path / "out").rglob("*.txt"))
+
+
+PAGES = [
+    ('<script>var t="</p>";</script><h1 class="x">A &amp; B</h1><p id=1>one<b> two </b><br>three<p>four'
+     "<ul><li>i<li>j</ul>tail<table><tr><td>c</table><footer>&copy; x &middot; y</footer>",
+     [("h1", "A & B"), ("p", "one two\nthree"), ("p", "four"), ("li", "i"), ("li", "j"), ("", "tail"),
+      ("td", "c"), ("footer", "\u00a9 x \u00b7 y")]),
+    ('<p title="a>b">x</p><!-- <p>no</p> --><style>p{}</style>y&#233;&eacute; 1 < 2',
+     [("p", "x"), ("", "y\u00e9\u00e9 1 < 2")]),
+    ("<pre>a\n  b<br>c</pre><div>d<p>e</div>f", [("pre", "a\n  b\nc"), ("div", "d"), ("p", "e"), ("", "f")]),
+    ("<p>open<script>p = '<p>'", [("p", "open")]),
+    ("<p> <b> </b>&nbsp;</p><p>x", [("p", "x")]),
+    ("plain", [("", "plain")]), ("", []), (None, []),
+]
+
+
+@pytest.mark.parametrize("page, want", PAGES)
+def test_html_elements(page, want):
+    assert list(html.blocks_of(page or "")) == want
+
+
+def test_html_blocks(spark, table, rows):
+    pages = table("page_id long, html string, text string", *((i, p, "clash") for i, (p, _) in enumerate(PAGES)))
+    want = [(i, 0, n, *block) for i, (_, blocks) in enumerate(PAGES) for n, block in enumerate(blocks)]
+    assert rows(html.html_blocks(pages)) == sorted(want, key=repr)
+
+
+def test_long_and_deep_pages():
+    page = "<div>" * 50_000 + "<p>word &amp; word</p>" * 20_000
+    assert list(html.blocks_of(page)) == [("p", "word & word")] * 20_000
+    assert len("".join(t for _, t in html.blocks_of("<p>" + "long text " * 2_000_000))) == 19_999_999
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "<ul>", "</ul>", "<br>", "<b>", "&lt;", "a", " ", "</div>"])))
+def test_html_pieces_change_nothing(parts):
+    page = "".join(parts)
+    whole = list(html.blocks_of(page))
+    before, html.PIECE = html.PIECE, 1
+    try:
+        assert list(html.blocks_of(page)) == whole
+    finally:
+        html.PIECE = before

@@ -69,12 +69,47 @@ def replace_matches(text, find_text, replace_text, case_sensitive=True):
     return (replace_exact if case_sensitive else replace_caseless)(text, find_text, replace_text)
 
 
-def page_search_pattern(find_text):
-    """Pattern of a page search: ASCII case ignored, a blank run matches any blank run."""
+def page_search_pattern(find_text, gap="\\s+"):
+    """Pattern of a page search: ASCII case ignored, a blank run matches any ``gap``."""
     words = F.split(as_column(find_text), r"\s+")
-    return F.concat(
-        F.lit("(?i)"), F.array_join(F.transform(words, quoted_pattern), "\\s+")
-    )
+    return F.concat(F.lit("(?i)"), F.array_join(F.transform(words, quoted_pattern), gap))
+
+
+# Characters of our own within a page's joined text: the end of a block, an escape, a hit. Where a
+# text has them itself they are escaped.
+BLOCK_END, ESCAPE, HIT = "\ue000", "\ue001", "\ue004"
+ESCAPED = ((ESCAPE, ESCAPE + "\ue003"), (BLOCK_END, ESCAPE + "\ue002"), (HIT, ESCAPE + "\ue005"))
+# between two words of a page: the end of a block, kept as a group, or blanks
+PAGE_GAP = rf"(?:\s*({BLOCK_END})\s*|\s+)"
+
+
+def escaped(text):
+    for plain, safe in ESCAPED:
+        text = F.replace(as_column(text), F.lit(plain), F.lit(safe))
+    return text
+
+
+def unescaped(text):
+    for plain, safe in reversed(ESCAPED):
+        text = F.replace(text, F.lit(safe), F.lit(plain))
+    return text
+
+
+def mark_page_hits(page, find_text, replace_text):
+    """``page`` with a mark and the replacement for each hit; ends of blocks within it stay."""
+    needle = escaped(find_text)
+    ends = F.sequence(F.lit(1), F.size(F.split(needle, r"\s+")))
+    groups = F.array_join(F.transform(F.slice(ends, 2, 1 << 30), lambda i: F.concat(F.lit("$"), i - 1)), "")
+    new = F.concat(F.lit(HIT), quoted_replacement(escaped(replace_text)), groups)
+    return F.regexp_replace(page, page_search_pattern(needle, PAGE_GAP), new)
+
+
+def hits_marked(text):
+    return (F.length(text) - F.length(F.replace(text, F.lit(HIT), F.lit("")))).cast("long")
+
+
+def without_marks(text):
+    return F.replace(text, F.lit(HIT), F.lit(""))
 
 
 def words(text):

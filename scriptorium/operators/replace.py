@@ -4,9 +4,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.commands import parse_replace_command
 from scriptorium.functions.text import (
+    BLOCK_END,
+    HIT,
     count_caseless,
     count_exact,
     count_matches,
+    escaped,
+    hits_marked,
+    mark_page_hits,
     page_search_pattern,
     quoted_replacement,
     replace_caseless,
@@ -14,6 +19,8 @@ from scriptorium.functions.text import (
     replace_matches,
     require_needle,
     strip_text,
+    unescaped,
+    without_marks,
 )
 
 BODY_AND_TABLES = ["body", "table"]
@@ -60,14 +67,63 @@ def _page_profile(text, find_text, replace_text, case_sensitive):
     return new_text, matches
 
 
+PAGE_KEYS = ["doc_id", "page_num"]
+
+
+def _pages(blocks):
+    """One row per page: ``text``, its blocks in order and joined, and the rows of the blocks.
+
+    A page is one value of one row, as it is one page of its document.
+    """
+    others = [c for c in blocks.columns if c not in [*PAGE_KEYS, "block_no"]]
+    return blocks.groupBy(*PAGE_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("block_no", *others))).alias("_blocks")
+    ).withColumn(
+        "text", F.array_join(F.transform("_blocks", lambda b: escaped(b["text"])), BLOCK_END, "")
+    )
+
+
+def _parts(page):
+    return F.split(page, BLOCK_END, -1)
+
+
+def _spans_blocks(find_text, case_sensitive):
+    """Can a hit begin in one block of a page and end in another?
+
+    Only where blanks of the needle meet the end of a block, and a case-sensitive hit has to
+    equal the needle.
+    """
+    return ~case_sensitive & strip_text(find_text).rlike(r"\s")
+
+
+def _replace_on_pages(blocks, find_text, replace_text):
+    """Caseless page search whose hits may go on in the following blocks."""
+    marked = mark_page_hits(F.col("text"), find_text, replace_text)
+    rows = _pages(blocks).select(
+        *PAGE_KEYS, F.inline(F.arrays_zip("_blocks", _parts(marked).alias("_new")))
+    )
+    return rows.select(
+        *PAGE_KEYS, "_blocks.*", unescaped(without_marks(F.col("_new"))).alias("new_text"),
+        hits_marked(F.col("_new")).alias("matches"),
+    ).select(*blocks.columns, "new_text", "matches")
+
+
 def find_replace_blocks(blocks, find_text, replace_text, case_sensitive=True, page=None):
     """Page profile of find and replace, on one page or, with ``page=None``, on all.
 
-    The search ignores ASCII case and takes any blank run for a blank. Case-sensitive
-    hits must equal the needle once stripped, so a needle with outer blanks has none.
+    The search ignores ASCII case and takes any blank run for a blank, also where a block of
+    the page ends and the next begins: such a hit counts once, in the block where it begins, which
+    gets the replacement; the others lose their share of it. Case-sensitive hits must equal the
+    needle once stripped, so a needle with outer blanks has none.
     """
     require_needle(find_text)
-    on_page = F.lit(True) if page is None else F.col("page_num") == page
+    on_page = F.lit(True) if page is None else F.coalesce(F.col("page_num") == page, F.lit(False))
+    if not case_sensitive and len(find_text.split()) > 1:
+        found = _replace_on_pages(blocks.where(on_page), find_text, replace_text)
+        rest = blocks.where(~on_page).withColumns(
+            {"new_text": F.col("text"), "matches": F.lit(0).cast("long")}
+        )
+        return found if page is None else found.unionByName(rest)
     rule = F.lit(find_text), F.lit(replace_text), F.lit(case_sensitive)
     new_text, matches = _page_profile(F.col("text"), *rule)
     return blocks.withColumns(
@@ -78,6 +134,11 @@ def find_replace_blocks(blocks, find_text, replace_text, case_sensitive=True, pa
     )
 
 
+def page_totals(replaced):
+    """Hits per page; one that goes on in another block counts once."""
+    return replaced.groupBy(*PAGE_KEYS).agg(F.sum("matches").alias("matches"))
+
+
 def rejected_rules(rules):
     """Rules that cannot run: their needle is empty or their replacement null."""
     return rules.where(~_can_run())
@@ -152,8 +213,57 @@ def replace_by_rule(paragraphs, rules):
 
 
 def replace_blocks_by_rule(blocks, rules):
-    """The page profile of rules in order; a rule's ``page``, if any, limits it."""
-    return _folded(blocks, rules, _page_profile)
+    """The page profile of rules in order; a rule's ``page``, if any, limits it.
+
+    Pages are put together only in documents with a rule whose hits may span blocks.
+    """
+    spanning = rules.where(
+        _can_run() & _spans_blocks(F.col("find_text"), F.coalesce("case_sensitive", F.lit(True)))
+    ).select("doc_id").distinct()
+    apart = blocks.join(spanning, "doc_id", "left_anti").select(*blocks.columns)
+    whole = blocks.join(spanning, "doc_id", "left_semi").select(*blocks.columns)
+    return _folded(apart, rules, _page_profile).unionByName(_folded_pages(whole, rules))
+
+
+PAGE_MATCHES = "array<struct<seq:bigint,counts:array<bigint>>>"
+
+
+def _folded_pages(blocks, rules):
+    """As ``_folded``, over whole pages."""
+    def step(state, rule):
+        find, new, page = rule["find_text"], rule["replace_text"], state["text"]
+        exact = replace_exact(page, escaped(find), F.concat(F.lit(HIT), escaped(new)))
+        marked = F.when(~rule["exact"], mark_page_hits(page, find, new)).when(
+            strip_text(find) == find, exact
+        ).otherwise(page)
+        concerned = rule["page"].isNull() | (rule["page"] == F.col("page_num"))
+        hit = concerned & (hits_marked(marked) > 0)
+        entry = F.array(F.struct(
+            rule["seq"].cast("long").alias("seq"),
+            F.transform(_parts(marked), hits_marked).alias("counts"),
+        ))
+        return F.struct(
+            F.when(hit, without_marks(marked)).otherwise(page).alias("text"),
+            F.when(hit, F.concat(state["hits"], entry)).otherwise(state["hits"]).alias("hits"),
+        )
+
+    start = F.struct(F.col("text").alias("text"), F.array().cast(PAGE_MATCHES).alias("hits"))
+    folded = _pages(blocks).join(_stacks(rules), "doc_id").withColumn(
+        "_state", F.aggregate("_stack", start, step)
+    )
+    rows = folded.select(
+        *PAGE_KEYS, F.col("_state.hits").alias("_hits"),
+        F.posexplode(F.arrays_zip("_blocks", _parts(F.col("_state.text")).alias("_new"))).alias("_i", "_row"),
+    )
+    own = F.transform("_hits", lambda h: F.struct(
+        h["seq"].alias("seq"), F.get(h["counts"], F.col("_i")).alias("matches")
+    ))
+    rows = rows.withColumn("rule_matches", F.filter(own, lambda h: h["matches"] > 0))
+    total = F.aggregate("rule_matches", F.lit(0).cast("long"), lambda n, x: n + x["matches"])
+    return rows.select(
+        *PAGE_KEYS, "_row._blocks.*", unescaped(F.col("_row._new")).alias("new_text"),
+        total.alias("matches"), "rule_matches",
+    ).select(*blocks.columns, "new_text", "matches", "rule_matches")
 
 
 def matches_by_rule(*replaced):

@@ -251,6 +251,19 @@ def rules(spark, sf_dir):
     return docs.select("doc_id", F.inline(steps))
 
 
+def phrase_rules(spark, sf_dir):
+    """Two rules for two documents of three: ``and`` becomes ``of``, then ``. the`` of any case, over blocks too."""
+    steps = F.array(*(
+        F.struct(
+            F.lit(seq).cast("long").alias("seq"), F.lit(find).alias("find_text"),
+            F.lit(new).alias("replace_text"), F.lit(exact).alias("case_sensitive"),
+        )
+        for seq, find, new, exact in ((2, ". the", "OT", False), (1, "and", "of", True))
+    ))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 3 > 0")
+    return docs.select("doc_id", F.inline(steps))
+
+
 def stack_rules(spark, sf_dir):
     """Three rules per document, one reading what another wrote; the last only on even ones."""
     doc_id = F.col("doc_id")

@@ -229,6 +229,15 @@ def _with_fixtures(names, body):
 
 REPLACED_CS = """SELECT doc_id, scope, idx, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS matches,
   replace(text, 'the', '{new}') AS new_text FROM paragraphs"""
+# pages as one text, the ends of blocks a character that no text has
+PAGES_CI = r"""
+SELECT doc_id, page_num, nos[i] AS block_no,
+  CAST(length(new[i]) - length(replace(new[i], chr(57348), '')) AS BIGINT) AS matches, replace(new[i], chr(57348), '') AS new_text
+FROM (SELECT *, unnest(range(1, len(nos) + 1)) AS i FROM (
+  SELECT doc_id, page_num, nos, string_split(regexp_replace(page, '(?i)' || replace('{needle}', ' ', '(?:(' || chr(57344) || ')|\s+)'),
+    chr(57348) || '{new}\1', 'g'), chr(57344)) AS new
+  FROM (SELECT doc_id, page_num, list(block_no ORDER BY block_no) AS nos, string_agg({text}, chr(57344) ORDER BY block_no) AS page
+    FROM blocks GROUP BY doc_id, page_num)))"""
 BLOCKS_CS = """SELECT doc_id, page_num, block_no,
   CASE WHEN {condition} THEN CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) ELSE 0 END AS matches,
   CASE WHEN {condition} THEN replace(text, 'the', 'THE') ELSE text END AS new_text FROM blocks"""
@@ -405,9 +414,17 @@ UNION ALL SELECT doc_id, 3, '2024-02-01', concat('Find & Replace: ''the'' -> ''T
 SELECT doc_id, scope, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,
   regexp_replace(text, '(?i)the', '$1\\', 'g') AS new_text FROM paragraphs"""),
     "find_replace_blocks": (["blocks"], BLOCKS_CS.format(condition="true")),
-    "find_replace_blocks_ci": (["blocks"], r"""
-SELECT doc_id, page_num, block_no, CAST(len(regexp_extract_all(text, '(?i)of\s+the')) AS BIGINT) AS matches,
-  regexp_replace(text, '(?i)of\s+the', 'OF THE', 'g') AS new_text FROM blocks"""),
+    "find_replace_blocks_ci": (["blocks"], PAGES_CI.format(needle="of the", new="OF THE", text="text")),
+    "find_replace_pages": (["blocks"], "SELECT doc_id, page_num, CAST(sum(matches) AS BIGINT) AS matches FROM ("
+        + PAGES_CI.format(needle="\\. the", new="x", text="text") + ") GROUP BY doc_id, page_num"),
+    "page_scoped_replace_ci": (["blocks"], "SELECT doc_id, page_num, block_no, CASE WHEN page_num = 0 THEN new_text ELSE text END AS new_text, "
+        "CASE WHEN page_num = 0 THEN matches ELSE 0 END AS matches FROM ("
+        + PAGES_CI.format(needle="\\. the", new="$1", text="text") + ") JOIN blocks USING (doc_id, page_num, block_no)"),
+    "replace_page_phrases": (["blocks"], """
+SELECT b.doc_id, b.page_num, b.block_no, CASE WHEN b.doc_id % 3 = 0 THEN b.text ELSE p.new_text END AS new_text,
+  CASE WHEN b.doc_id % 3 = 0 THEN 0 ELSE p.matches + CAST((length(b.text) - length(replace(b.text, 'and', ''))) / 3 AS BIGINT) END AS matches
+FROM blocks b JOIN (""" + PAGES_CI.format(needle="\\. the", new="OT", text="replace(text, 'and', 'of')") + """) p
+ON b.doc_id = p.doc_id AND b.page_num = p.page_num AND b.block_no = p.block_no"""),
     "find_replace_blocks_outer_blank": (["blocks"], """
 SELECT doc_id, page_num, block_no, CAST(0 AS BIGINT) AS matches, text AS new_text FROM blocks"""),
     "replace_by_rule": (["first_rule"], """

@@ -442,6 +442,24 @@ def find_replace_blocks_ci(spark, sf):
     return replaced.select(BLOCKS_REPLACED)
 
 
+def find_replace_pages(spark, sf):
+    """Hits per page of two words that may stand in two blocks."""
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    return rep.page_totals(rep.find_replace_blocks(blocks, ". THE", "x", case_sensitive=False))
+
+
+def page_scoped_replace_ci(spark, sf):
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    replaced = rep.find_replace_blocks(blocks, ". the", "$1", case_sensitive=False, page=0)
+    return replaced.select(BLOCKS_REPLACED)
+
+
+def replace_page_phrases(spark, sf):
+    """Rules of two words, which may stand in two blocks, after one that writes one of them."""
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    return rep.replace_blocks_by_rule(blocks, fx.phrase_rules(spark, sf)).select(BLOCKS_REPLACED)
+
+
 def find_replace_blocks_outer_blank(spark, sf):
     blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
     return rep.find_replace_blocks(blocks, " the", "THE").select(BLOCKS_REPLACED)
@@ -670,7 +688,8 @@ QUERIES = {
         documents_newest_first, history_timeline, reconstruct_documents, reconstruct_pages,
         content_all, replace_body_and_tables, history_append,
         find_replace_cs, find_replace_ci, find_replace_blocks, find_replace_blocks_ci,
-        find_replace_blocks_outer_blank, replace_by_rule, replace_blocks_by_rule,
+        find_replace_blocks_outer_blank, find_replace_pages, page_scoped_replace_ci,
+        replace_page_phrases, replace_by_rule, replace_blocks_by_rule,
         find_replace_requests, rejected_rules, delete_text,
         cross_run_replace, apply_run_style, font_family_map, history_actions,
         parse_replace_command, strip_blocks, apply_commands, apply_commands_text,

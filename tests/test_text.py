@@ -193,3 +193,50 @@ def test_stack_of_each_document(table, rows):
     found = rep.edit_stack_by_document(docs, rules)
     assert rows(found, "doc_id", "text", "matches") == expected
     assert rows(rep.edit_stack_by_document(docs, rules.limit(0)), "text") == [("ab",)] * 3
+
+
+BLOCK_ROWS = "doc_id long, page_num long, block_no long, text string, kind string"
+
+
+def page(*texts, doc_id=1, page_num=0):
+    return [(doc_id, page_num, 10 * i, text, "clash") for i, text in enumerate(texts)]
+
+
+def test_hits_over_blocks_of_a_page_count_once(table, rows):
+    blocks = table(BLOCK_ROWS, *page("We sat on", "THE mat on the", "mat"), *page("on the", page_num=1))
+    found = rep.find_replace_blocks(blocks, "on the mat", "<$1>", case_sensitive=False)
+    assert rows(found, "page_num", "block_no", "new_text", "matches", "kind") == [
+        (0, 0, "We sat <$1>", 1, "clash"), (0, 10, " <$1>", 1, "clash"), (0, 20, "", 0, "clash"),
+        (1, 0, "on the", 0, "clash"),
+    ]
+    assert rows(rep.page_totals(found)) == [(1, 0, 2), (1, 1, 0)]
+    exact = rep.find_replace_blocks(blocks, "on THE mat", "x")
+    assert rows(exact.where("matches > 0"), "block_no") == []
+    one = rep.find_replace_blocks(blocks, "on the", "x", case_sensitive=False, page=1)
+    assert rows(one, "page_num", "block_no", "matches") == [(0, 0, 0), (0, 10, 0), (0, 20, 0), (1, 0, 1)]
+
+
+def test_characters_of_the_page_text_are_escaped(table, rows):
+    odd = "a\ue000b\ue001c\ue004d"
+    blocks = table(BLOCK_ROWS, *page(f"{odd} one", f"two {odd}", "one two"))
+    found = rep.find_replace_blocks(blocks, "d one two a\ue000B", odd, case_sensitive=False)
+    assert rows(found, "new_text", "matches") == sorted([
+        (f"a\ue000b\ue001c\ue004{odd}", 1), ("\ue001c\ue004d", 0), ("one two", 0),
+    ], key=repr)
+
+
+def test_rules_over_blocks_run_in_order(table, rows):
+    blocks = table(
+        BLOCK_ROWS, *page("red", "car", "red car"), *page("red", "car", doc_id=2), *page("red", "car", doc_id=3),
+    )
+    rules = table(
+        "doc_id long, seq long, find_text string, replace_text string, case_sensitive boolean, page long",
+        (1, 2, "Blue  CAR", "bus", False, None), (1, 1, "red", "blue", True, None),
+        (2, 1, "red car", "x", False, 7), (3, 1, "car", "x", True, None),
+    )
+    found = rep.replace_blocks_by_rule(blocks, rules)
+    assert rows(found, "doc_id", "block_no", "new_text", "matches") == [
+        (1, 0, "bus", 2), (1, 10, "", 0), (1, 20, "bus", 2),
+        (2, 0, "red", 0), (2, 10, "car", 0), (3, 0, "red", 0), (3, 10, "x", 1),
+    ]
+    assert rows(rep.matches_by_rule(found)) == [(1, 1, 2), (1, 2, 2), (3, 1, 1)]

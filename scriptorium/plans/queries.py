@@ -583,26 +583,33 @@ def upload_dates(spark, sf):
 # streaming
 
 
+ARRIVALS = 5
+
+
 def stream_latest_edits(spark, sf):
-    events = fx.table(spark, sf, "events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
+    """Edits arrive in several lots, the newest first, each after a restart of the stream."""
     folder = shared_folder(spark, "stream-edits")
-    stream_edits.stream_latest_edits(
-        fx.edits_of(stream), ed.PARAGRAPH, f"{folder}/latest", f"{folder}/progress"
-    )
-    return stream_edits.read_latest_edits(spark, ed.PARAGRAPH, f"{folder}/latest")
+    edits = fx.edits(spark, sf)
+    for lot in reversed(range(ARRIVALS)):
+        edits.where(F.col("seq") % ARRIVALS == lot).write.mode("append").parquet(f"{folder}/arriving")
+        stream = spark.readStream.schema(edits.schema).parquet(f"{folder}/arriving")
+        stream_edits.stream_latest_edits(stream, ed.PARAGRAPH, f"{folder}/latest", f"{folder}/progress")
+    return stream_edits.edits_in_state(spark, ed.PARAGRAPH, f"{folder}/progress")
 
 
 def stream_uploads(spark, sf):
+    """Uploads arrive in several lots, each after a restart; each lot repeats some of the last."""
     folder = shared_folder(spark, "stream-uploads")
-    arriving = fx.catalog(spark, sf)
-    arriving.write.parquet(f"{folder}/arriving")
-    stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/arriving")
-    stream_up.stream_uploads(stream, f"{folder}/catalog", f"{folder}/progress")
+    catalog = fx.catalog(spark, sf)
+    lot = F.col("doc_id") % ARRIVALS
+    again = catalog.where("doc_id % 4 < 2").withColumns(
+        {"seq": F.col("seq") - 10**9, "name": F.concat(F.lit("again-"), "name")}
+    )
+    for n in range(ARRIVALS):
+        arriving = catalog.where(lot == n).unionByName(again.where(lot == n - 1))
+        arriving.write.mode("append").parquet(f"{folder}/arriving")
+        stream = spark.readStream.schema(catalog.schema).parquet(f"{folder}/arriving")
+        stream_up.stream_uploads(stream, f"{folder}/catalog", f"{folder}/progress")
     return stream_up.read_uploads(spark, f"{folder}/catalog").select(
         "doc_id", "name", "file_type", "storage_path"
     )

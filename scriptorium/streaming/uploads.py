@@ -1,66 +1,48 @@
-"""Uploads gated and added to the catalog exactly once per document."""
+"""Uploads gated and added to the catalog exactly once per document.
+
+Which documents are known is the state of a streaming aggregate in Spark's RocksDB state store. A
+micro-batch reads its new files and the state of their documents, never the catalog, so what it reads
+does not grow with the documents there are.
+"""
 
 from pyspark.sql import functions as F
 
 from scriptorium.sources.uploads import accepted_uploads, storage_keys
-from scriptorium.streaming.edits import _run_available
-
-# folders a batch is cut into by document, so that a batch reads those it touches only
-BUCKETS = 16
+from scriptorium.streaming.edits import run_available
 
 
 def _first_per_document(uploads):
-    """First upload per ``doc_id``, combined before the exchange."""
-    fields = [c for c in uploads.columns if c not in ("doc_id", "seq")]
-    first = uploads.groupBy("doc_id").agg(
-        F.min("seq").alias("seq"), F.min_by(F.struct(*fields), "seq").alias("row")
-    )
-    return first.select("doc_id", "seq", "row.*")
-
-
-def _bucket():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-
+    """The upload of each ``doc_id`` that came first: in the earliest batch, then by ``seq``.
 
-def _catalog(spark, path, rows):
-    """The catalog so far, by schema and not by looking into files."""
-    schema = rows.select("*", F.lit(0).cast("long").alias("batch"), _bucket()).schema
-    return spark.read.schema(schema).parquet(path)
+    The time of a batch is written down before it runs and is the same if it runs again. Only
+    documents whose first upload is in the present batch go on.
+    """
+    now = F.current_timestamp()
+    fields = [c for c in uploads.columns if c != "doc_id"]
+    first = uploads.withColumn("_batch", now).groupBy("doc_id").agg(
+        F.min(F.struct("_batch", "seq", *(c for c in fields if c != "seq"))).alias("row")
+    )
+    return first.where(F.col("row._batch") == now).select("doc_id", *(f"row.{c}" for c in fields))
 
 
 def stream_uploads(uploads, path, checkpoint):
-    """Append accepted uploads of documents not yet in the catalog at ``path``.
+    """Append accepted uploads of documents not yet known to the catalog at ``path``.
 
-    A batch is compared with earlier batches only, in the buckets of its own documents;
-    running it again gives the same rows.
+    A batch writes its own folder ``batch=<id>``; running it again gives the same rows.
     """
     spark = uploads.sparkSession
     rows = storage_keys(accepted_uploads(uploads))
     empty = spark.createDataFrame([], rows.schema)
-    empty.write.mode("ignore").parquet(f"{path}/batch=-1/bucket=-1")
-
-    def write_batch(batch, batch_id):
-        placed = _first_per_document(batch).select("*", _bucket())
-        touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]
-        known = _catalog(batch.sparkSession, path, batch).where(
-            (F.col("batch") < batch_id) & F.col("bucket").isin(touched)
-        )
-        new = placed.join(known.select("doc_id"), "doc_id", "left_anti")
-        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{path}/batch={batch_id}"
-        )
-
-    _run_available(rows, checkpoint, write_batch)
+    empty.write.mode("ignore").parquet(f"{path}/batch=-1")
+    ordered = rows.select("doc_id", "seq", *(c for c in rows.columns if c not in ("doc_id", "seq")))
+    return run_available(_first_per_document(ordered), checkpoint, path, "update")
 
 
 def read_uploads(spark, path, schema=None):
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).drop("batch", "bucket")
+    return reader.parquet(path).drop("batch")
 
 
 def compact_uploads(spark, path, new_path):
     """Put all batches below ``path`` into one below ``new_path``, which must not exist."""
-    rows = read_uploads(spark, path).select("*", _bucket())
-    rows.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(
-        f"{new_path}/batch=-1"
-    )
+    read_uploads(spark, path).write.mode("errorifexists").parquet(f"{new_path}/batch=-1")

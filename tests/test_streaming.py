@@ -86,3 +86,40 @@ def test_compacted_uploads_are_the_same_catalog(spark, table, tmp_path):
     found = [stream_up.read_uploads(spark, p) for p in (path, str(tmp_path / "compact"))]
     assert sorted(found[0].collect()) == sorted(found[1].collect())
     assert sorted((r.doc_id, r.seq) for r in found[1].collect()) == [(1, 1), (2, 2), (3, 4)]
+
+
+def test_state_equals_batch_after_each_batch(spark, sf_dir, tmp_path):
+    edits = fx.edits(spark, sf_dir).cache()
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    come = edits.limit(0)
+    for lot in (4, 2, 0, 3, 1):  # out of order in seq
+        part = edits.where(f"seq % 5 = {lot}")
+        come = come.unionByName(part)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(edits.schema).parquet(str(tmp_path / "in"))
+        stream_edits.stream_latest_edits(stream, ed.PARAGRAPH, out, progress)  # a restart each
+        want = sorted(ed.latest_edits(come, ed.PARAGRAPH).collect())
+        state = stream_edits.edits_in_state(spark, ed.PARAGRAPH, progress)
+        assert sorted(state.collect()) == want  # one row of state per address
+        assert sorted(stream_edits.read_latest_edits(spark, ed.PARAGRAPH, out).collect()) == want
+    edits.unpersist()
+
+
+def test_uploads_read_no_more_as_the_catalog_grows(spark, table, tmp_path):
+    day = datetime.date(2024, 1, 1)
+    read = []
+    for batch in range(5):
+        new = [(batch * 100 + i, batch * 1000 + i, "a.pdf", 1, "me", day) for i in range(100)]
+        old = [(i, -1, "again.pdf", 1, "me", day) for i in range(batch * 100)][-20:]
+        table(UPLOADS, *new, *old).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream_up.stream_uploads(
+            spark.readStream.schema(UPLOADS).parquet(str(tmp_path / "in")),
+            str(tmp_path / "catalog"), str(tmp_path / "progress"),
+        )
+        done = [p for p in query.recentProgress if p["numInputRows"]]
+        assert [p["stateOperators"][0]["numRowsTotal"] for p in done] == [(batch + 1) * 100]
+        read.append(sum(p["numInputRows"] for p in done))
+    assert read == [100, 120, 120, 120, 120]  # the new files' rows, never the catalog's
+    found = stream_up.read_uploads(spark, str(tmp_path / "catalog")).collect()
+    assert sorted(r.doc_id for r in found) == list(range(500))
+    assert {r.name for r in found} == {"a.pdf"}

@@ -1,11 +1,18 @@
 """Preparing and judging training records: checks, class balance, splits, overlap scores."""
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import words
+from scriptorium.functions.text import strip_text, words
 from scriptorium.operators.ordinals import with_ordinal
 from scriptorium.operators.skew import look_up
 
+# task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROLES = ("system", "user", "assistant")
 # Share of records per split, in tenths.
 SPLITS = (("train", 8), ("validation", 1), ("test", 1))
@@ -18,24 +25,35 @@ def _hash_number(column, digits):
     return F.conv(F.substring(code, 1, digits), 16, 10).cast("long")
 
 
+def _record_code(role, text):
+    """Hash of role and text; the length of the role tells where it ends."""
+    size = F.coalesce(F.length(role), F.lit(-1)).cast("string")
+    return F.sha2(F.concat_ws(":", size, F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256)
+
+
 def validate_records(records, keys, known_roles=ROLES):
     """Add ``valid`` and ``reason`` to ``records(*keys, role, text)``.
 
-    A record without text, of an unknown role, or equal to an earlier one in role and text is
-    not valid. Equal records meet as hashes of their texts; first is the one with the least keys.
+    A record without text (nothing but white space of any kind), of an unknown role, or equal to an
+    earlier one in role and text is not valid. Equal records meet as hashes of their texts; first is
+    the one with the least keys, and of rows with equal keys one. Rows equal in all columns are
+    counted before they meet, however many they are.
     """
-    code = F.sha2(F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    coded = records.withColumn("_code", code)
-    first = coded.groupBy("_code").agg(F.min(F.struct(*keys)).alias("_first"))
+    columns = records.columns
+    coded = records.withColumn("_code", _record_code(F.col("role"), F.col("text")))
+    counted = coded.groupBy(*columns, "_code").agg(F.count("*").alias("_n")).withColumn(
+        "_place", F.struct(*keys, F.xxhash64(*columns).alias("_row"))
+    )
+    first = counted.groupBy("_code").agg(F.min("_place").alias("_first"))
+    met = look_up(counted, first, ["_code"], keys[-1])
+    numbered = met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     reason = (
-        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no_text")
+        F.when(F.coalesce(strip_text(F.col("text")), F.lit("")) == "", "no_text")
         .when(~F.coalesce(F.col("role").isin(*known_roles), F.lit(False)), "unknown_role")
-        .when(~F.struct(*keys).eqNullSafe(F.col("_first")), "duplicate")
+        .when(~F.col("_place").eqNullSafe(F.col("_first")) | (F.col("_copy") > 1), "duplicate")
         .otherwise("")
     )
-    return look_up(coded, first, ["_code"], keys[-1]).select(
-        *records.columns, reason.alias("reason"), (reason == "").alias("valid")
-    )
+    return numbered.select(*columns, reason.alias("reason"), (reason == "").alias("valid"))
 
 
 def label_balance(records, label):
@@ -70,26 +88,30 @@ def split_80_10_10(records, key):
     return records.withColumn("split", split)
 
 
-def _ngrams(text, n):
-    """Distinct n-grams of words, each with a number for its repeats, so that counts add up."""
+def _ngrams(words, n):
+    """All n-grams of a column of words."""
+    if n == 1:
+        return words
     grams = F.transform(
-        F.sequence(F.lit(0), F.size(text) - n),
-        lambda i: F.array_join(F.slice(text, i + 1, n), " "),
+        F.sequence(F.lit(0), F.size(words) - n),
+        lambda i: F.array_join(F.slice(words, i + 1, n), " "),
     )
-    return F.when(F.size(text) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def rouge_scores(pairs, keys, n=1):
     """Overlap of n-grams of ``candidate`` with those of ``reference``, for each keyed pair.
 
     ``(*keys, n_candidate, n_reference, n_common, f1)``; repeats count as often as both have
-    them. Grams are counted by pair and gram before anything is exchanged.
+    them. Texts are split into words once; grams are counted by pair and gram before anything is
+    exchanged.
     """
     sides = []
     for name, is_candidate in (("candidate", 1), ("reference", 0)):
-        grams = F.explode(_ngrams(words(F.coalesce(name, F.lit(""))), n)).alias("gram")
+        split = pairs.select(*keys, words(F.coalesce(name, F.lit(""))).alias("_words"))
+        grams = F.explode(_ngrams(F.col("_words"), n)).alias("gram")
         one, other = (F.lit(v).cast("long") for v in (is_candidate, 1 - is_candidate))
-        sides.append(pairs.select(*keys, grams, one.alias("c"), other.alias("r")))
+        sides.append(split.select(*keys, grams, one.alias("c"), other.alias("r")))
     by_gram = sides[0].unionByName(sides[1]).groupBy(*keys, "gram").agg(
         F.sum("c").alias("c"), F.sum("r").alias("r")
     )
@@ -99,9 +121,62 @@ def rouge_scores(pairs, keys, n=1):
     )
     listed = pairs.select(*keys).join(totals, keys, "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidate", "n_reference", "n_common")]
+    return listed.select(*keys, *counts).withColumn("f1", _f1())
+
+
+def _f1():
     size = F.col("n_candidate") + F.col("n_reference")
-    f1 = F.when(size > 0, F.round(2 * F.col("n_common") / size, 6)).otherwise(0.0)
-    return listed.select(*keys, *counts).withColumn("f1", f1)
+    return F.when(size > 0, F.round(2 * F.col("n_common") / size, 6)).otherwise(0.0)
+
+
+def longest_common(one, other):
+    """Length of the longest common subsequence, in space linear in the lengths.
+
+    A bit per word of ``one`` tells whether the row of the table of prefixes rises there; a word of
+    ``other`` turns a whole row into the next by one addition of long integers.
+    """
+    places = {}
+    for i, word in enumerate(one):
+        places.setdefault(word, []).append(i)
+    size = (len(one) + 8) // 8
+    masks = {}
+    for word in set(other) & places.keys():
+        bits = bytearray(size)
+        for i in places[word]:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[word] = int.from_bytes(bits, "little")
+    whole = (1 << len(one)) - 1
+    row = whole
+    for mask in filter(None, map(masks.get, other)):
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & whole
+    return len(one) - row.bit_count()
+
+
+def _common_lengths(keys):
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch["candidate"].to_pylist(), batch["reference"].to_pylist())
+            counts = [(len(c), len(r), longest_common(c, r)) for c, r in pairs]
+            columns = [pa.array([x[i] for x in counts], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *columns], [
+                *keys, "n_candidate", "n_reference", "n_common",
+            ])
+
+    return run
+
+
+def rouge_l_scores(pairs, keys):
+    """As ``rouge_scores``, by the longest common subsequence of words instead of n-grams.
+
+    A row of its own for each row of ``pairs``; nothing is exchanged.
+    """
+    sides = [words(F.coalesce(name, F.lit(""))).alias(name) for name in ("candidate", "reference")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
+    split = pairs.select(*keys, *sides)
+    return split.mapInArrow(
+        _common_lengths(keys), f"{kinds}, n_candidate long, n_reference long, n_common long"
+    ).withColumn("f1", _f1())
 
 
 def answer_pairs(turns):

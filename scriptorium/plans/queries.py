@@ -642,11 +642,15 @@ def _turns(spark, sf):
 
 
 def validate_records(spark, sf):
-    """Every seventh conversation has its assistants under a role that is not known."""
+    """Every seventh conversation has its assistants under a role that is not known, every eleventh
+    only blanks of several kinds, and every fifth comes twice.
+    """
     odd = (F.col("conv_id") % 7 == 0) & (F.col("role") == "assistant")
-    text = F.when(F.col("conv_id") % 11 == 0, F.lit("  ")).otherwise(F.col("text"))
+    blank = F.when(F.col("turn") % 2 == 0, F.lit("\t \u00a0")).otherwise(F.lit("\n\u2003"))
+    text = F.when(F.col("conv_id") % 11 == 0, blank).otherwise(F.col("text"))
     turns = _turns(spark, sf).withColumn("role", F.when(odd, "bot").otherwise(F.col("role")))
-    checked = datasets.validate_records(turns.withColumn("text", text), ["conv_id", "turn"])
+    turns = turns.unionAll(turns.where("conv_id % 5 = 0")).withColumn("text", text)
+    checked = datasets.validate_records(turns, ["conv_id", "turn"])
     return checked.select("conv_id", "turn", "valid", "reason")
 
 
@@ -679,6 +683,10 @@ def rouge_2_scores(spark, sf):
     return _rouge(spark, sf, 2)
 
 
+def rouge_l_scores(spark, sf):
+    return datasets.rouge_l_scores(datasets.answer_pairs(_turns(spark, sf)), ["conv_id", "turn"])
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -707,7 +715,7 @@ QUERIES = {
         content_requests, content_requests_text, style_requests, style_requests_runs,
         style_requests_stamps, style_requests_images, catalog_state,
         validate_records, label_balance, balanced_labels, split_80_10_10, rouge_scores,
-        rouge_2_scores,
+        rouge_2_scores, rouge_l_scores,
     )
 }
 # the survey's name for the operator

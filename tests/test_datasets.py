@@ -1,5 +1,11 @@
 """Checks, balance, splits and overlap scores of training records."""
 
+import random
+import time
+
+from hypothesis import given
+from hypothesis import strategies as st
+
 from scriptorium.operators import datasets
 from scriptorium.operators.keywords import word_counts
 
@@ -55,3 +61,58 @@ def test_pairs_are_neighbouring_turns_of_one_conversation(table, rows):
 def test_words_are_counted_by_document(table, rows):
     docs = table("doc_id long, text string", (1, "b a B ab a b"), (2, ""), (3, None), (4, "x"))
     assert rows(word_counts(docs)) == [(1, "a", 2), (1, "ab", 1), (1, "b", 3), (4, "x", 1)]
+
+
+def test_repeated_keys_blanks_and_line_feeds(table, rows):
+    records = table(
+        TURNS + ", _n string", *((*r, "clash") for r in (
+            (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"),
+            (2, 0, "user", "\t"), (2, 1, "user", "\u00a0\u2003\n"),
+            (3, 0, "a\nb", "c"), (3, 1, "a", "b\nc"), (4, 0, None, "x"), (4, 1, "", "x"),
+        )),
+    ).drop("_n")
+    found = datasets.validate_records(records, ["conv_id", "turn"], ("user", "a\nb", "a", ""))
+    assert rows(found, "conv_id", "turn", "text", "reason") == sorted([
+        (1, 0, "a", ""), (1, 0, "a", "duplicate"), (1, 0, "a", "duplicate"), (1, 0, "b", ""),
+        (2, 0, "\t", "no_text"), (2, 1, "\u00a0\u2003\n", "no_text"), (3, 0, "c", ""),
+        (3, 1, "b\nc", ""), (4, 0, "x", "unknown_role"), (4, 1, "x", ""),
+    ], key=repr)
+
+
+def test_rows_of_equal_keys_that_differ_elsewhere(table, rows):
+    records = table(TURNS + ", source string", *((1, 0, "user", "a", s) for s in ("p", "q", "q", "r")))
+    found = datasets.validate_records(records, ["conv_id", "turn"])
+    assert sorted(r.reason for r in found.collect()) == ["", "duplicate", "duplicate", "duplicate"]
+
+
+def by_table(one, other):
+    row = [0] * (len(one) + 1)
+    for word in other:
+        last = 0
+        for j, own in enumerate(one, 1):
+            last, row[j] = row[j], last + 1 if own == word else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=90), st.lists(st.sampled_from("abcde"), max_size=90))
+def test_longest_common_subsequence_equals_the_table(one, other):
+    assert datasets.longest_common(one, other) == by_table(one, other)
+
+
+def test_longest_common_subsequence_of_long_texts():
+    rng = random.Random(1)
+    one, other = ([f"w{rng.randrange(5000)}" for _ in range(50_000)] for _ in range(2))
+    start = time.time()
+    assert 0 < datasets.longest_common(one, other) < 50_000
+    assert datasets.longest_common(one, one) == 50_000
+    assert time.time() - start < 20
+
+
+def test_scores_by_longest_common_subsequence(table, rows):
+    pairs = table(
+        "id long, candidate string, reference string", (1, "The cat the cat", "the cat sat, cat"), (2, "", None),
+        (2, None, "a"),
+    )
+    assert rows(datasets.rouge_l_scores(pairs, ["id"])) == [
+        (1, 4, 4, 3, 0.75), (2, 0, 0, 0, 0.0), (2, 0, 1, 0, 0.0),
+    ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.audit import content_action
 from scriptorium.operators.history import history_append, upload_entries
 from scriptorium.session import spread
-from scriptorium.sources.content import content_paragraphs
+from scriptorium.sources.content import content_paragraphs, valid_blocks
 
 BLOCKS_PER_PAGE = 20
 
@@ -119,15 +119,40 @@ def edits(spark, sf_dir):
     return edits_of(table(spark, sf_dir, "events"))
 
 
+def boxed_blocks(spark, sf_dir):
+    """Blocks in four columns; those of two documents of three reach into the next column."""
+    no = F.col("block_no")
+    x, y = no % 4 * 150.0, F.floor(no / 4) * 40.0
+    box = F.array(x, y, x + 140 + F.col("doc_id") % 3 * 20, y + 30)
+    return valid_blocks(raw_blocks(spark, sf_dir)).withColumn("bbox", box)
+
+
+def region_edits(spark, sf_dir):
+    """Regions from a point to several columns wide; a fifth of them is empty."""
+    n = F.col("event_id")
+    x, y = (n * 37 % 600).cast("double"), (n * 53 % 220).cast("double")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), (n % 3).alias("page_num"), n.alias("seq"),
+        F.array(x, y, x + n % 5 * 60, y + 10 + n % 7 * 30).alias("bbox"),
+        F.when(n % 11 != 0, F.concat(F.lit("region edit "), n)).alias("text"),
+    )
+
+
 def accounts(spark, sf_dir):
     sources = table(spark, sf_dir, "documents").where(F.col("source") != "src3")
     return sources.select(F.col("source").alias("user_id")).distinct()
 
 
+def _known_ids(spark, sf_dir):
+    """Documents and a fifth as many; counted as part of the query that uses it."""
+    count = table(spark, sf_dir, "documents").select(F.count("*")).scalar()
+    return F.floor(count * 6 / 5).cast("long")
+
+
 def requests(spark, sf_dir):
     """Requests over all documents and a fifth as many unknown ids."""
     event_id = F.col("event_id")
-    doc_id = event_id * 7 % (table(spark, sf_dir, "documents").count() * 6 // 5)
+    doc_id = event_id * 7 % _known_ids(spark, sf_dir)
     owner = F.concat(F.lit("src"), doc_id % 20)
     other = F.concat(F.lit("src"), F.col("user_id") % 25)
     return table(spark, sf_dir, "events").select(
@@ -310,7 +335,7 @@ def save_requests(spark, sf_dir):
     """Saves of up to four items each, made from events."""
     save = F.floor(F.col("event_id") / 4).cast("long").alias("request_id")
     saved = table(spark, sf_dir, "events").select(save).distinct()
-    doc_id = F.col("request_id") * 7 % (table(spark, sf_dir, "documents").count() * 6 // 5)
+    doc_id = F.col("request_id") * 7 % _known_ids(spark, sf_dir)
     user = F.when(F.col("request_id") % 3 > 0, doc_no(doc_id, 20)).otherwise(doc_no(doc_id, 25))
     return saved.select("request_id", doc_id.alias("doc_id"), user.alias("user_id"))
 

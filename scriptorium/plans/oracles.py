@@ -324,6 +324,18 @@ SELECT doc_id, seq, reason = '' AS valid, reason FROM (
     WHEN c.file_type = 'pdf' AND p.page_num IS NULL THEN 'no_such_page' ELSE '' END AS reason
   FROM edits e LEFT JOIN catalog c ON e.doc_id = c.doc_id
   LEFT JOIN doc_pages p ON e.doc_id = p.doc_id AND e.page_num = p.page_num)"""),
+    "apply_region_edits": (["blocks"], """
+SELECT b.doc_id, b.page_num, b.block_no, coalesce(l.new_text, b.text) AS new_text, coalesce(l.new_text <> b.text, false) AS changed
+FROM blocks b LEFT JOIN (
+  SELECT k.doc_id, k.page_num, k.block_no, arg_max(e.text, e.seq) AS new_text
+  FROM (SELECT doc_id, page_num, block_no, block_no % 4 * 150 AS x0, block_no // 4 * 40 AS y0,
+    block_no % 4 * 150 + 140 + doc_id % 3 * 20 AS x1, block_no // 4 * 40 + 30 AS y1 FROM blocks) k
+  JOIN (SELECT user_id AS doc_id, event_id % 3 AS page_num, event_id AS seq, event_id * 37 % 600 AS x0, event_id * 53 % 220 AS y0,
+    event_id * 37 % 600 + event_id % 5 * 60 AS x1, event_id * 53 % 220 + 10 + event_id % 7 * 30 AS y1, concat('region edit ', event_id) AS text
+    FROM events WHERE event_id % 11 <> 0 AND event_id % 5 > 0) e
+  ON k.doc_id = e.doc_id AND k.page_num = e.page_num AND k.x0 < e.x1 AND e.x0 < k.x1 AND k.y0 < e.y1 AND e.y0 < k.y1
+  GROUP BY k.doc_id, k.page_num, k.block_no) l
+ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.block_no = l.block_no"""),
     "page_labels": (["doc_pages", "blocks"], """
 SELECT doc_id, page_num, concat('Page ', page_num + 1) AS label,
   CASE WHEN EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num) THEN '' ELSE 'This page appears to be blank.' END AS placeholder

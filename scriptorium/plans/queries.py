@@ -12,6 +12,7 @@ from scriptorium.operators import (
     images as img,
     keywords,
     reconstruct,
+    regions,
     replace as rep,
     style,
 )
@@ -179,6 +180,11 @@ def apply_block_edits(spark, sf):
     return edited.select("doc_id", "page_num", "block_no", "new_text", "changed")
 
 
+def apply_region_edits(spark, sf):
+    edited = regions.apply_region_edits(fx.boxed_blocks(spark, sf), fx.region_edits(spark, sf))
+    return edited.select("doc_id", "page_num", "block_no", "new_text", "changed")
+
+
 def edit_runs(spark, sf):
     edited = ed.apply_paragraph_edits(fx.paragraphs(spark, sf), fx.edits(spark, sf))
     return ed.edit_runs(fx.runs(spark, sf), edited).select(
@@ -694,7 +700,8 @@ QUERIES = {
         docx_binary_scan, text_file_scan, snapshot_write, export_text, storage_keys,
         list_owner_documents, document_listing, route_by_type, valid_block_filter, valid_edits,
         page_labels, page_scoped_replace,
-        resolve_requests, apply_paragraph_edits, apply_block_edits, edit_runs,
+        resolve_requests, apply_paragraph_edits, apply_block_edits,
+        apply_region_edits, edit_runs,
         image_replacements, image_replacements_distinct, new_accounts, known_documents,
         stamp_sections, stamp_pages,
         picture_counts, distinct_image_counts, replaced_totals, edits_by_page, page_stats,

@@ -10,6 +10,7 @@ from scriptorium.operators import (
     evaluate,
     history as hist,
     images as img,
+    keyphrases,
     keywords,
     reconstruct,
     regions,
@@ -629,6 +630,10 @@ def keyword_topk(spark, sf):
     return top.withColumn("rank", F.col("rank").cast("long"))
 
 
+def key_phrases(spark, sf):
+    return keyphrases.key_phrases(fx.documents(spark, sf))
+
+
 def slot_exact_match(spark, sf):
     return evaluate.slot_exact_match(fx.commands(spark, sf))
 
@@ -718,7 +723,7 @@ QUERIES = {
         edit_stack,
         edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
-        keyword_topk, slot_exact_match, style_preservation,
+        keyword_topk, key_phrases, slot_exact_match, style_preservation,
         content_requests, content_requests_text, style_requests, style_requests_runs,
         style_requests_stamps, style_requests_images, catalog_state,
         validate_records, label_balance, balanced_labels, split_80_10_10, rouge_scores,

@@ -18,8 +18,12 @@ def test_query_equals_sql(name, spark, sf_dir, connection):
     assert compare(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) > 0
 
 
+# phrases are chosen one after the other by edit distance: compared with plain Python instead
+WITHOUT_SQL = {"key_phrases"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | WITHOUT_SQL
 
 
 def test_entry(spark):

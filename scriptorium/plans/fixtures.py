@@ -247,6 +247,39 @@ def commands(spark, sf_dir):
     )
 
 
+def prompts(spark, sf_dir):
+    """A prompt per user's turn, of six kinds by number, with its slots; others are plain texts."""
+    user_turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    command_id = F.col("conv_id") * 1000 + F.col("turn")
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    page, size = F.col("conv_id") % 3 + 1, F.col("turn") + F.lit(8.5)
+    new = F.concat(word, F.lit("_new"))
+
+    def text(*parts):
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+    none = F.lit(None)
+    kinds = (
+        (text('Replace "', word, '" with "', new, '" on page ', page, "."), "replace_text", word, new, page, none, none, none),
+        (text("Delete the word ", word), "delete_text", word, none, none, none, none, none),
+        (text("Set the font to Courier New ", size, " pt"), "change_font", none, none, none, F.lit("Courier New"), size, none),
+        (text("make the  font size ", size, " on page ", page), "change_font", none, none, page, none, size, none),
+        (text("Align the text to the right!"), "align_text", none, none, none, none, none, F.lit("right")),
+        (text("On page ", page, ", change ", word, " to ", new), "replace_text", word, new, page, none, none, none),
+    )
+    kind = F.when(word != "", (F.col("conv_id") + F.col("turn")) % (len(kinds) + 1))
+    names = ("action", "old_text", "new_text", "page", "font_name", "font_size", "alignment")
+    types = ("string", "string", "string", "long", "string", "double", "string")
+    columns = []
+    for i, (name, cast) in enumerate(zip(("prompt", *names), ("string", *types))):
+        value = F.col("text") if name == "prompt" else F.lit(None).cast(cast)
+        for number, slots in enumerate(kinds):
+            own = F.lit(slots[i]) if isinstance(slots[i], str) else slots[i]
+            value = F.when(kind == number, own.cast(cast)).otherwise(value)
+        columns.append(value.alias(name if name == "prompt" else f"gold_{name}"))
+    return user_turns.select(command_id.alias("command_id"), F.col("conv_id").alias("doc_id"), *columns)
+
+
 def rule_columns(doc_id):
     return (
         _case(doc_id, "the", "que", "$", "en", "").alias("find_text"),

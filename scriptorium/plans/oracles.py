@@ -96,6 +96,11 @@ SELECT conv_id * 1000 + turn AS command_id, conv_id AS doc_id, f, r, conv_id % 3
   CASE WHEN conv_id % 3 = 0 THEN text ELSE concat('Replace "', f, '" with "', r, '".') END AS prompt
 FROM (SELECT conv_id, turn, text, regexp_extract(text, '([A-Za-z]+)', 1) AS f, concat(regexp_extract(text, '([A-Za-z]+)', 1), '_new') AS r
       FROM conversations WHERE role = 'user') t""",
+    "prompts": """
+SELECT conv_id * 1000 + turn AS command_id, conv_id AS doc_id, f, kind, page, size FROM (
+  SELECT *, CASE WHEN f <> '' THEN (conv_id + turn) % 7 ELSE 6 END AS kind FROM (
+    SELECT conv_id, turn, regexp_extract(text, '([A-Za-z]+)', 1) AS f, conv_id % 3 + 1 AS page, CAST(turn + 8.5 AS DOUBLE) AS size
+    FROM conversations WHERE role = 'user'))""",
     "slots": r"""
 SELECT *, trim(regexp_extract(trim(prompt), pattern, 1)) AS find_text, trim(regexp_extract(trim(prompt), pattern, 2)) AS replace_text
 FROM (SELECT *, '(?i)^replace\s+(?:the\s+)?["''“”]?([^"''“”]+?)["''“”]?\s+(?:with|by|to)\s+["''“”]?([^"''“”]+?)["''“”]?\.?\s*\z' AS pattern FROM commands)""",
@@ -210,6 +215,7 @@ NEEDS = {
     "styled_runs": ["runs", "style_patches"],
     "slots": ["commands"],
     "parsed": ["slots"],
+    "prompts": [],
     "history": ["catalog"],
     "totals": ["paragraphs"],
     "counted_edits": ["edits", "edited"],
@@ -336,6 +342,37 @@ FROM blocks b LEFT JOIN (
   ON k.doc_id = e.doc_id AND k.page_num = e.page_num AND k.x0 < e.x1 AND e.x0 < k.x1 AND k.y0 < e.y1 AND e.y0 < k.y1
   GROUP BY k.doc_id, k.page_num, k.block_no) l
 ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.block_no = l.block_no"""),
+    "prompt_slots": (["prompts"], """
+SELECT command_id, ['replace_text', 'delete_text', 'change_font', 'change_font', 'align_text', 'replace_text', ''][kind + 1] AS action,
+  CASE WHEN kind IN (0, 1, 5) THEN f ELSE '' END AS old_text, CASE WHEN kind IN (0, 5) THEN concat(f, '_new') ELSE '' END AS new_text,
+  CASE WHEN kind IN (0, 3, 5) THEN page ELSE 0 END AS page, CASE WHEN kind = 2 THEN 'Courier New' ELSE '' END AS font_name,
+  CASE WHEN kind IN (2, 3) THEN size ELSE 0.0::DOUBLE END AS font_size, CASE WHEN kind = 4 THEN 'right' ELSE '' END AS alignment
+FROM prompts"""),
+    "slot_accuracy": (["prompts"], """
+SELECT unnest(['action', 'old_text', 'new_text', 'page', 'font_name', 'font_size', 'alignment']) AS slot,
+  count(*) AS n_prompts, count(*) AS n_exact, 1.0::DOUBLE AS share FROM prompts"""),
+    "prompt_fonts": (["prompts", "runs"], """
+SELECT r.doc_id, r.scope, r.idx, r.run_no, coalesce(CASE WHEN r.scope <> 'header' AND s.font THEN 'Courier New' ELSE r.font_name END, '') AS font_name,
+  coalesce(CASE WHEN r.scope <> 'header' AND s.font THEN s.size ELSE r.font_size END, 0.0) AS font_size
+FROM runs r LEFT JOIN (SELECT doc_id, true AS font, arg_max(size, command_id) AS size FROM prompts WHERE kind = 2 GROUP BY doc_id) s ON r.doc_id = s.doc_id"""),
+    "apply_prompts": (["prompts", "catalog", "paragraphs", "blocks"], """
+SELECT command_id, doc_id, CAST(sum(n) AS BIGINT) AS matches FROM (
+  SELECT command_id, doc_id, 0 AS n FROM prompts WHERE kind IN (0, 1, 5)
+  UNION ALL SELECT command_id, doc_id, n FROM (
+    WITH RECURSIVE rules AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY command_id) AS step, CASE WHEN kind = 1 THEN '' ELSE concat(f, '_new') END AS new
+      FROM prompts WHERE kind IN (0, 1, 5)
+    ), contents AS (
+      SELECT doc_id, 'p' || scope || idx AS place, CAST(NULL AS BIGINT) AS page, text FROM paragraphs WHERE scope IN ('body', 'table')
+      UNION ALL SELECT doc_id, 'b' || page_num || '-' || block_no, page_num + 1, text FROM blocks
+    ), steps AS (
+      SELECT doc_id, place, page, text, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS command_id, CAST(0 AS BIGINT) AS n FROM contents
+      UNION ALL
+      SELECT s.doc_id, s.place, s.page, CASE WHEN hit THEN regexp_replace(s.text, '(?i)' || s.f, s.new, 'g') ELSE s.text END,
+        s.step + 1, s.rule_id, CASE WHEN hit THEN CAST(len(regexp_extract_all(s.text, '(?i)' || s.f)) AS BIGINT) ELSE 0 END
+      FROM (SELECT c.*, r.f, r.new, r.command_id AS rule_id, coalesce(r.kind = 1 OR r.page = c.page, false) AS hit
+        FROM steps c JOIN rules r ON c.doc_id = r.doc_id AND r.step = c.step + 1) s
+    ) SELECT * FROM steps WHERE command_id IS NOT NULL)) GROUP BY command_id, doc_id"""),
     "page_labels": (["doc_pages", "blocks"], """
 SELECT doc_id, page_num, concat('Page ', page_num + 1) AS label,
   CASE WHEN EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_num = p.page_num) THEN '' ELSE 'This page appears to be blank.' END AS placeholder

@@ -13,6 +13,7 @@ from scriptorium.operators import (
     keyphrases,
     keywords,
     reconstruct,
+    prompts,
     regions,
     replace as rep,
     style,
@@ -634,6 +635,34 @@ def key_phrases(spark, sf):
     return keyphrases.key_phrases(fx.documents(spark, sf))
 
 
+def prompt_slots(spark, sf):
+    parsed = prompts.parsed_prompts(fx.prompts(spark, sf))
+    shown = {"page": F.lit(0).cast("long"), "font_size": F.lit(0.0)}
+    return parsed.select("command_id", *(
+        F.coalesce(name, shown.get(name, F.lit(""))).alias(name) for name in prompts.SLOT_NAMES
+    ))
+
+
+def slot_accuracy(spark, sf):
+    return prompts.slot_accuracy(fx.prompts(spark, sf))
+
+
+def _prompted(spark, sf):
+    blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
+    return prompts.apply_prompts(
+        fx.paragraphs(spark, sf), blocks, fx.runs(spark, sf), fx.prompts(spark, sf)
+    )
+
+
+def apply_prompts(spark, sf):
+    """Matches of the replacing and deleting prompts, those of one page and of whole documents."""
+    return _prompted(spark, sf)[3]
+
+
+def prompt_fonts(spark, sf):
+    return _fonts_shown(_prompted(spark, sf)[2])
+
+
 def slot_exact_match(spark, sf):
     return evaluate.slot_exact_match(fx.commands(spark, sf))
 
@@ -723,7 +752,8 @@ QUERIES = {
         edit_stack,
         edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
-        keyword_topk, key_phrases, slot_exact_match, style_preservation,
+        keyword_topk, key_phrases, prompt_slots, slot_accuracy, apply_prompts, prompt_fonts,
+        slot_exact_match, style_preservation,
         content_requests, content_requests_text, style_requests, style_requests_runs,
         style_requests_stamps, style_requests_images, catalog_state,
         validate_records, label_balance, balanced_labels, split_80_10_10, rouge_scores,

@@ -1,5 +1,10 @@
 """Counted find and replace over paragraphs, blocks, runs and whole documents."""
 
+import sys
+from bisect import bisect_right
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from scriptorium.functions.commands import parse_replace_command
@@ -23,6 +28,9 @@ from scriptorium.functions.text import (
     without_marks,
 )
 
+# task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BODY_AND_TABLES = ["body", "table"]
 
 
@@ -335,14 +343,21 @@ def with_new_texts(runs, changed):
     return both.select(*PARAGRAPH_KEYS, *added, F.inline(shown)).select(*runs.columns, *added)
 
 
-def edit_stack(docs, rules):
+# rules up to here become one projection each; more go through one pass over each text
+FEW_RULES = 32
+
+
+def edit_stack(docs, rules, few=FEW_RULES):
     """Apply ``rules``, a list of ``(find_text, replace_text)``, one after the other.
 
-    Every rule sees the result of the one before. ``matches`` is the total. The list is
-    part of the query text, one projection each, and costs no extra job or exchange.
+    Every rule sees the result of the one before. ``matches`` is the total. Nothing is exchanged and
+    no job runs ahead. The plan of thousands of rules is as small as that of one: an Aho-Corasick
+    automaton tells in one pass over a text which rules can touch it, and only those are run.
     """
     for find_text, _ in rules:
         require_needle(find_text)
+    if len(rules) > few:
+        return _many_rules(docs, rules)
     current = docs.withColumn("matches", F.lit(0).cast("long"))
     for find_text, replace_text in rules:
         hits = count_exact(F.col("text"), find_text)
@@ -355,6 +370,58 @@ def edit_stack(docs, rules):
     return current
 
 
+def _many_rules(docs, rules):
+    columns = [c for c in docs.columns if c != "matches"]
+    docs = docs.select(*columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches):
+        automaton = rule_automaton(rules)
+        for batch in batches:
+            done = [fold_rules(text, rules, automaton) for text in batch["text"].to_pylist()]
+            texts = pa.array([text for text, _ in done], pa.string())
+            own = [texts if c == "text" else batch[c] for c in columns]
+            matches = pa.array([n for _, n in done], pa.int64())
+            yield pa.RecordBatch.from_arrays([*own, matches], [*columns, "matches"])
+
+    return docs.mapInArrow(run, f"{kinds}, matches long")
+
+
+def rule_automaton(rules):
+    """Automaton of all needles; each tells the numbers of its rules, rising."""
+    import ahocorasick
+
+    numbers = {}
+    for number, (find_text, _) in enumerate(rules):
+        numbers.setdefault(find_text, []).append(number)
+    automaton = ahocorasick.Automaton()
+    for find_text, own in numbers.items():
+        automaton.add_word(find_text, own)
+    automaton.make_automaton()
+    return automaton
+
+
+def fold_rules(text, rules, automaton):
+    """``(text, matches)`` after all rules in order.
+
+    The next rule to run is the first after the last one whose needle the text has now; a text that
+    was changed is read anew, since it may have other needles than before.
+    """
+    if text is None:
+        return None, None
+    matches, last = 0, -1
+    while True:
+        present = sorted({
+            n for _, own in automaton.iter(text) for n in own[bisect_right(own, last):]
+        })
+        if not present:
+            return text, matches
+        last = present[0]
+        find_text, replace_text = rules[last]
+        matches += text.count(find_text)
+        text = text.replace(find_text, replace_text)
+
+
 def edit_stack_by_document(docs, rules):
     """Apply to every document its own ``rules(doc_id, seq, find_text, replace_text,
     case_sensitive)`` in ``seq`` order, each on the result of the one before.

@@ -580,6 +580,13 @@ def edit_stack(spark, sf):
     return rep.edit_stack(fx.documents(spark, sf), STACK)
 
 
+def edit_stack_many(spark, sf):
+    """Thousands of rules: some on words of the texts, each on what the one before wrote."""
+    words = [(f"zq{i}zq", "never there") for i in range(5000)]
+    words[100:100], words[2000:2000], words[4000:4000] = [[rule] for rule in STACK]
+    return rep.edit_stack(fx.documents(spark, sf), words)
+
+
 def edit_stack_by_document(spark, sf):
     return rep.edit_stack_by_document(fx.documents(spark, sf), fx.stack_rules(spark, sf))
 
@@ -749,7 +756,7 @@ QUERIES = {
         find_replace_requests, rejected_rules, delete_text,
         cross_run_replace, apply_run_style, font_family_map, history_actions,
         parse_replace_command, strip_blocks, apply_commands, apply_commands_text,
-        edit_stack,
+        edit_stack, edit_stack_many,
         edit_stack_by_document, upload_dates,
         stream_latest_edits, stream_uploads,
         keyword_topk, key_phrases, prompt_slots, slot_accuracy, apply_prompts, prompt_fonts,

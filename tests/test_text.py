@@ -1,5 +1,6 @@
 """Text functions on the edge cases the supplied tables do not contain."""
 
+import random
 import re
 
 import pytest
@@ -240,3 +241,32 @@ def test_rules_over_blocks_run_in_order(table, rows):
         (2, 0, "red", 0), (2, 10, "car", 0), (3, 0, "red", 0), (3, 10, "x", 1),
     ]
     assert rows(rep.matches_by_rule(found)) == [(1, 1, 2), (1, 2, 2), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_many_rules_equal_the_plain_loop(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(60)]
+    # no replacement is longer than its needle, or texts would double with every rule
+    rules = [(find, rng.choice([*words, ""])[: len(find)]) for find in rng.choices(words, k=400)]
+    automaton = rep.rule_automaton(rules)
+    for _ in range(20):
+        text = "".join(rng.choices("abcd ", k=rng.randrange(60)))
+        want, matches = text, 0
+        for find_text, replace_text in rules:
+            matches += want.count(find_text)
+            want = want.replace(find_text, replace_text)
+        assert rep.fold_rules(text, rules, automaton) == (want, matches)
+
+
+def test_plans_of_many_rules_are_small(table, rows):
+    docs = table("doc_id long, text string, matches string", *(
+        (*row, "clash") for row in ((1, "the end of the the"), (2, None), (3, ""), (4, "é x77x"))
+    ))
+    rules = [(f"x{i}x", f"y{i}") for i in range(5000)] + [("y77", "é"), ("the", "THE"), ("THE end", "fin")]
+    found = rep.edit_stack(docs, rules)
+    assert rows(found) == [(1, "fin of THE THE", 4), (2, None, None), (3, "", 0), (4, "é é", 2)]
+    few = rep.edit_stack(docs.drop("matches"), rules[-3:])
+    assert rows(few.where("doc_id = 1")) == [(1, "fin of THE THE", 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2000

@@ -78,14 +78,16 @@ def _page_profile(text, find_text, replace_text, case_sensitive):
 PAGE_KEYS = ["doc_id", "page_num"]
 
 
-def _pages(blocks):
+def _pages(blocks, *more, **added):
     """One row per page: ``text``, its blocks in order and joined, and the rows of the blocks.
 
-    A page is one value of one row, as it is one page of its document.
+    A page is one value of one row, as it is one page of its document. ``more`` keys part pages
+    further; of ``added`` columns, equal in a page, one value is kept.
     """
-    others = [c for c in blocks.columns if c not in [*PAGE_KEYS, "block_no"]]
-    return blocks.groupBy(*PAGE_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("block_no", *others))).alias("_blocks")
+    others = [c for c in blocks.columns if c not in [*PAGE_KEYS, "block_no", *more, *added]]
+    return blocks.groupBy(*PAGE_KEYS, *more).agg(
+        F.array_sort(F.collect_list(F.struct("block_no", *others))).alias("_blocks"),
+        *(F.any_value(column).alias(name) for name, column in added.items()),
     ).withColumn(
         "text", F.array_join(F.transform("_blocks", lambda b: escaped(b["text"])), BLOCK_END, "")
     )
@@ -223,21 +225,20 @@ def replace_by_rule(paragraphs, rules):
 def replace_blocks_by_rule(blocks, rules):
     """The page profile of rules in order; a rule's ``page``, if any, limits it.
 
-    Pages are put together only in documents with a rule whose hits may span blocks.
+    Blocks and rules meet by document, where they are put together as well: to whole pages in
+    documents with a rule whose hits may span blocks, each block by itself in others.
     """
-    spanning = rules.where(
-        _can_run() & _spans_blocks(F.col("find_text"), F.coalesce("case_sensitive", F.lit(True)))
-    ).select("doc_id").distinct()
-    apart = blocks.join(spanning, "doc_id", "left_anti").select(*blocks.columns)
-    whole = blocks.join(spanning, "doc_id", "left_semi").select(*blocks.columns)
-    return _folded(apart, rules, _page_profile).unionByName(_folded_pages(whole, rules))
+    joined = blocks.join(_stacks(rules), "doc_id", "left")
+    spans = F.exists("_stack", lambda rule: _spans_blocks(rule["find_text"], rule["exact"]))
+    alone = F.when(~F.coalesce(spans, F.lit(False)), F.col("block_no"))
+    return _folded_pages(joined.withColumn("_alone", alone), blocks.columns)
 
 
 PAGE_MATCHES = "array<struct<seq:bigint,counts:array<bigint>>>"
 
 
-def _folded_pages(blocks, rules):
-    """As ``_folded``, over whole pages."""
+def _folded_pages(joined, columns):
+    """As ``_folded``, over the blocks of a page with the same ``_alone``."""
     def step(state, rule):
         find, new, page = rule["find_text"], rule["replace_text"], state["text"]
         exact = replace_exact(page, escaped(find), F.concat(F.lit(HIT), escaped(new)))
@@ -256,8 +257,8 @@ def _folded_pages(blocks, rules):
         )
 
     start = F.struct(F.col("text").alias("text"), F.array().cast(PAGE_MATCHES).alias("hits"))
-    folded = _pages(blocks).join(_stacks(rules), "doc_id").withColumn(
-        "_state", F.aggregate("_stack", start, step)
+    folded = _pages(joined, "_alone", _stack=F.col("_stack")).withColumn(
+        "_state", F.when(F.col("_stack").isNull(), start).otherwise(F.aggregate("_stack", start, step))
     )
     rows = folded.select(
         *PAGE_KEYS, F.col("_state.hits").alias("_hits"),
@@ -271,7 +272,7 @@ def _folded_pages(blocks, rules):
     return rows.select(
         *PAGE_KEYS, "_row._blocks.*", unescaped(F.col("_row._new")).alias("new_text"),
         total.alias("matches"), "rule_matches",
-    ).select(*blocks.columns, "new_text", "matches", "rule_matches")
+    ).select(*columns, "new_text", "matches", "rule_matches")
 
 
 def matches_by_rule(*replaced):

@@ -32,8 +32,28 @@ def quoted_replacement(value):
     return F.replace(escaped, F.lit("$"), F.lit("\\$"))
 
 
+# Letters whose other case a JVM with the Unicode tables of 2020 does not fold, each
+# with its partner at the same place below.
+UNFOLDED = (
+    "\u00df\u0390\u03b0\u2c2f\ua7c0\ua7d0\ua7d6\ua7d8\ufb05"
+    + "".join(map(chr, (c for c in range(0x10570, 0x10596) if c not in (0x1057B, 0x1058B, 0x10593))))
+)
+PARTNERS = (
+    "\u1e9e\u1fd3\u1fe3\u2c5f\ua7c1\ua7d1\ua7d7\ua7d9\ufb06"
+    + "".join(chr(ord(c) + 0x27) for c in UNFOLDED[9:])
+)
+
+
 def _caseless(needle):
-    return F.concat(F.lit("(?iu)"), quoted_pattern(needle))
+    """Pattern of a caseless search; letters that the JVM does not fold match their partner too."""
+    quoted = quoted_pattern(needle)
+    partner = lambda c: F.translate(c, UNFOLDED + PARTNERS, PARTNERS + UNFOLDED)
+    either = F.transform(
+        F.split(quoted, ""),
+        lambda c: F.when(partner(c) == c, c).otherwise(F.concat(F.lit("\\E["), c, partner(c), F.lit("]\\Q"))),
+    )
+    spliced = F.when(partner(quoted) == quoted, quoted).otherwise(F.array_join(either, ""))
+    return F.concat(F.lit("(?iu)"), spliced)
 
 
 def count_exact(text, find_text):

@@ -462,6 +462,10 @@ UNION ALL SELECT doc_id, 3, '2024-02-01', concat('Find & Replace: ''the'' -> ''T
     "find_replace_ci": (["paragraphs"], r"""
 SELECT doc_id, scope, idx, CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS matches,
   regexp_replace(text, '(?i)the', '$1\\', 'g') AS new_text FROM paragraphs"""),
+    "find_replace_sharp_s": (["paragraphs"], r"""
+SELECT doc_id, scope, idx, CAST(len(regexp_extract_all(text, '[ßẞ]')) AS BIGINT) AS matches,
+  regexp_replace(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'ß', 'ẞ') ELSE text END, '[ßẞ]', 'ss', 'g') AS new_text
+FROM paragraphs"""),
     "find_replace_blocks": (["blocks"], BLOCKS_CS.format(condition="true")),
     "find_replace_blocks_ci": (["blocks"], PAGES_CI.format(needle="of the", new="OF THE", text="text")),
     "find_replace_pages": (["blocks"], "SELECT doc_id, page_num, CAST(sum(matches) AS BIGINT) AS matches FROM ("

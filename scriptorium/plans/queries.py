@@ -439,6 +439,14 @@ def find_replace_ci(spark, sf):
     return replaced.select(REPLACED)
 
 
+def find_replace_sharp_s(spark, sf):
+    """Sharp s in both cases, every second document written with the capital one."""
+    paragraphs = fx.paragraphs(spark, sf).withColumn(
+        "text", F.when(F.col("doc_id") % 2 == 0, F.translate("text", "ß", "ẞ")).otherwise(F.col("text"))
+    )
+    return rep.find_replace(paragraphs, "ß", "ss", case_sensitive=False).select(REPLACED)
+
+
 def find_replace_blocks(spark, sf):
     blocks = content.valid_blocks(fx.raw_blocks(spark, sf))
     return rep.find_replace_blocks(blocks, "the", "THE").select(BLOCKS_REPLACED)
@@ -750,8 +758,8 @@ QUERIES = {
         page_ordinals, picture_ordinals, image_ordinals, latest_edits, latest_block_edits,
         documents_newest_first, history_timeline, reconstruct_documents, reconstruct_pages,
         content_all, replace_body_and_tables, history_append,
-        find_replace_cs, find_replace_ci, find_replace_blocks, find_replace_blocks_ci,
-        find_replace_blocks_outer_blank, find_replace_pages, page_scoped_replace_ci,
+        find_replace_cs, find_replace_ci, find_replace_sharp_s,
+        find_replace_blocks, find_replace_blocks_ci, find_replace_blocks_outer_blank, find_replace_pages, page_scoped_replace_ci,
         replace_page_phrases, replace_by_rule, replace_blocks_by_rule,
         find_replace_requests, rejected_rules, delete_text,
         cross_run_replace, apply_run_style, font_family_map, history_actions,

@@ -17,6 +17,7 @@ doc_id each get the edits of that id. An empty table gives an empty one.
 """
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,12 @@ def encoder(content):
 
 def safe(text, at):
     """No pre-token of ``text`` crosses ``at``, whatever stands further left or right."""
-    return (
-        0 < at < len(text) - 1 and text[at] == " "
-        and text[at - 1].isalnum() and text[at + 1].isalnum()
-    )
+    return at > 0 and border(text[at - 1 : at + 2])
+
+
+def border(around):
+    """``safe`` for the three characters around a place; fewer stand at an end of the text."""
+    return len(around) == 3 and around[1] == " " and around[0].isalnum() and around[2].isalnum()
 
 
 def cut(text, leaf=LEAF):
@@ -81,8 +84,11 @@ class Tree:
 
     def __init__(self, text, chars, tokens, count):
         self.width = 1 << max(0, len(chars) - 1).bit_length()
-        self.text, self.count = text, count
-        self.encoded = 0
+        ends = np.cumsum(chars).tolist()
+        # each leaf keeps its own piece of the text, so an edit copies no more than it touches
+        self.own = [text[e - n : e] for n, e in zip(chars, ends)]
+        self.own += [""] * (self.width - len(self.own))
+        self.count, self.encoded = count, 0
         self.chars, self.tokens = self._sums(chars), self._sums(tokens)
 
     def _sums(self, leaves):
@@ -91,6 +97,10 @@ class Tree:
             node[i] = node[2 * i] + node[2 * i + 1]
         return node
 
+    @property
+    def text(self):
+        return "".join(self.own)
+
     def leaves(self):
         return self.chars[self.width :], self.tokens[self.width :]
 
@@ -113,26 +123,39 @@ class Tree:
             self.tokens[node] += add_tokens
             node //= 2
 
+    def peek(self, at, n):
+        """Up to ``n`` characters from ``at`` on."""
+        out = ""
+        while len(out) < n and 0 <= at + len(out) < self.chars[1]:
+            leaf, begin = self.find(at + len(out))
+            skip = at + len(out) - begin
+            out += self.own[leaf][skip : skip + n - len(out)]
+        return out
+
     def edit(self, start, end, replacement):
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
+        whole = self.chars[1]
+        start = min(max(start, 0), whole)
+        end = min(max(end, start), whole)
         first, begin = self.find(start)
         last, last_begin = self.find(max(end - 1, start))
         stop = last_begin + self.chars[last + self.width]
-        text = self.text[:start] + replacement + self.text[end:]
-        stop += len(replacement) - (end - start)
+        old = "".join(self.own[first : last + 1])
+        text = old[: start - begin] + replacement + old[end - begin :]
         # boundary context: a border that is no longer safe takes the neighbour in
-        while begin > 0 and not safe(text, begin):
+        while begin > 0 and not border(self.peek(begin - 1, 1) + (text[:2] + self.peek(stop, 2))[:2]):
             first, begin = self.find(begin - 1)
-        while stop < len(text) and not safe(text, stop):
-            last, at = self.find(stop - len(replacement) + (end - start))
-            stop = at + self.chars[last + self.width] + len(replacement) - (end - start)
-        self.text = text
+            text = self.own[first] + text
+        while stop < whole and not border((text or self.peek(begin - 1, 1))[-1:] + self.peek(stop, 2)):
+            last, at = self.find(stop)
+            text += self.own[last]
+            stop = at + self.chars[last + self.width]
         for leaf in range(first + 1, last + 1):
             if self.chars[leaf + self.width]:
+                self.own[leaf] = ""
                 self._set(leaf, 0, 0)
-        self.encoded += stop - begin
-        self._set(first, stop - begin, self.count(text[begin:stop]))
+        self.own[first] = text
+        self.encoded += len(text)
+        self._set(first, len(text), self.count(text))
 
 
 TREES = f"doc_id long, text string, edits array<{EDIT}>, chars array<int>, tokens array<int>"
@@ -223,20 +246,21 @@ def with_edits(docs, edits):
 
 
 def private_edits(text):
-    """Edits that mask personal data and secrets, from left to right."""
-    found = F.regexp_extract_all(text, F.lit(PRIVATE), F.lit(0))
-    gaps = F.split(text, PRIVATE, -1)
-    size = lambda column, n: F.aggregate(
-        F.slice(column, 1, n), F.lit(0), lambda total, x: total + F.length(x)
-    )
-    edits = F.transform(
-        found,
-        lambda x, i: F.struct(
-            (size(gaps, i + 1) + i * len(MASK)).alias("start"),
-            (size(gaps, i + 1) + i * len(MASK) + F.length(x)).alias("end"), F.lit(MASK).alias("text"),
-        ),
-    )
-    return F.when(text.rlike(PRIVATE), edits)
+    """Edits that mask personal data and secrets, from left to right; null where there are none."""
+    return F.arrow_udf(_masks, f"array<{EDIT}>")(text)
+
+
+def _masks(text: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+    private = re.compile(PRIVATE, re.ASCII)
+    rows = []
+    for value in text.to_pylist():
+        edits, shift = [], 0
+        for hit in private.finditer(value or ""):
+            edits.append({"start": hit.start() + shift, "end": hit.end() + shift, "text": MASK})
+            shift += len(MASK) - (hit.end() - hit.start())
+        rows.append(edits or None)
+    return pa.array(rows, kind)
 
 
 def op3_token_counts(spark, sf_dir):
@@ -244,7 +268,7 @@ def op3_token_counts(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long"), F.col("text").cast("string")
     )
-    rows = docs.select("doc_id", "text", private_edits(F.col("text")).cast(f"array<{EDIT}>").alias("edits"))
+    rows = docs.select("doc_id", "text", private_edits(F.col("text")).alias("edits"))
     return count_edited(build_trees(rows)).select(
         "doc_id", "n_edits", "n_tokens_before", "n_tokens", "n_encoded_again",
         F.size(F.filter("chars", lambda n: n > 0)).cast("long").alias("n_leaves"),

@@ -226,6 +226,14 @@ def test_html_blocks(spark, table, rows):
     assert rows(html.html_blocks(pages)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("piece", [1, 7, html.PIECE])
+def test_references_without_a_semicolon_stay(monkeypatch, piece):
+    monkeypatch.setattr(html, "PIECE", piece)
+    page = "<p>a&amp;&amp</p><p>&copy 1 &notit; &#65; &#66 &#x43; &; & &nosuch;</p><p>&amp;lt; \x00 &eacute"
+    want = ["a&&amp", "&copy 1 &notit; A &#66 C &; & &nosuch;", "&lt; \ufffd &eacute"]
+    assert [text for _, text in html.blocks_of(page)] == want
+
+
 def test_long_and_deep_pages():
     page = "<div>" * 50_000 + "<p>word &amp; word</p>" * 20_000
     assert list(html.blocks_of(page)) == [("p", "word & word")] * 20_000

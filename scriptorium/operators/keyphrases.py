@@ -12,25 +12,36 @@ A phrase is a run of words of one sentence whose first and last are no short wor
 the product of its words' scores over its count and their sum, so frequent phrases of telling words
 come first. Of phrases that are equal up to a small edit distance the better one stays.
 
-Texts are placed by document once; all counting is by document, so nothing else is exchanged.
+Texts are placed by document once; all counting is by document, so nothing else is exchanged. Phrases
+take some two hundred times the memory of their text, so a part holds few documents: its sorts
+stay in memory, however large the table.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import parts_of
+
 WORD = r"(\p{L}+)"
 SENTENCE = r"[.!?\n]+"
 SHORT = 3  # shorter words neither begin nor end a phrase
 LONGEST = 3
 ALIKE = 0.8  # share of letters that near-equal phrases have in common at least
 DIGITS = 6
+PART_BYTES = 256 << 10  # planned bytes of a part, about a megabyte of text
 
 
 def _sentences(docs):
-    """``(doc_id, sentence, words)``: sentences with words, numbered from 0."""
-    placed = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartition("doc_id")
+    """``(doc_id, n_sentences, sentence, words)``: sentences with words, numbered from 0."""
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    placed = texts.repartition(parts_of(docs, PART_BYTES), "doc_id")
     split = F.filter(F.split("text", SENTENCE), lambda s: s.rlike(WORD))
-    found = placed.select("doc_id", F.posexplode(split).alias("sentence", "_text"))
-    return found.select("doc_id", "sentence", F.regexp_extract_all("_text", F.lit(WORD), 1).alias("words"))
+    found = placed.select("doc_id", split.alias("_split")).select(
+        "doc_id", F.size("_split").alias("n_sentences"), F.posexplode("_split").alias("sentence", "_text")
+    )
+    return found.select(
+        "doc_id", "n_sentences", "sentence", F.regexp_extract_all("_text", F.lit(WORD), 1).alias("words")
+    )
 
 
 def _occurrences(sentences):
@@ -43,11 +54,14 @@ def _occurrences(sentences):
         at(F.col("words"), i).alias("term"), F.get("words", i).alias("shown"), i.alias("at"),
         F.when(i > 0, at(F.col("words"), i - 1)).alias("left"), at(F.col("words"), i + 1).alias("right"),
     ))
-    return sentences.select("doc_id", "sentence", F.inline(rows))
+    return sentences.select("doc_id", "n_sentences", "sentence", F.inline(rows))
 
 
 def word_scores(sentences):
-    """``(doc_id, term, tf, score)``; the smaller the score, the more telling the word."""
+    """``(doc_id, term, tf, score, places)``; the smaller the score, the more telling the word.
+
+    ``places(sentence, at)`` are where the word stands.
+    """
     shown = F.col("shown")
     capital = (F.col("at") > 0) & (F.substring(shown, 1, 1) != F.lower(F.substring(shown, 1, 1)))
     acronym = (F.length(shown) > 1) & (shown == F.upper(shown)) & (shown != F.lower(shown))
@@ -56,13 +70,15 @@ def word_scores(sentences):
         F.median("sentence").alias("place"), F.size(F.collect_set("sentence")).alias("in_sentences"),
         F.count("left").alias("left"), F.size(F.collect_set("left")).alias("lefts"),
         F.count("right").alias("right"), F.size(F.collect_set("right")).alias("rights"),
+        F.max("n_sentences").alias("n_sentences"),
+        F.collect_list(F.struct("sentence", "at")).alias("places"),
     )
-    whole = sentences.groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-    spread = terms.groupBy("doc_id").agg(
-        F.max("tf").alias("most"), F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("deviation")
-    )
-    found = terms.join(spread, "doc_id").join(whole, "doc_id")
+    document = Window.partitionBy("doc_id")
     tf = F.col("tf")
+    found = terms.withColumns({
+        "most": F.max(tf).over(document), "mean": F.avg(tf).over(document),
+        "deviation": F.stddev_pop(tf).over(document),
+    })
     casing = F.col("cased") / (1 + F.log(tf.cast("double")))
     position = F.log(F.log(3 + F.col("place"))) + 1
     frequency = tf / (F.col("mean") + F.col("deviation"))
@@ -73,39 +89,37 @@ def word_scores(sentences):
     context = 1 + (variety("lefts", "left") + variety("rights", "right")) * tf / F.col("most")
     share = F.col("in_sentences") / F.col("n_sentences")
     score = context * position / (casing + frequency / context + share / context)
-    return found.select("doc_id", "term", "tf", score.alias("score"))
-
-
-def _phrases(sentences, longest, short):
-    """``(doc_id, phrase, n)``: runs of words of a sentence and how often each stands there."""
-    words = F.transform("words", F.lower)
-    rows = sentences.select("doc_id", words.alias("w"))
-
-    def runs(n):
-        last = F.size("w") - n
-        all_runs = F.when(last >= 0, F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice("w", i + 1, n)
-        )).otherwise(F.array().cast("array<array<string>>"))
-        return F.filter(all_runs, lambda r: (F.length(r[0]) >= short) & (F.length(r[n - 1]) >= short))
-
-    every = F.concat(*(runs(n) for n in range(1, longest + 1)))
-    found = rows.select("doc_id", F.explode(F.transform(every, lambda r: F.array_join(r, " "))).alias("phrase"))
-    return found.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    return found.select("doc_id", "term", "tf", score.alias("score"), "places")
 
 
 def scored_phrases(docs, longest=LONGEST, short=SHORT):
-    """``(doc_id, phrase, n, score)`` of all phrases, the best with the smallest score."""
-    sentences = _sentences(docs)
-    terms = word_scores(sentences).select("doc_id", "term", "score")
-    phrases = _phrases(sentences, longest, short)
-    words = phrases.select("doc_id", "phrase", "n", F.explode(F.split("phrase", " ")).alias("term"))
-    joined = words.join(terms, ["doc_id", "term"]).groupBy("doc_id", "phrase", "n").agg(
-        F.array_sort(F.collect_list("score")).alias("scores")
+    """``(doc_id, phrase, n, score)`` of all phrases, the best with the smallest score.
+
+    Scored words go back to their places, where each begins the runs that it and the next words of its
+    sentence make. A join of phrases with the scores by document and word would exchange all of them.
+    """
+    placed = word_scores(_sentences(docs)).select("doc_id", "term", "score", F.inline("places"))
+    order = Window.partitionBy("doc_id", "sentence").orderBy("at")
+    word = F.struct("term", "score")
+    run = [word, *(F.lead(word, i).over(order) for i in range(1, longest))]
+    begun = placed.select("doc_id", *(w.alias(f"w{i}") for i, w in enumerate(run)))
+
+    def phrase(n):
+        words = [F.col(f"w{i}") for i in range(n)]
+        ends = (F.length(words[0]["term"]) >= short) & (F.length(words[-1]["term"]) >= short)
+        return F.when(ends, F.struct(
+            F.concat_ws(" ", *(w["term"] for w in words)).alias("phrase"),
+            F.array(*(w["score"] for w in words)).alias("scores"),
+        ))
+
+    every = F.array_compact(F.array(*(phrase(n) for n in range(1, longest + 1))))
+    phrases = begun.select("doc_id", F.inline(every)).groupBy("doc_id", "phrase").agg(
+        F.count("*").alias("n"), F.array_sort(F.any_value("scores")).alias("scores")
     )
     product = F.aggregate("scores", F.lit(1.0), lambda x, s: x * s)
     total = F.aggregate("scores", F.lit(0.0), lambda x, s: x + s)
     score = F.round(product / (F.col("n") * (1 + total)), DIGITS)
-    return joined.select("doc_id", "phrase", "n", score.alias("score"))
+    return phrases.select("doc_id", "phrase", "n", score.alias("score"))
 
 
 def _similar(one, other, alike):

@@ -21,6 +21,10 @@ SETTINGS = {
 
 # what two splits of the usual size hold
 SPREAD_BYTES = 256 << 20
+# bytes planned for one part of a table that many more rows are made of; texts take about four times as many
+PART_BYTES = 4 << 20
+# planning takes rows that come from no file for larger than any table
+UNKNOWN_BYTES = 1 << 50
 
 
 def local_session(cores="*", shuffle_partitions=8, memory="16g"):
@@ -63,12 +67,28 @@ def apply_settings(spark):
     return spark
 
 
+def planned_bytes(df):
+    """Bytes of a table as planning estimates them, from the sizes of its files; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_of(df, part_bytes=PART_BYTES):
+    """How many parts of bounded size ``df`` makes; as many as there are cores at least.
+
+    Where a task makes many rows of each it reads, its memory follows its part, and the session's number
+    of shuffle partitions does not grow with the table. That number serves where the size is not known.
+    """
+    spark, size = df.sparkSession, planned_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
+
+
 def spread(scan):
     """Use all cores on a table of files that is too small to come in as many splits.
 
     Judged by the bytes of its files, which planning knows, so nothing runs for it; over
     ``SPREAD_BYTES`` it passes unchanged, so this never adds an exchange of a large table.
     """
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if size < SPREAD_BYTES else scan
+    return scan.repartition(cores) if planned_bytes(scan) < SPREAD_BYTES else scan

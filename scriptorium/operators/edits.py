@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators.replace import PARAGRAPH_KEYS, with_new_texts
+from scriptorium.operators.replace import PARAGRAPH_KEYS, joined_apart, rewritten_runs, with_new_texts
+from scriptorium.session import unsorted
 
 PARAGRAPH = ["doc_id", "idx"]
 # indexes of content edits count body paragraphs only
@@ -53,7 +54,10 @@ def latest_edits(edits, keys):
 
 
 def _apply(content, latest, keys):
-    edited = content.join(latest, keys, "left")
+    def join(rows):
+        return rows.join(unsorted(latest), keys, "left")
+
+    edited = joined_apart(content, join) if "runs" in content.columns else join(content)
     return edited.withColumn(
         "changed", F.col("new_text").isNotNull() & ~F.col("new_text").eqNullSafe(F.col("text"))
     ).withColumn("new_text", F.coalesce("new_text", "text"))
@@ -75,12 +79,15 @@ def apply_block_edits(blocks, edits):
     return _apply(blocks, latest_edits(edits, BLOCK), BLOCK)
 
 
-def edit_runs(runs, edited):
+def edit_runs(runs, edited=None):
     """Carry changed paragraphs ``(doc_id, scope, idx, new_text)`` over to their runs.
 
     The first run takes the new text, the others become empty, and a paragraph without
-    runs gets one.
+    runs gets one. Without ``edited``, ``runs`` are edited paragraphs that have their ``runs`` with them,
+    and nothing more is exchanged.
     """
+    if edited is None:
+        return rewritten_runs(runs.withColumn("new_text", F.when(F.col("changed"), F.col("new_text"))))
     return with_new_texts(runs, edited.where("changed").select(*PARAGRAPH_KEYS, "new_text"))
 
 

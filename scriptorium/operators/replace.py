@@ -27,6 +27,7 @@ from scriptorium.functions.text import (
     unescaped,
     without_marks,
 )
+from scriptorium.session import unsorted
 
 # task functions travel with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -290,17 +291,24 @@ def cross_run_replace(runs, find_text, replace_text, case_sensitive=True, paragr
     first run, or in a new run 0 if it has none, and '' in the others, whose styles stay; other
     paragraphs keep their runs. ``paragraphs`` gives their texts where runs do not hold all of
     it, as with links. Adds ``matches`` of the paragraph.
+
+    Paragraphs that come with their ``runs`` (and ``text``) as one row are exchanged nowhere; rows of
+    runs are gathered first.
     """
     require_needle(find_text)
-    found = _paragraph_texts(runs) if paragraphs is None else paragraphs
-    found = found.where(F.col("scope").isin(BODY_AND_TABLES))
-    text = F.col("text")
-    hits = found.select(
-        *PARAGRAPH_KEYS,
-        count_matches(text, find_text, case_sensitive).alias("matches"),
-        replace_matches(text, find_text, replace_text, case_sensitive).alias("new_text"),
-    ).where("matches > 0")
-    return with_new_texts(runs, hits).withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+    own = runs if "runs" in runs.columns else _gathered(runs)
+    if paragraphs is not None:
+        texts = paragraphs.where(F.col("scope").isin(BODY_AND_TABLES)).select(*PARAGRAPH_KEYS, "text")
+        hit = count_matches(F.col("text"), find_text, case_sensitive) > 0
+        own = _join_runs(own.drop("text"), texts.where(hit), "full")
+    elif "text" not in own.columns:
+        own = own.withColumn("text", F.array_join("runs.text", ""))
+    text = F.when(F.col("scope").isin(BODY_AND_TABLES), F.col("text"))
+    matches = F.coalesce(count_matches(text, find_text, case_sensitive), F.lit(0)).cast("long")
+    new_text = replace_matches(text, find_text, replace_text, case_sensitive)
+    found = own.withColumn("matches", matches).withColumn("new_text", F.when(F.col("matches") > 0, new_text))
+    shown = rewritten_runs(found, "matches")
+    return shown if "runs" in runs.columns else shown.select(*runs.columns, "matches")
 
 
 PARAGRAPH_KEYS = ["doc_id", "scope", "idx"]
@@ -310,38 +318,56 @@ def _gathered(runs):
     """Runs of each paragraph in order, as one array; a paragraph is one value anyway."""
     ordered = ["run_no", *(c for c in runs.columns if c not in [*PARAGRAPH_KEYS, "run_no"])]
     return runs.groupBy(*PARAGRAPH_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct(*ordered))).alias("_runs")
+        F.array_sort(F.collect_list(F.struct(*ordered))).alias("runs")
     )
 
 
-def _paragraph_texts(runs):
-    lines = F.transform("_runs", lambda r: r["text"])
-    return _gathered(runs).select(*PARAGRAPH_KEYS, F.array_join(lines, "").alias("text"))
+def joined_apart(paragraphs, join):
+    """``join(paragraphs)`` with an array per field of ``runs`` in place of their array of rows.
+
+    Such arrays take less than half the bytes in an exchange, and fields that nothing reads later
+    are not exchanged at all.
+    """
+    fields = paragraphs.schema["runs"].dataType.elementType.names
+    apart = paragraphs.select(
+        *(c for c in paragraphs.columns if c != "runs"), *(F.col(f"runs.{n}").alias(f"_run_{n}") for n in fields)
+    )
+    found = join(apart)
+    runs = F.arrays_zip(*(F.col(f"_run_{n}").alias(n) for n in fields)).alias("runs")
+    return found.select(*(c for c in found.columns if not c.startswith("_run_")), runs)
 
 
-def with_new_texts(runs, changed):
-    """Carry ``changed(doc_id, scope, idx, new_text, ...)`` over to the runs, in one grouping.
+def _join_runs(own, other, how):
+    return joined_apart(own, lambda apart: apart.join(unsorted(other), PARAGRAPH_KEYS, how))
 
-    The first run takes the new text, the others become empty; a paragraph without runs
-    gets one. Other columns of ``changed`` are added to all runs of the paragraph.
+
+def rewritten_runs(paragraphs, *added):
+    """Rows of the ``runs`` of ``paragraphs(doc_id, scope, idx, runs, new_text)``.
+
+    Where there is a new text the first run takes it and the others become empty; a paragraph
+    without runs gets one. ``added`` columns go to all runs of the paragraph.
     """
-    added = [c for c in changed.columns if c not in [*PARAGRAPH_KEYS, "new_text"]]
-    both = _gathered(runs).join(changed, PARAGRAPH_KEYS, "full")
-    kind = dict(both.dtypes)["_runs"]
-    fields = both.schema["_runs"].dataType.elementType
+    kind = paragraphs.schema["runs"].dataType
+    names = kind.elementType.names
     alone = F.array(F.struct(*(
         {"run_no": F.lit(0), "text": F.col("new_text")}.get(f.name, F.lit(None))
-        .cast(f.dataType).alias(f.name) for f in fields
+        .cast(f.dataType).alias(f.name) for f in kind.elementType
     ))).cast(kind)
-    rewritten = F.transform(
-        "_runs", lambda r, i: r.withField("text", F.when(i == 0, F.col("new_text")).otherwise(""))
+    shown = F.when(F.col("new_text").isNotNull() & (F.coalesce(F.size("runs"), F.lit(0)) <= 0), alone).otherwise(
+        F.col("runs")
     )
-    shown = (
-        F.when(F.col("new_text").isNull(), F.col("_runs"))
-        .when(F.col("_runs").isNull(), alone)
-        .otherwise(rewritten)
+    rows = paragraphs.select(*PARAGRAPH_KEYS, "new_text", *added, F.posexplode(shown).alias("_at", "_run"))
+    text = (
+        F.when(F.col("new_text").isNull(), F.col("_run.text"))
+        .when(F.col("_at") == 0, F.col("new_text")).otherwise("").alias("text")
     )
-    return both.select(*PARAGRAPH_KEYS, *added, F.inline(shown)).select(*runs.columns, *added)
+    own = (text if n == "text" else F.col(f"_run.{n}") for n in names)
+    return rows.select(*PARAGRAPH_KEYS, *own, *added)
+
+
+def with_new_texts(runs, changed):
+    """Carry ``changed(doc_id, scope, idx, new_text)`` over to rows of runs, in one grouping."""
+    return rewritten_runs(_join_runs(_gathered(runs), changed, "full")).select(*runs.columns)
 
 
 # rules up to here become one projection each; more go through one pass over each text

@@ -86,6 +86,18 @@ def doc_pages(spark, sf_dir):
     )
 
 
+def paragraph_runs(spark, sf_dir):
+    """Paragraphs with their ``runs``, as a document holds them: a run per word and its blanks."""
+    pieces = F.regexp_extract_all("text", F.lit(r"(\S+\s*|\s+)"), 1)
+    runs = F.transform(pieces, lambda piece, no: F.struct(
+        no.cast("long").alias("run_no"),
+        piece.alias("text"),
+        _case(no, "Arial", "Times New Roman", None).alias("font_name"),
+        F.when(no % 2 == 0, 11.0).alias("font_size"),
+    ))
+    return paragraphs(spark, sf_dir).withColumn("runs", runs)
+
+
 def runs(spark, sf_dir):
     pieces = F.regexp_extract_all("text", F.lit(r"(\S+\s*|\s+)"), 1)
     rows = paragraphs(spark, sf_dir).select(

@@ -84,6 +84,17 @@ def parts_of(df, part_bytes=PART_BYTES):
     return max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))
 
 
+def unsorted(small):
+    """The right side of a join that has one row per key and is far smaller than the left.
+
+    If it is planned too large to be broadcast its parts become hash tables, so that the left side is not
+    sorted, and not spilled for that.
+    """
+    size = planned_bytes(small)
+    most = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return small.hint("shuffle_hash") if most < size < UNKNOWN_BYTES else small
+
+
 def spread(scan):
     """Use all cores on a table of files that is too small to come in as many splits.
 

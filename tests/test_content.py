@@ -1,9 +1,10 @@
 """Content tables, edits, runs and reconstruction."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import edits as ed
-from scriptorium.operators import reconstruct
+from scriptorium.operators import evaluate, reconstruct, style
 from scriptorium.operators import replace as rep
 from scriptorium.plans import fixtures as fx
 from scriptorium.sources import content
@@ -167,3 +168,55 @@ def test_stack_of_one_rule_is_one_replacement(spark, sf_dir):
     stacked = rep.edit_stack(docs, [("que", "QUE")])
     single = rep.find_replace(docs, "que", "QUE").select("doc_id", F.col("new_text").alias("text"), "matches")
     assert stacked.exceptAll(single.select(*stacked.columns)).isEmpty()
+
+
+RUN = "run_no long, text string, font_name string, font_size double"
+OWN_RUNS = f"doc_id long, scope string, idx long, text string, runs array<struct<{RUN.replace(' long', ':long').replace(' string', ':string').replace(' double', ':double')}>>"
+WITH_RUNS = [
+    (1, "body", 0, "Draft v2 x", [(0, "Draft ", "Arial", 11.0), (1, "v2 x", None, None)]),
+    (1, "body", 1, "", []),
+    (1, "table", 0, "Draft v2", [(3, "Draft", "Arial", None), (5, " v2", "Times", 9.0)]),
+    (1, "header", 0, "Draft v2", [(0, "Draft v2", None, 9.0)]),
+    (2, "body", 0, "link Draft v2", None),
+    (2, "body", 1, None, [(0, None, None, None)]),
+]
+
+
+@pytest.fixture
+def own_runs(table):
+    return table(OWN_RUNS, *WITH_RUNS)
+
+
+@pytest.fixture
+def flat_runs(own_runs):
+    return own_runs.select("doc_id", "scope", "idx", F.inline("runs"))
+
+
+def test_paragraphs_with_their_runs_equal_rows_of_runs(own_runs, flat_runs, rows):
+    paragraphs = own_runs.drop("runs")
+    nested = rep.cross_run_replace(own_runs, "draft V2", "Final", False)
+    flat = rep.cross_run_replace(flat_runs, "draft V2", "Final", False, paragraphs=paragraphs)
+    assert rows(nested) == rows(flat, *nested.columns) and len(rows(nested)) == 7
+    edits = own_runs.select("doc_id", "idx", F.col("idx").alias("seq"), F.lit("new").alias("text"))
+    nested = ed.edit_runs(ed.apply_paragraph_edits(own_runs, edits))
+    flat = ed.edit_runs(flat_runs, ed.apply_paragraph_edits(paragraphs, edits))
+    assert rows(nested) == rows(flat, *nested.columns)
+    assert {r[4] for r in rows(nested) if r[1] == "body"} == {"new", ""}
+
+
+def test_styles_of_paragraphs_with_their_runs(own_runs, flat_runs, table, rows):
+    patches = table(
+        "doc_id long, seq long, font_name string, font_size double, header_text string, footer_text string",
+        (1, 1, "Arial", 11.0, None, None),
+    )
+    after, flat_after = style.apply_run_style(own_runs, patches), style.apply_run_style(flat_runs, patches)
+    assert rows(after.select("doc_id", "scope", "idx", F.inline("runs"))) == rows(flat_after)
+    kept = rows(evaluate.style_preservation(own_runs, after))
+    assert kept == rows(evaluate.style_preservation(flat_runs, flat_after)) == [(1, 5, 2, 0.4), (2, 1, 1, 1.0)]
+    # other order, a run that is gone and one that is new
+    moved = after.withColumn("runs", F.reverse(F.filter("runs", lambda r: r["run_no"] != 3)))
+    added = F.struct(F.lit(9).cast("long"), F.lit("n"), F.lit("Arial"), F.lit(1.0)).cast(after.schema["runs"].dataType.elementType)
+    moved = moved.withColumn("runs", F.concat(F.array(added), "runs"))
+    assert rows(evaluate.style_preservation(own_runs, moved)) == rows(
+        evaluate.style_preservation(flat_runs, moved.select("doc_id", "scope", "idx", F.inline("runs")))
+    )

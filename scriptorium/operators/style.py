@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from scriptorium.functions.fonts import given_name, given_size, page_font, page_font_size
-from scriptorium.operators.replace import BODY_AND_TABLES
+from scriptorium.operators.replace import BODY_AND_TABLES, joined_apart
+from scriptorium.session import unsorted
 
 PARTS = ["header", "footer"]
 
@@ -23,7 +24,10 @@ def effective_patches(patches):
 
 
 def apply_run_style(runs, patches):
-    """Font name and size of every body and table run; '' and 0 leave the old value."""
+    """Font name and size of every body and table run; '' and 0 leave the old value.
+
+    ``runs`` are rows, or paragraphs with their ``runs``, which are met once per paragraph.
+    """
     fonts = effective_patches(patches).select("doc_id", "new_font_name", "new_font_size")
     styled = F.col("scope").isin(BODY_AND_TABLES)
 
@@ -31,8 +35,18 @@ def apply_run_style(runs, patches):
         new = F.coalesce(f"new_{column}", column)
         return F.when(styled, new).otherwise(F.col(column))
 
+    def join(rows):
+        return rows.join(unsorted(fonts), "doc_id", "left")
+
+    if "runs" in runs.columns:
+        def styled_run(run):
+            new = {c: F.coalesce(F.col(f"new_{c}"), run[c]) for c in ("font_name", "font_size")}
+            return run.withField("font_name", new["font_name"]).withField("font_size", new["font_size"])
+
+        own = F.when(styled, F.transform("runs", styled_run)).otherwise(F.col("runs"))
+        return joined_apart(runs, join).withColumn("runs", own).drop("new_font_name", "new_font_size")
     return (
-        runs.join(fonts, "doc_id", "left")
+        join(runs)
         .withColumns({c: patched(c) for c in ("font_name", "font_size")})
         .drop("new_font_name", "new_font_size")
     )

@@ -114,6 +114,12 @@ def runs(spark, sf_dir):
     )
 
 
+def paragraph_fonts(spark, sf_dir):
+    """Paragraphs with their runs, without any texts."""
+    fields = (F.col(f"runs.{c}").alias(c) for c in ("run_no", "font_name", "font_size"))
+    return paragraph_runs(spark, sf_dir).select("doc_id", "scope", "idx", F.arrays_zip(*fields).alias("runs"))
+
+
 def edits_of(events):
     """Edits from event rows; a projection, so it also runs on a stream."""
     event_id = F.col("event_id")

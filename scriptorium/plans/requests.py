@@ -13,12 +13,13 @@ from scriptorium.operators.replace import (
     replace_by_rule,
 )
 from scriptorium.operators.style import apply_run_style, stamp_pages, stamp_sections
+from scriptorium.session import unsorted
 
 
 def _of_type(rows, resolved, file_type):
     """Rows of documents of one type that an accepted request concerns."""
     concerned = resolved.where((F.col("status") == OK) & (F.col("file_type") == file_type))
-    return rows.join(concerned.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows.join(unsorted(concerned.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
 def find_replace_requests(requests, accounts, catalog, paragraphs, blocks):

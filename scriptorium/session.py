@@ -23,6 +23,8 @@ SETTINGS = {
 SPREAD_BYTES = 256 << 20
 # bytes planned for one part of a table that many more rows are made of; texts take about four times as many
 PART_BYTES = 4 << 20
+# what a task reads of small files
+FILES_BYTES = 32 << 20
 # planning takes rows that come from no file for larger than any table
 UNKNOWN_BYTES = 1 << 50
 
@@ -95,6 +97,16 @@ def unsorted(small):
     return small.hint("shuffle_hash") if most < size < UNKNOWN_BYTES else small
 
 
+def by_bytes(files, size):
+    """Small files dealt to tasks by the ``size`` bytes they hold; nothing is exchanged.
+
+    Spark counts each file as 4 MB and gives a task 32 of them, so that millions would mean a hundred
+    thousand tasks. Four tasks a core are left at least, where Spark plans as many.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(4 * cores, -(-size // FILES_BYTES)))
+
+
 def spread(scan):
     """Use all cores on a table of files that is too small to come in as many splits.
 

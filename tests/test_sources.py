@@ -249,3 +249,18 @@ def test_html_pieces_change_nothing(parts):
         assert list(html.blocks_of(page)) == whole
     finally:
         html.PIECE = before
+
+
+def test_small_files_share_tasks(spark, tmp_path, rows):
+    """Spark alone plans 32 files to a task."""
+    for i in range(700):
+        (tmp_path / f"{i}.txt").write_text(f"é {i}\nb\n")
+    (tmp_path / "0.docx").write_bytes(pack_docx("<w:p/>"))
+    for i in range(1, 700):
+        (tmp_path / f"{i}.docx").write_bytes((tmp_path / "0.docx").read_bytes())
+    most = 4 * spark.sparkContext.defaultParallelism
+    texts = text_files.text_file_scan(spark, str(tmp_path))
+    words = docx.docx_binary_scan(spark, str(tmp_path))
+    assert texts.rdd.getNumPartitions() <= most and words.rdd.getNumPartitions() <= most
+    assert texts.count() == 1400 and texts.where("idx = 0 AND text LIKE 'é %'").count() == 700
+    assert words.where("kind = 'paragraph'").select("path").distinct().count() == 700

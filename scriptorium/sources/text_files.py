@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.session import by_bytes, planned_bytes
+
 LINE_END = r"\r\n?"
 
 
@@ -12,20 +14,24 @@ def text_file_scan(spark, path, glob="*.txt", max_bytes=None):
     read, and give one row whose ``idx`` and ``text`` are null. The line feed that ends the last line
     does not start another paragraph.
     """
-    found = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    if max_bytes is None:
-        return _lines(found)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
+        "recursiveFileLookup", True
+    ).load(path)
     name = F.col("_metadata.file_path").alias("path")
-    size = F.col("_metadata.file_size")
+    if max_bytes is None:
+        return _lines(_texts(found))
     none = (F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("text"))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", True
-    ).load(path).where(F.col("length") > max_bytes)
-    return _lines(found.where(size <= max_bytes)).unionByName(listed.select(name, *none))
+    too_large = found.where(F.col("length") > max_bytes)
+    return _lines(_texts(found.where(F.col("length") <= max_bytes))).unionByName(too_large.select(name, *none))
+
+
+def _texts(found):
+    """``(path, text)`` of files; the bytes are taken as UTF-8."""
+    texts = found.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("text"))
+    return by_bytes(texts, planned_bytes(found))
 
 
-def _lines(found):
-    files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def _lines(files):
     unified = F.regexp_replace("text", LINE_END, "\n")
     lines = F.split(F.regexp_replace(unified, r"\n\z", ""), "\n")
     return files.select("path", F.posexplode(lines).alias("pos", "text")).select(

@@ -372,6 +372,8 @@ def with_new_texts(runs, changed):
 
 # rules up to here become one projection each; more go through one pass over each text
 FEW_RULES = 32
+# texts of a batch that are in a task's Python at once, beside the batch itself
+TEXTS_AT_ONCE = 64
 
 
 def edit_stack(docs, rules, few=FEW_RULES):
@@ -402,17 +404,22 @@ def _many_rules(docs, rules):
     docs = docs.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    def run(batches):
-        automaton = rule_automaton(rules)
-        for batch in batches:
+    return docs.mapInArrow(lambda batches: folded_batches(batches, rules), f"{kinds}, matches long")
+
+
+def folded_batches(batches, rules):
+    """Batches with ``text`` after all rules and ``matches``, of ``TEXTS_AT_ONCE`` rows at most."""
+    automaton = rule_automaton(rules)
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+            batch = whole.slice(at, TEXTS_AT_ONCE)
             done = [fold_rules(text, rules, automaton) for text in batch["text"].to_pylist()]
             texts = pa.array([text for text, _ in done], pa.string())
+            columns = batch.schema.names
             own = [texts if c == "text" else batch[c] for c in columns]
             matches = pa.array([n for _, n in done], pa.int64())
             yield pa.RecordBatch.from_arrays([*own, matches], [*columns, "matches"])
 
-    return docs.mapInArrow(run, f"{kinds}, matches long")
-
 
 def rule_automaton(rules):
     """Automaton of all needles; each tells the numbers of its rules, rising."""

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,13 @@ def test_plans_of_many_rules_are_small(table, rows):
     assert rows(few.where("doc_id = 1")) == [(1, "fin of THE THE", 4)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 2000
+
+
+def test_many_rules_hold_few_texts_at_once():
+    rules = [(f"w{i}", "x") for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(500), "text": [f"w{i} w1" for i in range(500)]})
+    found = list(rep.folded_batches([batch, batch], rules))
+    assert max(b.num_rows for b in found) <= rep.TEXTS_AT_ONCE
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    automaton = rep.rule_automaton(rules)
+    assert rows == [(i, *rep.fold_rules(f"w{i} w1", rules, automaton)) for i in range(500)] * 2
